@@ -27,6 +27,15 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.toxicity import THRESHOLD, fit, fold, score_documents
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(fold() == 2, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, F.col("toxicity").alias("score"), (F.col("toxicity") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,7 +54,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_files, op5_exact_dedup, op7_bpe, op9_sharding)
+    for f in (op1_token_files, op2_toxicity, op5_exact_dedup, op7_bpe, op9_sharding)
 }
 
 ORACLE_SQL: dict[str, str] = {
