@@ -10,6 +10,21 @@ from pyspark.sql import functions as F
 from quire.llm.common import table
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.common import shared_path
+    from quire.llm.warc import page_key, read_warc, write_warc
+
+    files = write_warc(table(spark, sf_dir, "pages"), shared_path(spark, "warc"))
+    records = read_warc(spark, files).where("record_type in ('response', 'revisit')")
+    return records.select(
+        page_key("record_id").try_cast("long").alias("page_id"),
+        F.col("payload_length").alias("payload_bytes"),
+        "payload_digest",
+        "record_type",
+        page_key("refers_to_id").try_cast("long").alias("refers_to"),
+    )
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.exact_dedup import duplicate_marks
 
@@ -54,7 +69,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_files, op2_toxicity, op5_exact_dedup, op7_bpe, op9_sharding)
+    for f in (op1_token_files, op2_toxicity, op4_warc, op5_exact_dedup, op7_bpe, op9_sharding)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -66,4 +81,14 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = max(doc_id) OVER w AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256)
     """,
+    "op4_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        d AS (SELECT *, sha1(body) AS h, min(page_id) OVER (PARTITION BY body) AS first FROM p)
+        SELECT page_id, strlen(body) AS payload_bytes,
+               list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                 CAST(1 + ((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM d
+    """,
 }
