@@ -17,9 +17,11 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -112,26 +114,18 @@ class ByteBpe:
         chars = byte_alphabet()
         return [bytes(chars[c] for c in w).decode() for w, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
-    def encode(self, text: str) -> bytes:
-        special = next((s for s in self.special if s in text), None)
-        if special is not None:
-            head, _, tail = text.partition(special)
-            out = [self.encode_plain(head)]
-            while True:
-                out.append(struct.pack("<I", self.special[special]))
-                head, found, tail = tail.partition(special)
-                out.append(self.encode_plain(head))
-                if not found:
-                    return b"".join(out)
-        return self.encode_plain(text)
-
-    def encode_plain(self, text: str) -> bytes:
-        words, cache = self.split(text), self.words
-        try:
-            return b"".join(map(cache.__getitem__, words))
-        except KeyError:
-            cache.fill(words)
-            return b"".join(map(cache.__getitem__, words))
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text."""
+        split = list(map(self.pieces, texts))
+        get = self.words.fill(chain.from_iterable(w for pieces in split for w in pieces if type(w) is list))
+        return [b"".join([b"".join(map(get, w)) if type(w) is list else struct.pack("<I", self.special[w]) for w in pieces]) for pieces in split]
+
+    def pieces(self, text: str) -> list[list[str] | str]:
+        """Lists of words, and between them the special tokens' strings."""
+        if not any(s in text for s in self.special):
+            return [self.split(text)]
+        parts = re.split("(" + "|".join(map(re.escape, self.special)) + ")", text)
+        return [p if i % 2 else self.split(p) for i, p in enumerate(parts)]
 
     def decode(self, ids: bytes) -> str:
         get = self.bytes_of.get
@@ -152,7 +146,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                ids = [bpe.encode(t or "") for t in part.column(1).to_pylist()]
+                ids = bpe.encode([t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -26,27 +26,24 @@ def plain(text: str) -> bool:
     return text.isascii() and not re.search("[\x1c-\x1f]", text) or not _OTHER.search(text)
 
 
-class WordCache(dict):
+class WordCache:
     """Word -> what ``make`` gives for a list of missing words; two generations bound its size."""
 
-    def __init__(self, make, most: int = 300_000):
-        super().__init__()
-        self.make, self.most, self.old = make, most, {}
-
-    def fill(self, words) -> None:
-        """After this, every one of ``words`` is a key."""
-        missing = [w for w in set(words) if w not in self]
-        if not missing:
-            return
-        if len(self) + len(missing) > self.most:
-            self.old = dict(self)
-            self.clear()
-            missing = list(set(words))
-        old, new = self.old, []
-        for w in missing:
-            if w in old:
-                self[w] = old[w]
-            else:
-                new.append(w)
-        if new:
-            self.update(zip(new, self.make(new)))
+    def __init__(self, make, most: int = 450_000):
+        self.make, self.most, self.table, self.old = make, most, {}, {}
+
+    def fill(self, words):
+        """A look-up that knows every one of ``words``; valid until the next call."""
+        words = set(words)
+        missing = words.difference(self.table)  # a plain dict: each word is looked up, the table isn't walked
+        if missing and len(self.table) + len(missing) > self.most:
+            self.old, self.table = self.table, {}
+            missing = words
+        if missing:
+            old = self.old
+            again = missing.intersection(old) if old else ()
+            for w in again:
+                self.table[w] = old[w]
+            new = list(missing.difference(again))
+            self.table.update(zip(new, self.make(new)))
+        return self.table.__getitem__

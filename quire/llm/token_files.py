@@ -25,6 +25,7 @@ import struct
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm.bpe import byte_alphabet
 from quire.llm.common import open_fs, sized
 from quire.llm.splitting import LOWER_WORDS, WordCache, plain
 
@@ -54,26 +56,41 @@ def pack_blocks(ids: np.ndarray) -> list[bytes]:
     at = BLOCK * PERCENTILE // 100 - 1
     width = np.ceil(np.log2(np.partition(gap, at, axis=1)[:, at].astype(np.float64) + 1)).astype(int)
     out: list[bytes] = [b""] * n
-    for w in np.unique(width):
+    for w in map(int, np.unique(width)):
         for sel in np.array_split(np.flatnonzero(width == w), max(1, (width == w).sum() // 64)):
             g = gap[sel]
-            over = g >= (1 << int(w))
-            small = np.where(over, 0, g)
-            bits = (small[:, :, None] >> np.arange(int(w), dtype=np.uint32)) & 1
-            packed = np.packbits(bits.astype(np.uint8).reshape(len(sel), -1), axis=1, bitorder="little")
+            over = g >= (1 << w)
+            packed = _pack(np.where(over, 0, g), w)
             for k, b in enumerate(sel):
                 where = np.flatnonzero(over[k])
-                out[b] = _HEAD.pack(int(low[b]), int(w), len(where)) + packed[k].tobytes() + where.astype("<u2").tobytes() + g[k][where].astype("<u4").tobytes()
+                out[b] = _HEAD.pack(int(low[b]), w, len(where)) + packed[k].tobytes() + where.astype("<u2").tobytes() + g[k][where].astype("<u4").tobytes()
     return out
 
 
+def _unit(w: int) -> int:
+    """The bits of the smallest integer type that holds ``w``."""
+    return 8 if w <= 8 else 16 if w <= 16 else 32
+
+
+def _pack(rows: np.ndarray, w: int) -> np.ndarray:
+    """Each row's values as ``w`` bits each, as bytes."""
+    u = _unit(w)
+    raw = rows.astype(f"<u{u // 8}").view(np.uint8)
+    if w == u:
+        return raw
+    bits = np.unpackbits(raw, axis=1, bitorder="little").reshape(len(rows), -1, u)[:, :, :w]
+    return np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
+
+
 def unpack_block(block: bytes) -> np.ndarray:
     low, w, n = _HEAD.unpack_from(block)
     end = _HEAD.size + w * BLOCK // 8
-    bits = np.unpackbits(np.frombuffer(block, np.uint8, end - _HEAD.size, _HEAD.size), bitorder="little").reshape(BLOCK, w)
-    gap = np.zeros(BLOCK, np.uint32)
-    for i in range(w):
-        gap |= bits[:, i].astype(np.uint32) << np.uint32(i)
+    u, raw = _unit(w), np.frombuffer(block, np.uint8, end - _HEAD.size, _HEAD.size)
+    if w != u:
+        bits = np.zeros((BLOCK, u), np.uint8)
+        bits[:, :w] = np.unpackbits(raw, bitorder="little").reshape(BLOCK, w)
+        raw = np.packbits(bits, bitorder="little")
+    gap = raw.view(f"<u{u // 8}").astype(np.uint32)
     if n:
         gap[np.frombuffer(block, "<u2", n, end)] = np.frombuffer(block, "<u4", n, end + 2 * n)
     return gap + np.uint32(low)
@@ -154,8 +171,9 @@ class LowerWordEncoder:
     """The library's encoding of a lower-casing word vocabulary, with each distinct word encoded once.
 
     Words are encoded apart from one another by such a tokenizer, so a text's
-    ids are its words' ids in turn. Texts beyond plain characters, and those
-    that hold a special token's string, go to the library whole.
+    ids are its words' ids in turn, and its model needs no splitting for one
+    word. Texts beyond plain characters, and those that hold a special token's
+    string, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -163,17 +181,14 @@ class LowerWordEncoder:
 
         self.lib = Tokenizer.from_file(path)
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.words = WordCache(lambda words: [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch(words, add_special_tokens=False)])
+        model, alphabet = self.lib.model, {b: c for c, b in byte_alphabet().items()}
+        self.words = WordCache(lambda words: [np.array([t.id for t in model.tokenize(w.encode().decode("latin-1").translate(alphabet))], "<u4").tobytes() for w in words])
 
-    def encode(self, text: str) -> bytes:
-        if not plain(text) or any(s in text for s in self.special):
-            return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words, cache = LOWER_WORDS.findall(text.lower()), self.words
-        try:
-            return b"".join(map(cache.__getitem__, words))
-        except KeyError:
-            cache.fill(words)
-            return b"".join(map(cache.__getitem__, words))
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text."""
+        split = [LOWER_WORDS.findall(t.lower()) if plain(t) and not any(s in t for s in self.special) else None for t in texts]
+        get = self.words.fill(chain.from_iterable(filter(None, split)))
+        return [b"".join(map(get, words)) if words is not None else np.array(self.lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, words in zip(texts, split)]
 
 
 @lru_cache(maxsize=2)
@@ -195,11 +210,11 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 rows = batch.slice(at, 500)
-                for doc_id, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+                for doc_id, ids in zip(rows.column(0).to_pylist(), encoder.encode(rows.column(1).to_pylist())):
                     if writer is None:
                         fs.create_dir(path.rpartition("/")[0], recursive=True)
                         writer = TokenFileWriter(fs.open_output_stream(temporary))
-                    writer.add(doc_id, np.append(np.frombuffer(encoder.encode(text), "<u4"), end))
+                    writer.add(doc_id, np.append(np.frombuffer(ids, "<u4"), end))
         if writer is not None:
             writer.close()
             fs.move(temporary, path)

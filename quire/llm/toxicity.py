@@ -108,8 +108,7 @@ class Toxicity:
             words = words_of(text)
             if not words:
                 continue
-            self.cache.fill(words)
-            v = np.fromiter(map(self.cache.__getitem__, words), np.float32, len(words))
+            v = np.fromiter(map(self.cache.fill(words), words), np.float32, len(words))
             n = np.fromiter(map(len, words), np.float32, len(words)) + 1
             each = v / n
             k = min(3, len(words))
