@@ -18,6 +18,8 @@ from pyspark.sql.window import Window
 
 #: Rows that a task should hold at most when a window or a Python group needs them together.
 GROUP_ROWS = 50_000
+#: Sums of pieces up to this many (about 100 bytes each) are broadcast, more are joined by shuffle.
+BROADCAST_SUMS = 200_000
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -80,7 +82,9 @@ def numbered(df: DataFrame, group: list[str], order: list[str], piece: str, out:
     df = df.withColumn("_qn_v", v)
     sums = df.groupBy(*group, piece).agg(F.sum("_qn_v").alias("_qn_s"))
     before = Window.partitionBy(*group).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1) if group else Window.orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*[F.col(g).alias(f"_qn_{i}") for i, g in enumerate([*group, piece])], F.coalesce(F.sum("_qn_s").over(before), F.lit(0)).alias("_qn_base"))
+    sums = stage(sums.select(*[F.col(g).alias(f"_qn_{i}") for i, g in enumerate([*group, piece])], F.coalesce(F.sum("_qn_s").over(before), F.lit(0)).alias("_qn_base")), "sums")
+    if sums.count() <= BROADCAST_SUMS:
+        sums = F.broadcast(sums)
     within = Window.partitionBy(*group, piece).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("_qn_in", F.coalesce(F.sum("_qn_v").over(within), F.lit(0)))
     on = [F.col(g).eqNullSafe(F.col(f"_qn_{i}")) for i, g in enumerate([*group, piece])]

@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from quire.llm.common import table
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.mixing import mixture
+
+    return mixture(table(spark, sf_dir, "documents"), temperature=0.5)
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.common import shared_path
     from quire.llm.warc import page_key, read_warc, write_warc
@@ -60,6 +66,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.sharding import shard_documents
 
@@ -67,9 +79,15 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.near_dedup import near_duplicate_classes
+
+    return near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_files, op2_toxicity, op4_warc, op5_exact_dedup, op7_bpe, op9_sharding)
+    for f in (op1_token_files, op2_toxicity, op3_mixing, op4_warc, op5_exact_dedup, op7_bpe, op8_nearest, op9_sharding, op10_near_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
