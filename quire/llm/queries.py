@@ -57,6 +57,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out, F.col("toxicity").alias("score"), (F.col("toxicity") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.importance import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -87,7 +93,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_files, op2_toxicity, op3_mixing, op4_warc, op5_exact_dedup, op7_bpe, op8_nearest, op9_sharding, op10_near_dedup)
+    for f in (op1_token_files, op2_toxicity, op3_mixing, op4_warc, op5_exact_dedup, op6_importance, op7_bpe, op8_nearest, op9_sharding, op10_near_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
