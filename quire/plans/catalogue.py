@@ -1,10 +1,391 @@
-"""The registered queries over the driver's tables and their DuckDB SQL."""
+"""The registered queries over the driver's tables and their DuckDB SQL.
+
+The tables hold no PDF bytes and no Bengali text, so queries on them exercise
+the dataflow of each operator; fidelity to the formats and the script is shown
+by the tests' golden texts and synthesised files.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quire.functions import bengali, bijoy
+from quire.operators import assembly, layout, relational
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- shared SQL fragments ----------------------------------------------------
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+_KEYS = "".join("\\" + c if not c.isalnum() else c for c in bijoy.ascii_keys())
+_SQL_CONFIDENCE = f"""CASE WHEN length(text) = 0 OR regexp_matches(text, '[\\x{{0980}}-\\x{{09FF}}]') THEN 0.0
+  WHEN length(regexp_replace(text, '[^\\x21-\\x7E\\x{{80}}-\\x{{10FFFF}}]', '', 'g')) = 0 THEN 0.0
+  ELSE least(1.0::DOUBLE, length(regexp_replace(text, {_quoted(f'[^{_KEYS}\\x{{80}}-\\x{{10FFFF}}]')}, '', 'g'))::DOUBLE
+    / length(regexp_replace(text, '[^\\x21-\\x7E\\x{{80}}-\\x{{10FFFF}}]', '', 'g'))) END"""
+_TABLE = bijoy.conversion_table()
+_SQL_MAP = "MAP {" + ", ".join(f"{_quoted(k)}: {_quoted(v)}" for k, v in _TABLE.items()) + "}"
+_SQL_SUBSTITUTE = f"""array_to_string(list_transform(regexp_extract_all(translate(text, {_quoted(bijoy.ALIASES[0])}, {_quoted(bijoy.ALIASES[1])}), {_quoted(bijoy.substitution_pattern())}),
+  lambda p: coalesce(codes.m[p], p)), '')"""
+
+
+def _values(rows: list[tuple]) -> str:
+    def one(v):
+        return "NULL" if v is None else _quoted(v) if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else repr(v)
+
+    return ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
+
+
+# --- Bijoy and Bengali functions ----------------------------------------------
+
+
+@query(f"SELECT doc_id, round({_SQL_CONFIDENCE}, 9) AS confidence FROM documents")
+def bijoy_confidence_by_doc(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.round(bijoy.confidence(F.col("text")), 9).alias("confidence"))
+
+
+@query(f"""SELECT lang, count(*) AS docs, round(avg(c), 6) AS mean_confidence, round(max(c), 6) AS max_confidence, count(*) FILTER (WHERE c > 0.5) AS likely
+  FROM (SELECT lang, {_SQL_CONFIDENCE} AS c FROM documents) GROUP BY lang""")
+def bijoy_confidence_summary(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("lang", bijoy.confidence(F.col("text")).alias("c"))
+    return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.round(F.avg("c"), 6).alias("mean_confidence"), F.round(F.max("c"), 6).alias("max_confidence"), F.count_if(F.col("c") > 0.5).alias("likely"))
+
+
+@query(f"WITH codes AS (SELECT {_SQL_MAP} AS m) SELECT doc_id, md5({_SQL_SUBSTITUTE}) AS digest FROM documents, codes")
+def bijoy_substitute_by_doc(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.md5(bijoy.substitute(bijoy.canonical(F.col("text")))).alias("digest"))
+
+
+_CONSONANTS, _TAILS_ = bijoy.CONSONANT, bijoy.CLUSTER_TAIL
+_SQL_PRE_BASE = _quoted(f"([{bengali.PRE_BASE}])([{_CONSONANTS}](?:[{_TAILS_}]|{bengali.VIRAMA}[{_CONSONANTS}])*)")
+
+
+@query(f"WITH codes AS (SELECT {_SQL_MAP} AS m) SELECT doc_id, md5(regexp_replace({_SQL_SUBSTITUTE}, {_SQL_PRE_BASE}, '\\2\\1', 'g')) AS digest FROM documents, codes")
+def bijoy_reorder_prebase(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.md5(bijoy.reorder_pre_base(bijoy.substitute(bijoy.canonical(F.col("text"))))).alias("digest"))
+
+
+@query()
+def bijoy_to_unicode_by_doc(spark, sf_dir):
+    """The whole conversion; the reph step looks back without bound, so tests compare it with a character loop."""
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.md5(bijoy.to_unicode("text")).alias("digest"), F.length(bijoy.to_unicode("text")).alias("chars"))
+
+
+# Published conversion pairs.
+_GOLDEN = [("Avgvi ‡mvbvi evsjv", "আমার সোনার বাংলা"), ("wK", "কি"), ("Kg©", "কর্ম"), ("cÖ_g †kÖwY", "প্রথম শ্রেণি"), ("cª_g ‡kªwY", "প্রথম শ্রেণি"), ("cÖvwšÍK", "প্রান্তিক")]
+
+
+@query(f"SELECT ansi, unicode FROM (VALUES {_values(_GOLDEN)}) AS v(ansi, unicode)")
+def bijoy_golden(spark, sf_dir):
+    pairs = spark.createDataFrame([(a,) for a, _ in _GOLDEN], "ansi string")
+    return pairs.select("ansi", bijoy.to_unicode("ansi").alias("unicode"))
+
+
+_FONT_NAMES = ["SutonnyMJ", "ABCDEF+SutonnyOMJ-Bold", "Times New Roman", "Bijoy Ekushey", "Ansi-Sans", "Amar Bangla", "Kalpurush", "Shree-Lipi 12"]
+
+
+@query(f"""SELECT name, regexp_matches(regexp_replace(lower(name), '[^a-z]', '', 'g'), {_quoted('|'.join(bijoy.FONT_HINTS))}) AS bijoy
+  FROM (SELECT p_name AS name FROM part UNION ALL SELECT * FROM (VALUES {_values([(n,) for n in _FONT_NAMES])}))""")
+def bijoy_font_names(spark, sf_dir):
+    names = _table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).unionByName(spark.createDataFrame([(n,) for n in _FONT_NAMES], "name string"))
+    return names.select("name", bijoy.looks_like_font(F.col("name")).alias("bijoy"))
+
+
+_SPELLINGS = [*bengali.DECOMPOSITIONS, ("plain", "plain")]
+
+
+@query(f"SELECT composed, decomposed, composed AS back FROM (VALUES {_values(_SPELLINGS)}) AS v(composed, decomposed)")
+def compose_decompose_roundtrip(spark, sf_dir):
+    df = spark.createDataFrame([(a,) for a, _ in _SPELLINGS], "composed string")
+    return df.select("composed", bengali.decompose(F.col("composed")).alias("decomposed"), bengali.recompose(bengali.decompose(F.col("composed"))).alias("back"))
+
+
+_SQL_CATEGORY = "CASE " + " ".join(f"WHEN {' OR '.join(f'cp BETWEEN {a} AND {b}' for a, b in r)} THEN '{n}'" for n, r in bengali.CATEGORY_RANGES) + " ELSE 'other' END"
+
+
+@query(f"SELECT {_SQL_CATEGORY} AS category, count(*) AS code_points, min(cp) AS lowest FROM (SELECT unnest(range(2432, 2560)) AS cp UNION ALL SELECT unnest([8204, 8205, 9676])) GROUP BY 1")
+def indic_category_counts(spark, sf_dir):
+    cps = spark.range(0x0980, 0x0A00).select(F.col("id").alias("cp")).union(spark.createDataFrame([(0x200C,), (0x200D,), (0x25CC,)], "cp long"))
+    return cps.groupBy(bengali.category(F.col("cp")).alias("category")).agg(F.count(F.lit(1)).alias("code_points"), F.min("cp").alias("lowest"))
+
+
+@query(f"""WITH codes AS (SELECT {_SQL_MAP} AS m), t AS (SELECT lang, {_SQL_SUBSTITUTE} AS converted FROM documents, codes),
+  w AS (SELECT lang, unnest(regexp_extract_all(converted, {_quoted(bengali.BENGALI_WORD)})) AS word FROM t)
+  SELECT lang, count(*) AS words, count(*) FILTER (WHERE regexp_matches(word, {_quoted(bengali.MALFORMED)})) AS malformed FROM w GROUP BY lang""")
+def malformed_word_rate(spark, sf_dir):
+    """Substituted but not reordered text, which breaks the spelling rules often enough to count."""
+    docs = _table(spark, sf_dir, "documents").select("lang", bijoy.substitute(bijoy.canonical(F.col("text"))).alias("converted"))
+    words = docs.select("lang", F.explode(bengali.bengali_words(F.col("converted"))).alias("word"))
+    return words.groupBy("lang").agg(F.count(F.lit(1)).alias("words"), F.count_if(F.col("word").rlike(bengali.MALFORMED)).alias("malformed"))
+
+
+@query("""SELECT 'documents' AS relation, count(*) AS items, count(*) FILTER (WHERE NOT regexp_matches(text, '\\p{L}')) AS wordless FROM documents
+  UNION ALL SELECT 'pages', count(*), count(*) FILTER (WHERE NOT regexp_matches(html, '\\p{L}')) FROM pages
+  UNION ALL SELECT 'conversations', count(*), count(*) FILTER (WHERE NOT regexp_matches(text, '\\p{L}')) FROM conversations""")
+def wordless_pages(spark, sf_dir):
+    out = None
+    for name, col in (("documents", "text"), ("pages", "html"), ("conversations", "text")):
+        part = _table(spark, sf_dir, name).agg(F.count(F.lit(1)).alias("items"), F.count_if(bengali.is_wordless(F.col(col))).alias("wordless")).select(F.lit(name).alias("relation"), "items", "wordless")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+# --- runs to pages to documents -------------------------------------------------
+
+_TOKEN = "\\p{L}+|[0-9]+|[^\\p{L}0-9\\s]"
+_SQL_RUNS = f"""runs AS (SELECT doc_id, pos - 1 AS run_seq, toks[pos] AS text, -12.0 * ((pos - 1) // 12) AS y
+  FROM (SELECT doc_id, toks, unnest(range(1, len(toks) + 1)) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '{_TOKEN}') AS toks FROM documents)))"""
+
+
+def _token_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One run per token of each whole document, twelve to a line, each its own text object."""
+    toks = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0))).alias("run_seq", "text"))
+    return toks.select("doc_id", F.lit(1).alias("page_no"), "run_seq", "text", F.lit(0.0).alias("x"), (-12.0 * F.floor(F.col("run_seq") / 12)).alias("y"), F.lit(12.0).alias("font_size"), F.col("run_seq").alias("object_index"))
+
+
+def _no_flags(runs: DataFrame) -> DataFrame:
+    return runs.withColumns({"is_bijoy": F.lit(False), "is_inferred": F.lit(False), "is_unmapped": F.lit(False)})
+
+
+_L, _R, _N = _quoted(assembly.BINDS_LEFT), _quoted(assembly.BINDS_RIGHT), _quoted(assembly.IN_NUMBERS)
+_SQL_ASSEMBLE = f"""{_SQL_RUNS}, n AS (SELECT *, lag(text) OVER w AS prev, lag(text, 2) OVER w AS prev2, lag(y) OVER w AS py, lag(y, 2) OVER w AS py2 FROM runs WINDOW w AS (PARTITION BY doc_id ORDER BY run_seq)),
+  s AS (SELECT *, right(prev, 1) AS lastc,
+     CASE WHEN length(prev) >= 2 THEN substr(right(prev, 2), 1, 1)
+          WHEN prev2 IS NULL OR py <> py2 OR prev = '-' THEN NULL
+          ELSE right(prev2, 1) END AS second, left(text, 1) AS firstc FROM n),
+  p AS (SELECT doc_id, run_seq, CASE WHEN prev IS NULL THEN '' WHEN abs(py - y) > 4.8 THEN chr(10)
+     WHEN contains({_L}, firstc) OR contains({_R}, lastc) THEN ''
+     WHEN contains({_N}, lastc) AND regexp_matches(coalesce(second, ''), '[0-9]') AND regexp_matches(firstc, '[0-9]') THEN ''
+     ELSE ' ' END || text AS piece FROM s)"""
+
+
+@query(f"WITH {_SQL_ASSEMBLE} SELECT doc_id, md5(trim(string_agg(piece, '' ORDER BY run_seq), chr(10) || ' ')) AS digest, count(*) AS runs FROM p GROUP BY doc_id")
+def line_assembly(spark, sf_dir):
+    """Runs to lines to page text; the separator rule looks at what has been written."""
+    pages = assembly.assemble_pages(_no_flags(_token_runs(spark, sf_dir)))
+    return pages.select("doc_id", F.md5("text").alias("digest"), (F.col("mapped") + F.col("inferred") + F.col("unmapped")).alias("runs"))
+
+
+_SQL_FLAGS = "doc_id % 5 = 0 AS is_bijoy, doc_id % 3 = 0 AS is_inferred, doc_id % 7 = 0 AS is_unmapped"
+_SQL_TALLY = f"""WITH {_SQL_RUNS}, f AS (SELECT *, {_SQL_FLAGS}, {_SQL_CONFIDENCE} > 0 AS looks FROM runs),
+  g AS (SELECT doc_id, count(*) FILTER (WHERE is_bijoy AND looks) AS bj, count(*) FILTER (WHERE NOT (is_bijoy AND looks) AND NOT is_inferred AND NOT is_unmapped) AS m,
+    count(*) FILTER (WHERE NOT (is_bijoy AND looks) AND is_inferred) AS i, count(*) FILTER (WHERE NOT (is_bijoy AND looks) AND NOT is_inferred AND is_unmapped) AS u FROM f GROUP BY doc_id)"""
+
+
+def _flagged(spark, sf_dir) -> DataFrame:
+    flags = {"is_bijoy": F.col("doc_id") % 5 == 0, "is_inferred": F.col("doc_id") % 3 == 0, "is_unmapped": F.col("doc_id") % 7 == 0}
+    return _token_runs(spark, sf_dir).withColumns(flags)
+
+
+def _tallies(spark, sf_dir) -> DataFrame:
+    """The counts of ``assemble_pages`` without its text."""
+    runs = _flagged(spark, sf_dir).withColumn("bj", F.col("is_bijoy") & (bijoy.confidence(F.col("text")) > 0))
+    plain = ~F.col("bj")
+    return runs.groupBy("doc_id", "page_no").agg(
+        F.count_if(F.col("bj") | (plain & ~F.col("is_inferred") & ~F.col("is_unmapped"))).alias("mapped"),
+        F.count_if(plain & F.col("is_inferred")).alias("inferred"),
+        F.count_if(plain & ~F.col("is_inferred") & F.col("is_unmapped")).alias("unmapped"),
+        F.bool_or("bj").alias("saw_bijoy"),
+    )
+
+
+@query(f"""{_SQL_TALLY} SELECT doc_id, m + bj AS mapped, i AS inferred, u AS unmapped,
+  round((m + bj + 0.75 * i) / (m + bj + i + u) * CASE WHEN bj > 0 THEN 0.85 ELSE 1 END, 9) AS certainty FROM g""")
+def page_certainty(spark, sf_dir):
+    pages = _tallies(spark, sf_dir)
+    return pages.select("doc_id", "mapped", "inferred", "unmapped", F.round(assembly.certainty(pages), 9).alias("certainty"))
+
+
+@query(f"""{_SQL_TALLY}, c AS (SELECT doc_id // 10 AS volume, (m + bj + 0.75 * i) / (m + bj + i + u) * CASE WHEN bj > 0 THEN 0.85 ELSE 1 END AS c FROM g)
+  SELECT volume, count(*) AS pages, round(avg(c), 6) AS confidence FROM c GROUP BY volume""")
+def doc_confidence(spark, sf_dir):
+    """Ten documents as the pages of one volume."""
+    pages = _tallies(spark, sf_dir)
+    pages = pages.select(F.floor(F.col("doc_id") / 10).alias("volume"), assembly.certainty(pages).alias("c"))
+    return pages.groupBy("volume").agg(F.count(F.lit(1)).alias("pages"), F.round(F.avg("c"), 6).alias("confidence"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, doc_id % 5 = 0 AND {_SQL_CONFIDENCE} > 0 AS b, regexp_matches(text, '[\\x{{0980}}-\\x{{09FF}}]') AS u, text FROM documents)
+  SELECT doc_id, CASE WHEN trim(text) = '' THEN 'none' WHEN u AND b THEN 'mixed' WHEN b THEN 'bijoy' ELSE 'unicode' END AS encoding FROM t""")
+def encoding_classify(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    b = (F.col("doc_id") % 5 == 0) & (bijoy.confidence(F.col("text")) > 0)
+    return docs.select("doc_id", assembly.classify(bengali.has_bengali(F.col("text")), b, F.col("text")).alias("encoding"))
+
+
+# --- islands, dictionaries, votes, trees ----------------------------------------
+
+_SQL_SCRIPT = "CASE WHEN cp BETWEEN 2432 AND 2559 THEN 'Beng' WHEN cp IN (8204, 8205) OR cp <= 64 OR cp BETWEEN 91 AND 96 OR cp BETWEEN 123 AND 191 OR cp BETWEEN 8192 AND 8303 OR cp BETWEEN 8352 AND 8399 THEN 'Zyyy' ELSE 'Other' END"
+
+
+@query(f"""WITH chars AS (SELECT o_orderpriority AS k, o_orderkey AS id, pos, unicode(substr(o_orderpriority || '-' || o_orderstatus, pos, 1)) AS cp
+     FROM (SELECT *, unnest(range(1, length(o_orderpriority) + 3)) AS pos FROM orders)),
+  s AS (SELECT id, pos, {_SQL_SCRIPT} AS script FROM chars),
+  f AS (SELECT *, CASE WHEN lag(script) OVER w IS DISTINCT FROM script THEN 1 ELSE 0 END AS st FROM s WINDOW w AS (PARTITION BY id ORDER BY pos)),
+  g AS (SELECT *, sum(st) OVER (PARTITION BY id ORDER BY pos) - 1 AS segment FROM f)
+  SELECT id AS o_orderkey, CAST(segment AS BIGINT) AS segment, any_value(script) AS script, count(*) AS chars FROM g GROUP BY id, segment""")
+def script_segments(spark, sf_dir):
+    text = F.concat_ws("-", "o_orderpriority", "o_orderstatus")
+    chars = _table(spark, sf_dir, "orders").select("o_orderkey", F.posexplode(F.split(text, "")).alias("pos", "ch"))
+    chars = chars.withColumn("script", bengali.script(F.ascii("ch")))
+    w = Window.partitionBy("o_orderkey").orderBy("pos")
+    out = relational.islands(chars, ["o_orderkey"], ["pos"], F.lag("script").over(w) != F.col("script"), "segment")
+    return out.groupBy("o_orderkey", "segment").agg(F.first("script").alias("script"), F.count(F.lit(1)).alias("chars"))
+
+
+@query("""WITH p AS (SELECT user_id, event_id, value, hour(ts) AS y FROM events),
+  l AS (SELECT *, lag(y) OVER w AS py, lag(value) OVER w AS px FROM p WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+  g AS (SELECT *, sum(CASE WHEN px IS NULL OR abs(y - py) > 4 OR value - px > 25 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS island FROM l)
+  SELECT user_id, CAST(island AS BIGINT) AS island, count(*) AS glyphs, min(event_id) AS first_event FROM g GROUP BY user_id, island""")
+def glyph_islands(spark, sf_dir):
+    """Events as glyphs: a new island where the line changes or a gap is too wide."""
+    points = _table(spark, sf_dir, "events").select("user_id", "event_id", "value", F.hour("ts").alias("y"))
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    breaks = (F.abs(F.col("y") - F.lag("y").over(w)) > 4) | (F.col("value") - F.lag("value").over(w) > 25)
+    out = relational.islands(points, ["user_id"], ["event_id"], breaks)
+    return out.groupBy("user_id", "island").agg(F.count(F.lit(1)).alias("glyphs"), F.min("event_id").alias("first_event"))
+
+
+@query("SELECT o_custkey, arg_min(o_orderkey, struct_pack(d := o_orderdate, k := o_orderkey)) AS first_order FROM orders GROUP BY o_custkey")
+def first_wins_index(spark, sf_dir):
+    return relational.first_wins(_table(spark, sf_dir, "orders"), ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")]).select("o_custkey", F.col("o_orderkey").alias("first_order"))
+
+
+@query("SELECT o_custkey, arg_max(o_orderkey, struct_pack(d := o_orderdate, k := o_orderkey)) AS last_order FROM orders GROUP BY o_custkey")
+def last_wins_index(spark, sf_dir):
+    return relational.last_wins(_table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", F.col("o_orderkey").alias("last_order"))
+
+
+@query("""WITH f AS (SELECT l_suppkey, l_partkey, l_quantity, min(struct_pack(o := l_orderkey, n := l_linenumber)) AS seq FROM lineitem GROUP BY ALL)
+  SELECT l_suppkey, l_partkey, l_quantity, row_number() OVER (PARTITION BY l_suppkey ORDER BY seq, l_partkey, l_quantity) AS code FROM f""")
+def cid_dictionary(spark, sf_dir):
+    """Codes in order of first appearance; suppliers stand for fonts, (part, quantity) for (glyph, advance)."""
+    return relational.dictionary(_table(spark, sf_dir, "lineitem"), ["l_partkey", "l_quantity"], ["l_orderkey", "l_linenumber"], ["l_suppkey"]).select("l_suppkey", "l_partkey", "l_quantity", "code")
+
+
+@query("""WITH v AS (SELECT event_id % 5000 AS subject, event_type, count(*) AS votes FROM events GROUP BY ALL),
+  r AS (SELECT *, sum(votes) OVER (PARTITION BY subject) - votes AS others, row_number() OVER (PARTITION BY subject ORDER BY votes DESC, event_type) AS rk FROM v)
+  SELECT subject, event_type, votes, CAST(others AS BIGINT) AS others FROM r WHERE rk = 1 AND votes >= 2 * others AND votes > others""")
+def vote_adoption(spark, sf_dir):
+    events = _table(spark, sf_dir, "events").select((F.col("event_id") % 5000).alias("subject"), "event_type")
+    return relational.adopt_votes(events, ["subject"], "event_type")
+
+
+@query("""SELECT l_suppkey, count(*) FILTER (WHERE l_quantity >= p_size) AS agree, count(*) FILTER (WHERE NOT (l_quantity >= p_size)) AS disagree,
+  count(*) FILTER (WHERE NOT (l_quantity >= p_size)) >= 3 AND count(*) FILTER (WHERE NOT (l_quantity >= p_size)) * 10 >= count(*) AS contradicts
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey""")
+def cmap_contradiction(spark, sf_dir):
+    """Claims (line items) against a truth table (parts), by font (supplier)."""
+    claims = _table(spark, sf_dir, "lineitem").select("l_suppkey", "l_quantity", F.col("l_partkey").alias("gid"))
+    truth = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("gid"), "p_size")
+    return relational.contradictions(claims, truth, ["gid"], ["l_suppkey"], F.col("l_quantity") >= F.col("p_size"))
+
+
+@query("""WITH RECURSIVE nodes AS (
+    SELECT 'r' || r_regionkey AS id, NULL AS parent, r_regionkey AS ord, r_name AS resources, CAST(NULL AS VARCHAR) AS media FROM region
+    UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_name END, n_name FROM nation
+    UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END, NULL FROM customer),
+  t AS (SELECT id, 0 AS level, resources, media FROM nodes WHERE parent IS NULL
+    UNION ALL SELECT n.id, t.level + 1, coalesce(n.resources, t.resources), coalesce(n.media, t.media) FROM t JOIN nodes n ON n.parent = t.id)
+  SELECT id, level, resources, media FROM t""")
+def inherited_tree(spark, sf_dir):
+    """Regions, nations and customers as a page tree with inherited attributes."""
+    none = F.lit(None).cast("string")
+    key = lambda prefix, col: F.concat(F.lit(prefix), F.col(col).cast("string"))
+    nodes = _table(spark, sf_dir, "region").select(key("r", "r_regionkey").alias("id"), none.alias("parent"), F.col("r_regionkey").cast("long").alias("ord"), F.col("r_name").alias("resources"), none.alias("media"))
+    nodes = nodes.unionByName(_table(spark, sf_dir, "nation").select(key("n", "n_nationkey").alias("id"), key("r", "n_regionkey").alias("parent"), F.col("n_nationkey").cast("long").alias("ord"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).alias("resources"), F.col("n_name").alias("media")))
+    nodes = nodes.unionByName(_table(spark, sf_dir, "customer").select(key("c", "c_custkey").alias("id"), key("n", "c_nationkey").alias("parent"), F.col("c_custkey").alias("ord"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).alias("resources"), none.alias("media")))
+    return relational.inherited_tree(nodes, ["resources", "media"]).select("id", "level", "resources", "media")
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT s_suppkey AS src, (s_suppkey * 7 + s_nationkey) % (SELECT count(*) FROM supplier) AS dst FROM supplier),
+  c AS (SELECT CAST(s_suppkey AS BIGINT) AS node FROM supplier WHERE s_nationkey = 3 UNION SELECT CAST(e.dst AS BIGINT) FROM c JOIN e ON e.src = c.node)
+  SELECT node FROM c""")
+def closure(spark, sf_dir):
+    """Composite glyphs: everything reachable from the used ones."""
+    supplier = _table(spark, sf_dir, "supplier")
+    total = supplier.agg(F.count(F.lit(1)).alias("total"))  # one row
+    edges = supplier.join(F.broadcast(total)).select(F.col("s_suppkey").alias("src"), ((F.col("s_suppkey") * 7 + F.col("s_nationkey")) % F.col("total")).alias("dst")).distinct()
+    return relational.closure(edges, supplier.where("s_nationkey = 3").select(F.col("s_suppkey").alias("node")))
+
+
+@query("""SELECT size, count(*) AS parts, round(sum(p_retailprice), 2) AS price FROM (SELECT p_partkey, p_retailprice, unnest(generate_series(p_size, p_size + p_partkey % 4)) AS size FROM part) GROUP BY size""")
+def range_expand_join(spark, sf_dir):
+    parts = _table(spark, sf_dir, "part").select("p_retailprice", F.col("p_size").cast("long").alias("low"), (F.col("p_size") + F.col("p_partkey") % 4).alias("high"))
+    sizes = relational.expand_ranges(parts, "low", "high", "size")
+    return sizes.groupBy("size").agg(F.count(F.lit(1)).alias("parts"), F.round(F.sum("p_retailprice"), 2).alias("price"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, coalesce(p.p_brand, s.s_name, 'none') AS chosen FROM lineitem
+  LEFT JOIN (SELECT p_partkey, p_brand FROM part WHERE p_size > 25) p ON l_partkey = p.p_partkey LEFT JOIN supplier s ON l_partkey = s.s_suppkey""")
+def ordered_choice(spark, sf_dir):
+    """Look-ups in order: the first table that knows the key wins."""
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("key"))
+    parts = _table(spark, sf_dir, "part").where("p_size > 25").select(F.col("p_partkey").alias("key"), "p_brand")
+    suppliers = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), "s_name")
+    return relational.ordered_choice(lines, [(parts, "p_brand"), (suppliers, "s_name")], "key", "chosen").select("l_orderkey", "l_linenumber", F.coalesce("chosen", F.lit("none")).alias("chosen"))
+
+
+_MATRICES = [(1, [[1.0, 0.0, 0.0, 1.0, 10.0, 20.0]]), (2, [[2.0, 0.0, 0.0, 2.0, 0.0, 0.0], [1.0, 0.0, 0.0, 1.0, 5.0, 7.0]]), (3, [[0.0, 1.0, -1.0, 0.0, 0.0, 0.0], [1.0, 0.0, 0.0, 1.0, 3.0, 4.0]]), (4, [])]
+_PRODUCTS = [(1, 1.0, 0.0, 0.0, 1.0, 10.0, 20.0), (2, 2.0, 0.0, 0.0, 2.0, 10.0, 14.0), (3, 0.0, 1.0, -1.0, 0.0, -4.0, 3.0), (4, 1.0, 0.0, 0.0, 1.0, 0.0, 0.0)]
+
+
+@query(f"SELECT id, CAST(a AS DOUBLE) a, CAST(b AS DOUBLE) b, CAST(c AS DOUBLE) c, CAST(d AS DOUBLE) d, CAST(e AS DOUBLE) e, CAST(f AS DOUBLE) f FROM (VALUES {_values(_PRODUCTS)}) AS v(id, a, b, c, d, e, f)")
+def align_matrix_fold(spark, sf_dir):
+    df = spark.createDataFrame(_MATRICES, "id int, m array<array<double>>").select("id", relational.fold_matrices(F.col("m")).alias("t"))
+    return df.select("id", *[(F.col("t")[i] + 0.0).alias(c) for i, c in enumerate("abcdef")])
+
+
+@query("SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ''), lambda c: '00' || upper(hex(c))), '') AS hex FROM part")
+def utf16_hex(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select("p_partkey", relational.utf16_hex(F.col("p_name")).alias("hex"))
+
+
+# --- layout -----------------------------------------------------------------------
+
+
+@query()
+def greedy_wrap(spark, sf_dir):
+    """Line breaking over whole documents at 40 units, one per character; tests compare it with a plain loop."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    lines = layout.wrap_lines(docs, "doc_id", "text", 40.0)
+    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.max("visual_width").alias("widest"), F.count_if("ends_paragraph").alias("paragraphs"))
+
+
+@query()
+def align_justify(spark, sf_dir):
+    """Offsets of each alignment and the widest gap that justification opens, by document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    lines = layout.wrap_lines(docs, "doc_id", "text", 40.0)
+    width = F.col("visual_width")
+    return lines.groupBy("doc_id").agg(
+        F.sum(layout.align_offset(F.lit("right"), F.lit(40.0), width)).alias("right"),
+        F.sum(layout.align_offset(F.lit("center"), F.lit(40.0), width)).alias("centre"),
+        F.round(F.max(layout.justify_gap(F.col("text"), width, F.lit(40.0), F.col("ends_paragraph"))), 9).alias("widest_gap"),
+    )
