@@ -188,7 +188,7 @@ _SQL_ASSEMBLE = f"""{_SQL_RUNS}, n AS (SELECT *, lag(text) OVER w AS prev, lag(t
 @query(f"WITH {_SQL_ASSEMBLE} SELECT doc_id, md5(trim(string_agg(piece, '' ORDER BY run_seq), chr(10) || ' ')) AS digest, count(*) AS runs FROM p GROUP BY doc_id")
 def line_assembly(spark, sf_dir):
     """Runs to lines to page text; the separator rule looks at what has been written."""
-    pages = assembly.assemble_pages(_no_flags(_token_runs(spark, sf_dir)))
+    pages = assembly.assemble_pages(_no_flags(_token_runs(spark, sf_dir)), convert=False)
     return pages.select("doc_id", F.md5("text").alias("digest"), (F.col("mapped") + F.col("inferred") + F.col("unmapped")).alias("runs"))
 
 
