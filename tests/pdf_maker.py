@@ -107,8 +107,10 @@ def gsub_ligatures(ligatures, feature=b"pres", script=b"beng"):
 def simple_tables(glyphs=40, upem=1000):
     """head, hhea, hmtx, maxp for ``glyphs`` glyphs of width 500."""
     head = bytearray(54)
+    struct.pack_into(">III", head, 0, 0x00010000, 0, 0)
+    struct.pack_into(">I", head, 12, 0x5F0F3CF5)
     struct.pack_into(">H", head, 18, upem)
     hhea = bytearray(36)
-    struct.pack_into(">hh", hhea, 4, 800, -200)
+    struct.pack_into(">Ihh", hhea, 0, 0x00010000, 800, -200)
     struct.pack_into(">H", hhea, 34, glyphs)
     return {"head": bytes(head), "hhea": bytes(hhea), "hmtx": struct.pack(">Hh", 500, 0) * glyphs, "maxp": struct.pack(">IH", 0x00010000, glyphs)}
