@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from quire.functions import bengali, bijoy
 from quire.operators import assembly, layout, relational
+from quire.sources import pdf, pdf_writer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -389,3 +390,38 @@ def align_justify(spark, sf_dir):
         F.sum(layout.align_offset(F.lit("center"), F.lit(40.0), width)).alias("centre"),
         F.round(F.max(layout.justify_gap(F.col("text"), width, F.lit(40.0), F.col("ends_paragraph"))), 9).alias("widest_gap"),
     )
+
+
+# --- PDF files made from the documents, and read again -------------------------------
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pdf_writer.render_plain(_table(spark, sf_dir, "documents"))
+    return made.select(F.col("doc_id").cast("string").alias("doc_id"), "content")
+
+
+_SQL_LINES = """lines AS (SELECT doc_id, pos, regexp_replace(regexp_replace(parts[pos], '[^\\x00-\\xFF]', '?', 'g'), '[\\x00-\\x1F]', '', 'g') AS line, parts[pos] AS raw
+  FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)))"""
+
+
+@query(f"""WITH {_SQL_LINES}, pages AS (SELECT doc_id, (pos - 1) // 60 AS page, trim(string_agg(line, chr(10) ORDER BY pos), chr(10) || chr(160) || ' ') AS text FROM lines WHERE line <> '' GROUP BY ALL)
+  SELECT doc_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY page)) AS digest, 'unicode' AS encoding, CAST(1 AS DOUBLE) AS confidence FROM pages WHERE text <> '' GROUP BY doc_id""")
+def extract_pdf_documents(spark, sf_dir):
+    """Each document as a PDF file of sixty lines a page, and its text extracted: bytes to pages to result."""
+    got = pdf.extract_documents(_files(spark, sf_dir)).where("text <> ''")
+    return got.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("digest"), "encoding", "confidence")
+
+
+@query(f"""WITH {_SQL_LINES}, n AS (SELECT count(*) AS all_lines, count(*) FILTER (WHERE raw <> '') AS shown, count(DISTINCT (doc_id, (pos - 1) // 60)) AS pages FROM lines)
+  SELECT unnest(['BT', 'ET', 'Tf', 'TL', 'Td', 'Tj', 'T*']) AS operator, unnest([pages, pages, pages, pages, pages, shown, all_lines]) AS uses FROM n""")
+def pdf_content_operators(spark, sf_dir):
+    """The operators of all pages, tokenised from their content."""
+    return pdf.content_ops(_files(spark, sf_dir)).groupBy("operator").agg(F.count(F.lit(1)).alias("uses"))
+
+
+@query(f"""WITH {_SQL_LINES}, n AS (SELECT doc_id, count(DISTINCT (pos - 1) // 60) AS pages FROM lines GROUP BY doc_id)
+  SELECT doc_id, pages AS streams, pages + 3 AS dicts FROM n""")
+def pdf_object_kinds(spark, sf_dir):
+    """Objects by kind: a content stream and a page dictionary per page, and catalogue, page tree and font."""
+    found = pdf.objects(_files(spark, sf_dir)).groupBy("doc_id").agg(F.count_if(F.col("kind") == "stream").alias("streams"), F.count_if(F.col("kind") == "dict").alias("dicts"))
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "streams", "dicts")

@@ -258,14 +258,7 @@ def render_pdf(text: str, fonts: list[OpenType], size: float = 12.0, width: floa
         bodies.append(f"<< /Type /Page /Parent 2 0 R /Contents {len(bodies)} 0 R >>".encode())
         kids.append(f"{len(bodies)} 0 R")
     bodies[1] = f"<< /Type /Pages /Kids [{' '.join(kids)}] /Count {len(kids)} /MediaBox [0 0 {number(page[0])} {number(page[1])}] /Resources << /Font << {' '.join(names)} >> >> >>".encode()
-    out, starts = bytearray(b"%PDF-1.5\n%\xe2\xe3\xcf\xd3\n"), []
-    for n, body in enumerate(bodies, 1):
-        starts.append(len(out))
-        out += b"%d 0 obj\n%s\nendobj\n" % (n, body)
-    table = b"".join(b"%010d 00000 n \n" % s for s in starts)
-    at = len(out)
-    out += b"xref\n0 %d\n0000000000 65535 f \n%strailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(bodies) + 1, table, len(bodies) + 1, at)
-    return bytes(out)
+    return _file(bodies)
 
 
 def render(df: DataFrame, font_files: list[bytes], id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -281,3 +274,42 @@ def render(df: DataFrame, font_files: list[bytes], id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([None if t is None else render_pdf(t, fonts, **options) for t in part.column(1).to_pylist()], pa.binary())], [id_col, "content"])
 
     return rows.mapInArrow(run, f"{id_col} {dict(rows.dtypes)[id_col]}, content binary")
+
+
+def plain_pdf(text: str, lines_per_page: int = 60) -> bytes:
+    """A PDF file in a standard font, one show per line; characters beyond Latin-1 become '?'."""
+    lines = text.split("\n")
+    bodies = [b"<< /Type /Catalog /Pages 2 0 R >>", b"", b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>"]
+    kids = []
+    for start in range(0, len(lines), lines_per_page):
+        shows = []
+        for line in lines[start : start + lines_per_page]:
+            raw = line.encode("latin-1", "replace").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)").replace(b"\r", b"\\r")
+            shows.append(b"(" + raw + b") Tj T*" if raw else b"T*")
+        bodies.append(_stream(b"BT /F1 12 Tf 14 TL 36 780 Td\n" + b"\n".join(shows) + b"\nET"))
+        bodies.append(b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % len(bodies))
+        kids.append(b"%d 0 R" % len(bodies))
+    bodies[1] = b"<< /Type /Pages /Kids [%s] /Count %d /MediaBox [0 0 612 792] /Resources << /Font << /F1 3 0 R >> >> >>" % (b" ".join(kids), len(kids))
+    return _file(bodies)
+
+
+def _file(bodies: list[bytes]) -> bytes:
+    out, starts = bytearray(b"%PDF-1.5\n%\xe2\xe3\xcf\xd3\n"), []
+    for n, body in enumerate(bodies, 1):
+        starts.append(len(out))
+        out += b"%d 0 obj\n%s\nendobj\n" % (n, body)
+    table, at, size = b"".join(b"%010d 00000 n \n" % s for s in starts), len(out), len(bodies) + 1
+    return bytes(out) + b"xref\n0 %d\n0000000000 65535 f \n%strailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (size, table, size, at)
+
+
+def render_plain(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``<id>, content``: ``plain_pdf`` of each row's text."""
+    rows = df.select(id_col, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([None if t is None else plain_pdf(t) for t in part.column(1).to_pylist()], pa.binary())], [id_col, "content"])
+
+    return rows.mapInArrow(run, f"{id_col} {dict(rows.dtypes)[id_col]}, content binary")
