@@ -13,13 +13,13 @@ the document. A coordinate left empty sends the rank limit up until none is.
 ``BANDS`` bands of ``ROWS`` coordinates make buckets (a pair of similarity 0.8
 meets in none with probability 6e-5). Documents with equal word sequences are
 one node from the start. Within a bucket no pairs are listed: its nodes are
-compared to one leader, exactly, on their shingles; links at ``THRESHOLD`` or
-above join components, and further rounds, each with other leaders, concern
-only buckets that still span several components. Nodes that no leader has
-claimed after ``ROUNDS`` rounds are compared to every other component's nodes
-of their buckets, so no link is lost to the choice of leaders. Hot groups
-collapse in the first rounds; every step is a join or an aggregation that
-combines before its shuffle, and only counts come to the driver.
+compared to one leader, exactly, on their shingles, and links at ``THRESHOLD``
+or above join components. ``ROUNDS`` rounds with different leaders collapse
+what is alike. Where a bucket still spans several components, its nodes
+outside the largest one are compared to all its nodes, exactly, in blocks of
+bounded size whose only output are links; so no link is lost to the choice of
+leaders. Every other step is a join or an aggregation that combines before its
+shuffle, and only counts come to the driver.
 
 Defined results: a text of one to four words is one shingle of all of them; a
 null text or one without words is a class of its own row. The smallest doc_id
@@ -34,6 +34,7 @@ from collections.abc import Iterator
 from math import log, sqrt
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -42,14 +43,16 @@ from pyspark.sql import functions as F
 from quire.llm.common import stage
 from quire.llm.splitting import WordCache
 
-SHINGLE, THRESHOLD, BANDS, ROWS, ROUNDS = 5, 0.8, 32, 6, 4
+SHINGLE, THRESHOLD, BANDS, ROWS, ROUNDS = 5, 0.8, 32, 6, 2
 K = BANDS * ROWS
+#: Nodes on each side of a block, and shared units that its product holds at once.
+BLOCK, _COLUMNS = 256, 4096
 #: Tables of ids up to this many rows (about 60 bytes each) are broadcast, larger ones joined by shuffle.
 BROADCAST_ROWS = 500_000
 _WORD = re.compile(r"\w+")
 _U = np.uint64
 _FACTORS = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-_HASHES = WordCache(lambda words: [xxhash.xxh3_64_intdigest(w) for w in words], 400_000)
+_HASHES = WordCache(lambda words: [xxhash.xxh3_64_intdigest(w) for w in words], 300_000)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -233,15 +236,55 @@ def _leader_pairs(members: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.col("key").alias("a"), F.col("lead.key").alias("b")).distinct()
 
 
-def _rest_pairs(members: DataFrame) -> DataFrame:
-    """Nodes outside their bucket's largest component, with every node of another component there."""
+def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links between the block's outsiders (side 0) and its members (side 1) of other components, one per pair of components.
+
+    The common units of all pairs come from a product of two zero-one matrices,
+    built for some thousand shared units at a time.
+    """
+    left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
+    if not len(left) or not len(right):
+        return pd.DataFrame({"a": [], "b": []})
+    held = [np.frombuffer(u, np.uint32) for u in [*left["units"], *right["units"]]]
+    size = np.array([len(u) for u in held], np.float64)
+    owner = np.repeat(np.arange(len(held)), size.astype(np.int64))
+    _, unit, uses = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+    shared = uses > 1
+    number = np.cumsum(shared) - 1
+    live = shared[unit]
+    owner, column = owner[live], number[unit[live]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((len(left), len(right)), np.float64)
+    for first in range(0, int(shared.sum()), _COLUMNS):
+        a, b = np.searchsorted(column, [first, first + _COLUMNS])
+        ones = np.zeros((len(held), _COLUMNS), np.float32)
+        ones[owner[a:b], column[a:b] - first] = 1
+        common += ones[: len(left)] @ ones[len(left) :].T
+    every = size[: len(left), None] + size[None, len(left) :] - common
+    x, y = left["comp"].to_numpy(), right["comp"].to_numpy()
+    i, j = np.nonzero((common >= THRESHOLD * every - 1e-9) & (x[:, None] != y[None, :]))
+    out = pd.DataFrame({"a": left["key"].to_numpy()[i], "b": right["key"].to_numpy()[j], "x": x[i], "y": y[j]})
+    return out.drop_duplicates(["x", "y"])[["a", "b"]]
+
+
+def _rest_links(members: DataFrame, units: DataFrame) -> DataFrame:
+    """All links between components that share a bucket: its nodes outside the largest component against all its nodes.
+
+    Both sides are cut into chunks of about ``BLOCK`` nodes and each pair of
+    chunks is compared as a block; no pair is a row.
+    """
     sizes = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-    major = sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("bucket", F.col("top.comp").alias("major"))
-    mixed = members.join(major, "bucket")
-    left = mixed.where("comp <> major").select("bucket", F.col("key").alias("a"), F.col("total").alias("ta"), F.col("comp").alias("ca"))
-    right = mixed.select("bucket", F.col("key").alias("b"), F.col("total").alias("tb"), F.col("comp").alias("cb"), "major")
-    pairs = left.join(right, "bucket").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("major")) | (F.col("a") < F.col("b"))) & _near_in_size(F.col("ta"), F.col("tb")))
-    return pairs.select("a", "b").distinct()
+    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    mixed = mixed.select("bucket", F.col("top.comp").alias("major"), F.ceil(F.col("all") / BLOCK).cast("int").alias("all"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("outside"))
+    rows = members.join(mixed, "bucket").join(units, "key")
+    h = F.xxhash64("key")
+    place = F.struct
+    as_left = F.when(F.col("comp") != F.col("major"), F.transform(F.sequence(F.lit(0), F.col("all") - 1), lambda j: place(F.pmod(h, "outside").cast("int").alias("i"), j.alias("j"), F.lit(0).alias("side"))))
+    as_right = F.transform(F.sequence(F.lit(0), F.col("outside") - 1), lambda i: place(i.alias("i"), F.pmod(h, "all").cast("int").alias("j"), F.lit(1).alias("side")))
+    blocks = rows.select("bucket", "key", "comp", "units", F.explode(F.concat(F.coalesce(as_left, F.array().cast("array<struct<i:int,j:int,side:int>>")), as_right)).alias("p"))
+    blocks = blocks.select("bucket", "p.i", "p.j", "p.side", "key", "comp", "units")
+    return stage(blocks.groupBy("bucket", "i", "j").applyInPandas(_block_links, "a binary, b binary"), "near-links")
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,14 +307,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     held = stage(wanted.select("key", F.col("key").alias("comp")), "near-nodes")
     members = members.select("bucket", "key", "total")
 
-    for turn in range(ROUNDS + 1):
-        now = members.join(held, "key")
-        pairs = stage(_leader_pairs(now, turn) if turn < ROUNDS else _rest_pairs(now), "near-pairs")
-        if pairs.isEmpty():
-            if turn < ROUNDS:
-                continue  # other leaders may be nearer in size
-            break
-        held = _joined(held, _verified(pairs, units))
+    for turn in range(ROUNDS):
+        held = _joined(held, _verified(_leader_pairs(members.join(held, "key"), turn), units))
+    held = _joined(held, _rest_links(members.join(held, "key"), units))
 
     # the least (doc_id, copy) of a class tells the row that stays even where a doc_id occurs with several texts
     classes = signed.select("doc_id", "copy", "key").join(held, "key", "left").withColumn("comp", F.coalesce("comp", "key"))

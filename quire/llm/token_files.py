@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -182,7 +183,8 @@ class LowerWordEncoder:
         self.lib = Tokenizer.from_file(path)
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         model, alphabet = self.lib.model, {b: c for c, b in byte_alphabet().items()}
-        self.words = WordCache(lambda words: [np.array([t.id for t in model.tokenize(w.encode().decode("latin-1").translate(alphabet))], "<u4").tobytes() for w in words])
+        of = lambda w: w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(alphabet)
+        self.words = WordCache(lambda words: [array("I", [t.id for t in model.tokenize(of(w))]).tobytes() for w in words])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
