@@ -27,6 +27,7 @@ from quire.llm.common import stage
 
 BITS_PER_ROW = 32
 MIN_WORDS, MAX_WORDS = 1 << 10, 1 << 22
+HOT_GROUPS = 1000
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -78,13 +79,20 @@ def duplicate_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``."""
     rows = stage(docs.select(F.col(id_col).alias("doc_id"), F.sha2(fold_ascii(F.col(text_col)), 256).alias("text_sha256")), "exact-hashes")
     rows = rows.withColumn("_q_h", F.xxhash64("text_sha256"))
-    words = filter_words(rows.count())
-    rows = possible_repeats(rows, "_q_h", repeated_bits(rows, "_q_h", words), words)
+    n = rows.count()
+    words = filter_words(n)
+    rows = possible_repeats(rows, "_q_h", stage(repeated_bits(rows, "_q_h", words), "exact-filter"), words)
     alone = rows.where(~F.col("_qb_maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     maybe = rows.where("_qb_maybe").select("doc_id", "text_sha256")
-    groups = maybe.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = stage(maybe.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "exact-groups")
     nth = F.row_number().over(Window.partitionBy("text_sha256", "doc_id").orderBy("doc_id"))
-    marked = maybe.withColumn("_q_n", nth).join(groups, "text_sha256")
+    marked = maybe.withColumn("_q_n", nth)
+    # groups of more than 1 in HOT_GROUPS rows are at most HOT_GROUPS: their rows need no shuffle by text
+    hot = F.col("group_size") > n / HOT_GROUPS
+    large = groups.where(hot)
+    by_broadcast = marked.join(F.broadcast(large), "text_sha256")
+    by_shuffle = marked.join(F.broadcast(large.select("text_sha256")), "text_sha256", "left_anti").join(groups.where(~hot), "text_sha256")
+    marked = by_broadcast.unionByName(by_shuffle)
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_q_n") == 1)
     return alone.unionByName(marked.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256"))
 

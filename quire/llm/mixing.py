@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from quire.llm.common import cut, numbered, sized, stage
 
 BLOCK_BYTES, PERIOD = 1 << 16, 4096
+#: A source's documents are ordered in pieces; all sources together fill one with about this many rows.
+PIECE_ROWS = 4096
 #: Rows of the phase table up to this are broadcast (``PERIOD`` slots a phase in all).
 BROADCAST_PHASES = 20_000
 
@@ -129,7 +131,7 @@ def with_slots(docs: DataFrame, weights: dict[str, float] | None = None, tempera
     spark = docs.sparkSession
     size = text_bytes(text_col) if size is None else size
     rows = docs.withColumns({"_qm_source": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "_qm_bytes": size, "_qm_order": F.xxhash64(id_col, F.lit(11))})
-    rows = rows.withColumn("_qm_piece", cut(F.col(id_col), sized(docs.count())))
+    rows = rows.withColumn("_qm_piece", cut(F.col(id_col), sized(docs.count(), PIECE_ROWS)))
     rows = numbered(rows, ["_qm_source"], ["_qm_order", id_col, text_col], "_qm_piece", "_qm_start", F.col("_qm_bytes"))
     rows = rows.withColumn("_qm_block", F.floor(F.col("_qm_start") / block_bytes))
     sizes = {r[0]: r[1] for r in docs.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit(""))).agg(F.sum(size)).collect()}  # a row a source
