@@ -12,7 +12,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators import assembly
@@ -36,10 +36,15 @@ def read_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES, glob:
     return files.where(F.col("length") <= max_bytes).select(F.col("path").alias("doc_id"), "length", "content")
 
 
+def has_header(content: str = "content") -> Column:
+    """The header test, in the JVM."""
+    head = F.decode(F.substring(content, 1, 1024), "ISO-8859-1")
+    return (F.octet_length(content) >= 8) & (F.instr(head, "%PDF-") > 0)
+
+
 def only_pdfs(files: DataFrame) -> DataFrame:
-    """The header test, before any file reaches Python."""
-    head = F.decode(F.substring("content", 1, 1024), "ISO-8859-1")
-    return files.where((F.octet_length("content") >= 8) & (F.instr(head, "%PDF-") > 0))
+    """The files that pass the header test, before any byte reaches Python."""
+    return files.where(has_header())
 
 
 def _batches(schema: pa.Schema, rows: Iterator[tuple], size: int = 2000) -> Iterator[pa.RecordBatch]:
@@ -53,7 +58,7 @@ def _batches(schema: pa.Schema, rows: Iterator[tuple], size: int = 2000) -> Iter
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
 
-def _mapped(files: DataFrame, schema: str, rows: Callable, password: str = "", on_error: Callable | None = None) -> DataFrame:
+def _mapped(files: DataFrame, schema: str, rows: Callable, password: str = "", on_error: Callable | None = None, on_other: Callable | None = None) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -65,6 +70,7 @@ def _mapped(files: DataFrame, schema: str, rows: Callable, password: str = "", o
                 doc_id, content = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 secret = batch.column(2)[i].as_py() if batch.num_columns > 2 else password
                 if content is None or not looks_like_pdf(content):
+                    yield from on_other(doc_id) if on_other else ()
                     continue
                 try:
                     found = list(rows(doc_id, PdfFile(content, secret or "")))
@@ -124,8 +130,11 @@ def fonts(files: DataFrame, password: str = "") -> DataFrame:
     return _mapped(files, FONT_SCHEMA, rows, password)
 
 
-def pages(files: DataFrame, password: str = "", replay_factory=None) -> DataFrame:
-    """One row per page with its runs; a locked or damaged file gives a row with page_no null."""
+def pages(files: DataFrame, password: str = "", replay_factory=None, keep_others: bool = False) -> DataFrame:
+    """One row per page with its runs; a file without pages, and one that is damaged, gives a row with page_no null.
+
+    So does a file that is no PDF, or whose content is null, with ``keep_others``.
+    """
 
     def rows(doc_id, file):
         cache: dict = {}
@@ -143,10 +152,10 @@ def pages(files: DataFrame, password: str = "", replay_factory=None) -> DataFram
         if not found:
             yield doc_id, None, False, False, file.is_encrypted, file.is_locked, None, []
 
-    def failed(doc_id, error):
+    def failed(doc_id, error=None):
         yield doc_id, None, False, False, False, False, error, []
 
-    return _mapped(files, PAGE_SCHEMA, rows, password, failed)
+    return _mapped(files, PAGE_SCHEMA, rows, password, failed, failed if keep_others else None)
 
 
 def text_runs(parsed: DataFrame) -> DataFrame:
@@ -162,7 +171,8 @@ def extract_documents(files: DataFrame, password: str = "", ocr=None, replay_fac
     A ``password`` column of ``files`` overrides the argument.
     """
     carry = ["has_images", "actual_text_used", "is_encrypted", "is_locked", "error"]
-    assembled = assembly.assemble_pages(text_runs(pages(only_pdfs(files), password, replay_factory)), carry)
+    sent = files.withColumn("content", F.when(has_header(), F.col("content")))  # other files' bytes stay in the JVM
+    assembled = assembly.assemble_pages(text_runs(pages(sent, password, replay_factory, keep_others=True)), carry)
     if ocr is not None:
         assembled = assembly.with_ocr(assembled, ocr)
     page = F.when(F.col("page_no").isNotNull(), F.struct(F.col("page_no").alias("number"), "text", "encoding", "has_images"))
@@ -179,9 +189,8 @@ def extract_documents(files: DataFrame, password: str = "", ocr=None, replay_fac
         F.array_sort(F.collect_list("_page")).alias("pages"),
     )
     text = F.coalesce("joined", F.lit(""))
-    out = files.select("doc_id").join(docs, "doc_id", "left")
     false = F.lit(False)
-    return out.select(
+    return docs.select(
         "doc_id",
         text.alias("text"),
         assembly.classify(F.coalesce("u", false), F.coalesce("b", false), text).alias("encoding"),
@@ -190,5 +199,5 @@ def extract_documents(files: DataFrame, password: str = "", ocr=None, replay_fac
         F.coalesce("is_locked", false).alias("is_locked"),
         assembly.has_bengali(text).alias("has_bangla"),
         "error",
-        F.coalesce("pages", F.array().cast("array<struct<number:int,text:string,encoding:string,has_images:boolean>>")).alias("pages"),
+        "pages",
     )

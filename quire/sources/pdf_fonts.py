@@ -188,7 +188,13 @@ class PdfFont:
             gap = True
         return out
 
+    @cached_property
+    def _by_byte(self) -> dict[int, str]:
+        return {c: self.text_of(c) or "" for c in range(256)}
+
     def decode(self, raw: bytes) -> str:
+        if not self.wide and not self.untrusted:
+            return raw.decode("latin-1").translate(self._by_byte)
         if self.untrusted and (text := self.read_back(self.codes(raw))) is not None:
             return text
         return "".join(t for c in self.codes(raw) if (t := self.text_of(c)) is not None)

@@ -232,15 +232,17 @@ def paint_line(line: Line, cids: list[CidFont], size: float, x: float, y: float,
     return "\n".join([*out, "EMC"] if line.text else out)
 
 
-def render_pdf(text: str, fonts: list[OpenType], size: float = 12.0, width: float = 468.0, align: str = "left", margin: float = 72.0, page: tuple[float, float] = (612.0, 792.0), shaper: Shaper | None = None) -> bytes:
-    """A PDF file of ``text``, broken over pages."""
+def render_pdf(text: str, fonts: list[OpenType], size: float = 12.0, width: float = 468.0, align: str = "left", margin: float = 72.0, page: tuple[float, float] = (612.0, 792.0), shaper: Shaper | None = None, color: tuple[float, float, float] | None = None, opacity: float = 1.0, line_height: float | None = None, letter_spacing: float = 0.0) -> bytes:
+    """A PDF file of ``text``, broken over pages; the first font is drawn with, the others where it has no glyph."""
     cids = [CidFont(f) for f in fonts]
-    height = (fonts[0].ascender - fonts[0].descender) / fonts[0].upem * size * LINE_HEIGHT
+    height = line_height or (fonts[0].ascender - fonts[0].descender) / fonts[0].upem * size * LINE_HEIGHT
     per_page = max(1, int((page[1] - 2 * margin) / height))
-    lines = layout(text, fonts, size, width, shaper)
+    lines = layout(text, fonts, size, width, shaper, letter_spacing)
+    state = [f"{' '.join(map(number, color))} rg"] if color else []
+    state += ["/A0 gs"] * (opacity < 1)
     contents = []
     for start in range(0, len(lines), per_page):
-        painted = ["q"]
+        painted = ["q", *state]
         for k, line in enumerate(lines[start : start + per_page]):
             if line.glyphs:
                 offset = (width - line.visual_width) * {"center": 0.5, "right": 1.0}.get(align, 0.0)
@@ -257,7 +259,8 @@ def render_pdf(text: str, fonts: list[OpenType], size: float = 12.0, width: floa
         bodies.append(_stream(content))
         bodies.append(f"<< /Type /Page /Parent 2 0 R /Contents {len(bodies)} 0 R >>".encode())
         kids.append(f"{len(bodies)} 0 R")
-    bodies[1] = f"<< /Type /Pages /Kids [{' '.join(kids)}] /Count {len(kids)} /MediaBox [0 0 {number(page[0])} {number(page[1])}] /Resources << /Font << {' '.join(names)} >> >> >>".encode()
+    alpha = f"/ExtGState << /A0 << /ca {number(opacity)} >> >>" if opacity < 1 else ""
+    bodies[1] = f"<< /Type /Pages /Kids [{' '.join(kids)}] /Count {len(kids)} /MediaBox [0 0 {number(page[0])} {number(page[1])}] /Resources << /Font << {' '.join(names)} >> {alpha} >> >>".encode()
     return _file(bodies)
 
 

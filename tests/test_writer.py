@@ -65,6 +65,19 @@ def test_wrapping_loses_nothing(text, align):
     assert all(ln.visual_width <= 50 or sum(not breakable(g.text) for g in ln.glyphs) == 1 for ln in lines)
 
 
+def test_state_options():
+    data = pdf_writer.render_pdf("ab", [FONT], 12, 50, shaper=shaping.simple_shaper, color=(1, 0, 0.5), opacity=0.25, letter_spacing=2.0)
+    file = PdfFile(data)
+    assert b"1 0 0.5 rg\n/A0 gs" in file.content(file.pages()[0]) and file.pages()[0]["Resources"]["ExtGState"] == {"A0": {"ca": 0.25}}
+    assert [ln.width for ln in pdf_writer.layout("ab", [FONT], 12, 50, shaping.simple_shaper, 2.0)] == [16.0] and read(data) == [["ab"]]
+
+
+def test_fallback_fonts():
+    other = OpenType.parse(make.table_font({"cmap": make.cmap12({ord("é"): 3}), **make.simple_tables()}))
+    data = pdf_writer.render_pdf("aéb", [FONT, other], 12, 90, shaper=shaping.simple_shaper)
+    assert read(data) == [["aéb"]] and "".join(read(data, raw=True)[0]) == "aéb"
+
+
 def test_many_pages():
     assert [len(p) for p in read(pdf_writer.render_pdf("a\n" * 100, [FONT], 12, 50, shaper=shaping.simple_shaper))] == [45, 45, 10]
 
