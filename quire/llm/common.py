@@ -50,6 +50,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(*staged: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more (those given must be ``stage``'s own results)."""
+    for df in staged:
+        for file in df.inputFiles()[:1]:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def open_fs(uri: str):
     """(pyarrow file system, path in it) for a URI; works in the driver and in tasks."""
     from pyarrow import fs

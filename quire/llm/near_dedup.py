@@ -40,13 +40,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import stage
+from quire.llm.common import drop, stage
 from quire.llm.splitting import WordCache
 
 SHINGLE, THRESHOLD, BANDS, ROWS, ROUNDS = 5, 0.8, 32, 6, 2
 K = BANDS * ROWS
 #: Nodes on each side of a block, and shared units that its product holds at once.
-BLOCK, _COLUMNS = 256, 4096
+BLOCK, _COLUMNS = 512, 4096
 #: Tables of ids up to this many rows (about 60 bytes each) are broadcast, larger ones joined by shuffle.
 BROADCAST_ROWS = 500_000
 _WORD = re.compile(r"\w+")
@@ -200,7 +200,7 @@ def _verified(pairs: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) of each node of ``edges`` (a, b): the least node of its component.
+    """(u, label) of each node of ``edges`` (a, b): the least node of its component; a staged table.
 
     Label propagation with pointer jumping: rounds in the logarithm of the
     longest path, each a join and a pre-aggregated minimum, written out.
@@ -208,14 +208,16 @@ def components(edges: DataFrame) -> DataFrame:
     both = stage(edges.union(edges.select("b", "a")).distinct().toDF("u", "v"), "near-edges")
     labels = stage(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")), "near-labels")
     while True:
-        heard = both.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("label").alias("heard"))
+        heard = both.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("heard"))
         better = labels.join(heard, "u").select("u", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
         up = labels.select(F.col("u").alias("label"), F.col("label").alias("above"))
         jumped = better.join(up, "label", "left").select("u", "old", F.least("label", F.coalesce("above", "label")).alias("label"))
         held = stage(jumped, "near-labels")
-        labels = held.select("u", "label")
+        drop(labels)
+        labels = held
         if held.where("old <> label").isEmpty():
-            return labels.toDF("node", "comp")
+            drop(both)
+            return held
 
 
 def _joined(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -224,8 +226,11 @@ def _joined(nodes: DataFrame, links: DataFrame) -> DataFrame:
         return nodes
     a, b = nodes.toDF("a", "ca"), nodes.toDF("b", "cb")
     edges = links.join(a, "a").join(b, "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    comp = components(edges).toDF("comp", "_new")
-    return stage(nodes.join(comp, "comp", "left").select("key", F.coalesce("_new", "comp").alias("comp")), "near-nodes")
+    found = components(edges)
+    comp = found.select(F.col("u").alias("comp"), F.col("label").alias("_new"))
+    joined = stage(nodes.join(comp, "comp", "left").select("key", F.coalesce("_new", "comp").alias("comp")), "near-nodes")
+    drop(found, links, nodes)
+    return joined
 
 
 def _leader_pairs(members: DataFrame, turn: int) -> DataFrame:
@@ -299,7 +304,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     nodes = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("total").alias("total"), F.first("bands").alias("bands"))
     members = nodes.select("key", "doc_id", "total", F.explode("bands").alias("bucket"))
     shared = stage(members.groupBy("bucket").count().where("count > 1").select("bucket"), "near-shared")
-    members = stage(members.join(_small(shared), "bucket"), "near-members")
+    staged_members = members = stage(members.join(_small(shared), "bucket"), "near-members")
 
     wanted = stage(members.select("key", "doc_id").distinct(), "near-wanted")
     texts = rows.join(_small(wanted.withColumnRenamed("doc_id", "_id")), F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "key")
@@ -307,9 +312,11 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     held = stage(wanted.select("key", F.col("key").alias("comp")), "near-nodes")
     members = members.select("bucket", "key", "total")
 
+    drop(shared, wanted)
     for turn in range(ROUNDS):
         held = _joined(held, _verified(_leader_pairs(members.join(held, "key"), turn), units))
     held = _joined(held, _rest_links(members.join(held, "key"), units))
+    drop(staged_members, units)
 
     # the least (doc_id, copy) of a class tells the row that stays even where a doc_id occurs with several texts
     classes = signed.select("doc_id", "copy", "key").join(held, "key", "left").withColumn("comp", F.coalesce("comp", "key"))

@@ -184,7 +184,7 @@ class LowerWordEncoder:
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         model, alphabet = self.lib.model, {b: c for c, b in byte_alphabet().items()}
         of = lambda w: w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(alphabet)
-        self.words = WordCache(lambda words: [array("I", [t.id for t in model.tokenize(of(w))]).tobytes() for w in words])
+        self.words = WordCache(lambda words: [array("I", [t.id for t in model.tokenize(of(w))]).tobytes() for w in words], 450_000)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""

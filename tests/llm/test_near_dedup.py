@@ -83,5 +83,5 @@ def test_rows_with_odd_ids(spark):
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (100, 102), (200, 201)]
-    got = {r[0]: r[1] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["u"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100, 200: 200, 201: 200}
