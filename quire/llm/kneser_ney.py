@@ -1,14 +1,16 @@
 """Class-conditional Kneser-Ney models over the characters of words.
 
-Two classes share one backoff. For a character c after the up to four
+Two classes share one backoff. For a character c after the up to ``HISTORY``
 characters h of its word (the word's start counts as one):
 
-    p_k(c | h) = (max(n_k(hc) - D, 0) + D * T_k(h) * q(c | h2)) / n_k(h)
+    p_k(c | h) = (n_k(hc) - D(n_k(hc)) + M_k(h) * q(c | h2)) / n_k(h)
 
-with class counts n_k, T_k(h) distinct continuations seen in class k, and q the
-Kneser-Ney continuation model of the last two characters h2, counted over both
-classes together; so an expression that neither class has seen often gets much
-the same value from both. Where class k never saw h, p_k = q.
+with class counts n_k, discounts D for counts of one, two and more, M_k(h) the
+sum of what h's continuations lose in class k, and q the Kneser-Ney
+continuation model of the last two characters h2, counted over both classes
+together; so an expression that neither class has seen often gets much the same
+value from both. Where class k never saw h, p_k = q. The long history tells
+apart words whose parts are common; what a class saw once counts for little.
 
 Counts live in tables of fixed size, addressed by hash: every n-gram of the
 corpus is counted, none is dropped, and the tables' size does not depend on the
@@ -19,8 +21,8 @@ from __future__ import annotations
 
 import numpy as np
 
-GRAMS, CONTEXTS, TRIGRAMS, PAIRS, CODES = 1 << 21, 1 << 20, 1 << 19, 1 << 17, 1 << 16
-DISCOUNT, START, END = 0.75, 2, 3
+GRAMS, CONTEXTS, TRIGRAMS, PAIRS, CODES = 1 << 22, 1 << 20, 1 << 19, 1 << 17, 1 << 16
+HISTORY, DISCOUNTS, SHARED_DISCOUNT = 6, (0.0, 0.9, 1.4, 1.8), 0.75
 _COLUMNS = ("gram", "context", "tri", "pair", "code")
 
 
@@ -38,15 +40,17 @@ def grams(words: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     word = np.repeat(np.arange(len(words)), lengths)
     at = np.arange(len(codes)) - first[word]
     back = []
-    for k in (1, 2, 3, 4):
+    for k in range(1, HISTORY + 1):
         p = np.zeros_like(codes)
         p[k:] = codes[:-k]
         p[at < k] = 0
         back.append(p)
     live = at > 0
-    code, (a, b, c, d), word = codes[live], (p[live] for p in back), word[live]
-    pair = _mix((a << np.uint64(21)) ^ b ^ np.uint64(1 << 50))
-    context = _mix(pair ^ _mix((c << np.uint64(21)) ^ d ^ np.uint64(1 << 51)))
+    code, word = codes[live], word[live]
+    a, b, *rest = (p[live] for p in back)
+    context = pair = _mix((a << np.uint64(21)) ^ b ^ np.uint64(1 << 50))
+    for p in rest:
+        context = _mix(context * np.uint64(0x9E3779B97F4A7C15) + p)
     slots = {
         "gram": _mix(context ^ (code << np.uint64(40))) % np.uint64(GRAMS),
         "context": context % np.uint64(CONTEXTS),
@@ -67,6 +71,10 @@ def count(words: list[str], toxic: np.ndarray, ordinary: np.ndarray) -> dict[str
     return out
 
 
+def discount(n: np.ndarray) -> np.ndarray:
+    return np.array(DISCOUNTS, np.float32)[np.minimum(n, 3).astype(np.int64)]
+
+
 class Models:
     """Both classes' models from a table of n-gram counts (one row a slot of ``gram``)."""
 
@@ -78,8 +86,8 @@ class Models:
             table = np.zeros(GRAMS, np.float32)
             table[g] = n
             total = np.bincount(h, n, CONTEXTS).astype(np.float32)
-            kinds = np.bincount(h, n > 0, CONTEXTS).astype(np.float32)
-            self.classes.append((table, total, kinds))
+            mass = np.bincount(h, discount(n), CONTEXTS).astype(np.float32)
+            self.classes.append((table, total, mass))
         self.tri = np.bincount(t, minlength=TRIGRAMS).astype(np.float32)
         self.pair = np.bincount(p, minlength=PAIRS).astype(np.float32)
         _, first = np.unique(t, return_index=True)
@@ -94,10 +102,10 @@ class Models:
         word, s = grams(words)
         n2 = self.pair[s["pair"]]
         low = self.code[s["code"]]
-        shared = np.where(n2 > 0, (np.maximum(self.tri[s["tri"]] - DISCOUNT, 0) + DISCOUNT * self.follow[s["pair"]] * low) / np.maximum(n2, 1), low)
+        shared = np.where(n2 > 0, (np.maximum(self.tri[s["tri"]] - SHARED_DISCOUNT, 0) + SHARED_DISCOUNT * self.follow[s["pair"]] * low) / np.maximum(n2, 1), low)
         logs = []
-        for table, total, kinds in self.classes:
-            n = total[s["context"]]
-            p = (np.maximum(table[s["gram"]] - DISCOUNT, 0) + DISCOUNT * kinds[s["context"]] * shared) / np.maximum(n, 1)
+        for table, total, mass in self.classes:
+            n, seen = total[s["context"]], table[s["gram"]]
+            p = (seen - discount(seen) + mass[s["context"]] * shared) / np.maximum(n, 1)
             logs.append(np.log(np.maximum(np.where(n > 0, p, shared), 1e-12)))
         return np.bincount(word, logs[0] - logs[1], len(words)).astype(np.float32)

@@ -102,7 +102,7 @@ class Toxicity:
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         if "cache" not in self.__dict__:
-            self.cache = WordCache(lambda words: self.models.ratios(words).tolist(), 250_000)
+            self.cache = WordCache(lambda words: self.models.ratios(words).tolist(), 150_000)
         out = np.zeros((len(texts), len(FEATURES)))
         for i, text in enumerate(texts):
             words = words_of(text)
@@ -175,11 +175,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return model
 
 
-def score_documents(docs: DataFrame, model: Toxicity, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``toxicity`` (0 to 1) as a further column."""
+def score_documents(docs: DataFrame, model: Toxicity, text_col: str = "text", out: str = "toxicity") -> DataFrame:
+    """``docs`` with the score (0 to 1) as the further column ``out``."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     scored = _with_features(docs, text_col, held)
     z = F.lit(model.weights[0])
     for name, w in zip(FEATURES, model.weights[1:]):
         z = z + F.col(name) * w
-    return scored.withColumn("toxicity", 1 / (1 + F.exp(-z))).drop(*FEATURES)
+    return scored.withColumn(out, 1 / (1 + F.exp(-z))).drop(*FEATURES)

@@ -9,11 +9,11 @@ from quire.llm.toxicity import fit, fold, score_documents, words_of
 
 def brute(words, toxic, ordinary, word):
     """The model's definition, with dictionaries instead of hashed tables."""
-    grams = {}
+    grams, H = {}, kneser_ney.HISTORY
     for w, t, o in zip(words, toxic, ordinary):
         s = "\x02" + w + "\x03"
         for i in range(1, len(s)):
-            g = grams.setdefault((s[max(0, i - 4) : i], s[i]), [0, 0])
+            g = grams.setdefault((s[max(0, i - H) : i], s[i]), [0, 0])
             g[0] += t
             g[1] += o
     pairs = {}
@@ -25,16 +25,17 @@ def brute(words, toxic, ordinary, word):
         for c in pairs[p]:
             ends[c] = ends.get(c, 0) + 1
     kinds = sum(ends.values())
-    out, s, D = 0.0, "\x02" + word + "\x03", kneser_ney.DISCOUNT
+    out, s, D = 0.0, "\x02" + word + "\x03", kneser_ney.SHARED_DISCOUNT
     for i in range(1, len(s)):
-        h, c = s[max(0, i - 4) : i], s[i]
+        h, c = s[max(0, i - H) : i], s[i]
         low = (ends.get(c, 0) + 0.1) / (kinds + 0.1 * kneser_ney.CODES)
         after = pairs.get(h[-2:], {})
         q = (max(after.get(c, 0) - D, 0) + D * len(after) * low) / sum(after.values()) if after else low
         for k, sign in ((0, 1), (1, -1)):
             here = {d: n[k] for (g, d), n in grams.items() if g == h and n[k]}
             n = sum(here.values())
-            out += sign * np.log((max(here.get(c, 0) - D, 0) + D * len(here) * q) / n if n else q)
+            lost = {d: kneser_ney.DISCOUNTS[min(3, m)] for d, m in here.items()}
+            out += sign * np.log((here.get(c, 0) - lost.get(c, 0) + sum(lost.values()) * q) / n if n else q)
     return out
 
 
