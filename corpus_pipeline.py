@@ -26,7 +26,7 @@ TEMPERATURE = 0.5
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold."""
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return score_documents(docs, model).where(F.col("toxicity") < THRESHOLD).select(*docs.columns)
+    return score_documents(docs, model, out="_qt_score").where(F.col("_qt_score") < THRESHOLD).select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
