@@ -159,6 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     first = [F.min(c).alias(c) for c in ("context", "tri", "pair", "code")]
     table = grams.groupBy("gram").agg(*first, F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toArrow()  # at most GRAMS rows
     model = Toxicity(kneser_ney.Models({k: table.column(k).to_numpy() for k in table.column_names}), [])
+    del table
 
     every = max(1, -(-n // (4 * CALIBRATION_ROWS)))
     held = spark.sparkContext.broadcast(model)
