@@ -12,18 +12,22 @@ together; so an expression that neither class has seen often gets much the same
 value from both. Where class k never saw h, p_k = q. The long history tells
 apart words whose parts are common; what a class saw once counts for little.
 
-Counts live in tables of fixed size, addressed by hash: every n-gram of the
-corpus is counted, none is dropped, and the tables' size does not depend on the
-corpus. Colliding n-grams add up, which only draws the classes together.
+Counts live in a table with a row for each distinct n-gram that was met, however
+many there are. An n-gram is named by ``context``, a 64-bit mix of its history
+(any two of N histories get the same one with a probability of about N^2 /
+2^65), and ``tri``, its last three characters, 21 bits each. ``Models`` holds
+the table in memory; ``toxicity.JoinedModels`` is for larger ones.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-GRAMS, CONTEXTS, TRIGRAMS, PAIRS, CODES = 1 << 21, 1 << 20, 1 << 19, 1 << 17, 1 << 16
+#: How many characters the smoothing of the lowest order reckons with.
+CODES = 1 << 16
 HISTORY, DISCOUNTS, SHARED_DISCOUNT = 6, (0.0, 0.9, 1.4, 1.8), 0.75
-_COLUMNS = ("gram", "context", "tri", "pair", "code")
+CODE_BITS = 21
+_CODE = (1 << CODE_BITS) - 1
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -33,7 +37,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """For each character (and end) of each word: the word's number and the slots of its n-grams."""
+    """For each character (and end) of each word: the word's number and its n-gram's ``context`` and ``tri``."""
     codes = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
     first = np.cumsum(lengths) - lengths
@@ -48,64 +52,77 @@ def grams(words: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     live = at > 0
     code, word = codes[live], word[live]
     a, b, *rest = (p[live] for p in back)
-    context = pair = _mix((a << np.uint64(21)) ^ b ^ np.uint64(1 << 50))
+    pair = (b << np.uint64(CODE_BITS)) | a
+    context = _mix(pair ^ np.uint64(1 << 50))
     for p in rest:
         context = _mix(context * np.uint64(0x9E3779B97F4A7C15) + p)
-    slots = {
-        "gram": _mix(context ^ (code << np.uint64(40))) % np.uint64(GRAMS),
-        "context": context % np.uint64(CONTEXTS),
-        "tri": _mix(pair ^ (code << np.uint64(40))) % np.uint64(TRIGRAMS),
-        "pair": pair % np.uint64(PAIRS),
-        "code": code % np.uint64(CODES),
-    }
-    return word, {k: v.astype(np.int64) for k, v in slots.items()}
+    return word, {"context": context.view(np.int64), "tri": ((pair << np.uint64(CODE_BITS)) | code).view(np.int64)}
+
+
+def merge(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """One row for each distinct (context, tri), with the sums of ``toxic`` and ``ordinary``."""
+    if not len(rows["tri"]):
+        return rows
+    order = np.lexsort((rows["tri"], rows["context"]))
+    context, tri = rows["context"][order], rows["tri"][order]
+    first = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (tri[1:] != tri[:-1])])
+    return {"context": context[first], "tri": tri[first]} | {k: np.add.reduceat(rows[k][order], first) for k in ("toxic", "ordinary")}
 
 
 def count(words: list[str], toxic: np.ndarray, ordinary: np.ndarray) -> dict[str, np.ndarray]:
-    """Counts of the words' distinct n-grams: the slots, ``toxic`` and ``ordinary``."""
+    """Counts of the words' distinct n-grams: ``context``, ``tri``, ``toxic`` and ``ordinary``."""
     word, s = grams(words)
-    _, first, inverse = np.unique(s["gram"], return_index=True, return_inverse=True)
-    out = {k: s[k][first].astype(np.int32) for k in _COLUMNS}
-    out["toxic"] = np.bincount(inverse, toxic[word], len(first)).astype(np.int64)
-    out["ordinary"] = np.bincount(inverse, ordinary[word], len(first)).astype(np.int64)
-    return out
+    return merge(s | {"toxic": toxic[word].astype(np.int64), "ordinary": ordinary[word].astype(np.int64)})
 
 
 def discount(n: np.ndarray) -> np.ndarray:
     return np.array(DISCOUNTS, np.float32)[np.minimum(n, 3).astype(np.int64)]
 
 
+def _find(keys: np.ndarray, asked: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """For each value table, what it holds for ``asked`` in the sorted ``keys``; 0 for keys that aren't there."""
+    if not len(keys):
+        return [np.zeros(len(asked), v.dtype) for v in values]
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    hit = keys[at] == asked
+    return [np.where(hit, v[at], 0) for v in values]
+
+
 class Models:
-    """Both classes' models from a table of n-gram counts (one row a slot of ``gram``)."""
+    """Both classes' models from a table of n-gram counts (one row for each distinct n-gram)."""
 
     def __init__(self, rows: dict[str, np.ndarray]):
-        g, h, t, p, c = (np.asarray(rows[k], np.int64) for k in _COLUMNS)
+        context, tri = (np.asarray(rows[k], np.int64) for k in ("context", "tri"))
+        self.contexts, at = np.unique(context, return_inverse=True)
+        key = (at << CODE_BITS) | (tri & _CODE)  # a context's number and a character: no two n-grams share it
+        order = np.argsort(key)
+        self.keys = key[order]
+        self.number = np.arange(len(self.contexts), dtype=np.int32)
         self.classes = []
         for k in ("toxic", "ordinary"):
             n = np.asarray(rows[k], np.float64)
-            table = np.zeros(GRAMS, np.float32)
-            table[g] = n
-            total = np.bincount(h, n, CONTEXTS).astype(np.float32)
-            mass = np.bincount(h, discount(n), CONTEXTS).astype(np.float32)
-            self.classes.append((table, total, mass))
-        self.tri = np.bincount(t, minlength=TRIGRAMS).astype(np.float32)
-        self.pair = np.bincount(p, minlength=PAIRS).astype(np.float32)
-        _, first = np.unique(t, return_index=True)
-        self.follow = np.bincount(p[first], minlength=PAIRS).astype(np.float32)
-        ends = np.bincount(c[first], minlength=CODES)
-        self.code = ((ends + 0.1) / (len(first) + 0.1 * CODES)).astype(np.float32)
+            total, mass = (np.bincount(at, x, len(self.contexts)).astype(np.float32) for x in (n, discount(n)))
+            self.classes.append((n[order].astype(np.float32), total, mass))
+        self.tris, tri = np.unique(tri, return_counts=True)
+        self.pairs, at = np.unique(self.tris >> CODE_BITS, return_inverse=True)
+        self.tri, self.pair, self.follow = tri.astype(np.float32), np.bincount(at, tri).astype(np.float32), np.bincount(at).astype(np.float32)
+        self.codes, ends = np.unique(self.tris & _CODE, return_counts=True)
+        self.ends = ends.astype(np.float32)
 
     def ratios(self, words: list[str]) -> np.ndarray:
         """log p_toxic(word) - log p_ordinary(word)."""
         if not words:
             return np.zeros(0, np.float32)
         word, s = grams(words)
-        n2 = self.pair[s["pair"]]
-        low = self.code[s["code"]]
-        shared = np.where(n2 > 0, (np.maximum(self.tri[s["tri"]] - SHARED_DISCOUNT, 0) + SHARED_DISCOUNT * self.follow[s["pair"]] * low) / np.maximum(n2, 1), low)
+        (n3,) = _find(self.tris, s["tri"], self.tri)
+        n2, follow = _find(self.pairs, s["tri"] >> CODE_BITS, self.pair, self.follow)
+        code = s["tri"] & _CODE
+        low = (_find(self.codes, code, self.ends)[0] + 0.1) / (len(self.tris) + 0.1 * CODES)
+        shared = np.where(n2 > 0, (np.maximum(n3 - SHARED_DISCOUNT, 0) + SHARED_DISCOUNT * follow * low) / np.maximum(n2, 1), low)
+        number, *sums = _find(self.contexts, s["context"], self.number, *(x for _, *both in self.classes for x in both))
+        counts = _find(self.keys, (number.astype(np.int64) << CODE_BITS) | code, *(c[0] for c in self.classes))
         logs = []
-        for table, total, mass in self.classes:
-            n, seen = total[s["context"]], table[s["gram"]]
-            p = (seen - discount(seen) + mass[s["context"]] * shared) / np.maximum(n, 1)
+        for seen, n, mass in zip(counts, sums[::2], sums[1::2]):
+            p = (seen - discount(seen) + mass * shared) / np.maximum(n, 1)
             logs.append(np.log(np.maximum(np.where(n > 0, p, shared), 1e-12)))
         return np.bincount(word, logs[0] - logs[1], len(words)).astype(np.float32)

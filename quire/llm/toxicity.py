@@ -2,14 +2,15 @@
 
 Learning, over all labelled training rows: words are counted by class
 (pre-aggregated in each task, then summed by word), the words' n-grams by class
-likewise, and both models are built from the tables of fixed size that result.
-What is gathered follows the corpus; what is broadcast does not.
+likewise, and the table of distinct n-grams that results is written out: it
+follows the corpus. Up to ``BROADCAST_GRAMS`` n-grams it is broadcast and words
+are scored once per worker and looked up after that; a larger one stays a table,
+and the distinct words of the texts are scored by joins. Both give the same.
 
 Scoring: the difference of a text's two log-likelihoods, normalised by length,
 over the whole text and over its most telling words; a logistic function of
 these, fitted on a further part of the training rows (at most
-``CALIBRATION_ROWS``, chosen by hash), gives the score. Words are scored once
-per worker and looked up after that.
+``CALIBRATION_ROWS``, chosen by hash), gives the score.
 
 Training rows are those whose crc32(doc_id as text) mod 4 is 0 or 1 (counts)
 or 3 (fit); rows with remainder 2 are held out and their labels never read.
@@ -26,6 +27,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import kneser_ney
+from quire.llm.common import stage
 from quire.llm.splitting import WordCache
 
 THRESHOLD = 0.3
 CALIBRATION_ROWS = 20_000
 #: Labels up to this count are broadcast (about 50 bytes a row); more are joined by shuffle.
 BROADCAST_LABELS = 1_000_000
+#: Models of up to this many distinct n-grams are broadcast (about 30 bytes each); larger ones are joined by shuffle.
+BROADCAST_GRAMS = 1 << 22
 _HELD_WORDS = 200_000
 _HELD_GRAMS = 500_000
 _WORD = re.compile(r"\w+")
@@ -72,29 +77,98 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["gram", "context", "tri", "pair", "code"]
-
     def merged(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
-        rows = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-        _, first, inverse = np.unique(rows["gram"], return_index=True, return_inverse=True)
-        return {k: rows[k][first] for k in names} | {k: np.bincount(inverse, rows[k], len(first)).astype(np.int64) for k in ("toxic", "ordinary")}
+        return kneser_ney.merge({k: np.concatenate([p[k] for p in parts]) for k in parts[0]})
 
     parts: list[dict[str, np.ndarray]] = []
     for batch in batches:
         for at in range(0, batch.num_rows, 4000):
             part = batch.slice(at, 4000)
             parts.append(kneser_ney.count(part.column(0).to_pylist(), part.column(1).to_numpy(), part.column(2).to_numpy()))
-            if sum(len(p["gram"]) for p in parts) > 3 * _HELD_GRAMS:
-                parts = [merged(parts)]
+            if sum(len(p["tri"]) for p in parts) > 3 * _HELD_GRAMS:
+                rows = merged(parts)
+                parts = [rows]
+                if len(rows["tri"]) > 2 * _HELD_GRAMS:
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[k]) for k in rows], list(rows))
+                    parts = []
     if parts:
         rows = merged(parts)
         yield pa.RecordBatch.from_arrays([pa.array(rows[k]) for k in rows], list(rows))
 
 
+def _word_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 4000):
+            words = batch.column(0).slice(at, 4000)
+            word, s = kneser_ney.grams(words.to_pylist())
+            yield pa.RecordBatch.from_arrays([words.take(pa.array(word)), pa.array(s["context"]), pa.array(s["tri"])], ["word", "context", "tri"])
+
+
+def _row_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            rows = [(row, w, n) for row, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for w, n in Counter(words_of(text)).items()]
+            row, word, times = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(word, pa.string()), pa.array(times, pa.int64())], ["_qt_row", "word", "times"])
+
+
+@dataclass
+class JoinedModels:
+    """The models of ``kneser_ney.Models`` as tables, for any number of n-grams."""
+
+    grams: DataFrame
+    contexts: DataFrame
+    tris: DataFrame
+    pairs: DataFrame
+    codes: DataFrame
+    kinds: int
+
+    @classmethod
+    def of(cls, grams: DataFrame) -> JoinedModels:
+        def lost(k: str):
+            one, two, more = (F.lit(d) for d in kneser_ney.DISCOUNTS[1:])
+            return F.sum(F.when(F.col(k) == 1, one).when(F.col(k) == 2, two).when(F.col(k) > 2, more).otherwise(0.0))
+
+        contexts = grams.groupBy("context").agg(*[f(k).alias(f"{name}_{k}") for k in ("toxic", "ordinary") for name, f in (("n", F.sum), ("mass", lost))])
+        tris = stage(grams.groupBy("tri").agg(F.count(F.lit(1)).alias("n3")), "toxicity-tris")
+        pairs = tris.groupBy(_pair()).agg(F.sum("n3").alias("n2"), F.count(F.lit(1)).alias("follow"))
+        codes = tris.groupBy(_code()).agg(F.count(F.lit(1)).alias("ends"))
+        return cls(grams, stage(contexts, "toxicity-contexts"), tris, stage(pairs, "toxicity-pairs"), stage(codes, "toxicity-codes"), tris.count())
+
+    def ratios(self, words: DataFrame) -> DataFrame:
+        """``word, ratio`` of the distinct ``words``."""
+        parts = words.select("word").mapInArrow(_word_grams, "word string, context long, tri long")
+        asked = stage(parts.select("context", "tri").distinct(), "toxicity-asked")
+        d = kneser_ney.SHARED_DISCOUNT
+        tris = asked.select("tri").distinct().withColumns({"pair": _pair(), "code": _code()})
+        tris = tris.join(self.tris, "tri", "left").join(self.pairs, "pair", "left").join(F.broadcast(self.codes), "code", "left")  # codes: at most as many as Unicode has
+        low = (F.coalesce("ends", F.lit(0)) + 0.1) / (self.kinds + 0.1 * kneser_ney.CODES)
+        more = (F.greatest(F.coalesce("n3", F.lit(0)) - d, F.lit(0.0)) + F.col("follow") * d * low) / F.col("n2")
+        tris = tris.select("tri", F.when(F.col("n2") > 0, more).otherwise(low).alias("shared"))
+        each = asked.join(tris, "tri").join(self.contexts, "context", "left").join(self.grams, ["context", "tri"], "left")
+        logs = []
+        for k in ("toxic", "ordinary"):
+            seen = F.coalesce(k, F.lit(0))
+            kept = seen - F.element_at(F.array(*map(F.lit, kneser_ney.DISCOUNTS)), (F.least(seen, F.lit(3)) + 1).cast("int"))
+            p = F.when(F.col(f"n_{k}") > 0, (kept + F.col(f"mass_{k}") * F.col("shared")) / F.col(f"n_{k}")).otherwise(F.col("shared"))
+            logs.append(F.ln(F.greatest(p, F.lit(1e-12))))
+        each = each.select("context", "tri", (logs[0] - logs[1]).alias("value"))
+        return parts.join(each, ["context", "tri"]).groupBy("word").agg(F.sum("value").alias("ratio"))
+
+
+def _pair():
+    return F.shiftright("tri", kneser_ney.CODE_BITS).alias("pair")
+
+
+def _code():
+    return F.col("tri").bitwiseAND(F.lit((1 << kneser_ney.CODE_BITS) - 1)).alias("code")
+
+
 class Toxicity:
     """Fitted models and the weights that turn features into a score."""
 
-    def __init__(self, models: kneser_ney.Models, weights: list[float]):
+    def __init__(self, models: kneser_ney.Models | JoinedModels, weights: list[float]):
         self.models, self.weights = models, weights
 
     def __getstate__(self):
@@ -130,14 +204,17 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05, steps: int
     return w.tolist()
 
 
-def _with_features(df: DataFrame, text_col: str, model) -> DataFrame:
+def _with_features(df: DataFrame, text_col: str, model: Toxicity) -> DataFrame:
+    if isinstance(model.models, JoinedModels):
+        return _with_joined_features(df, text_col, model.models)
     at = df.columns.index(text_col)
+    held = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)
-                x = model.value.features(part.column(at).to_pylist())
+                x = held.value.features(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x[:, j]) for j in range(len(FEATURES)))], [*part.schema.names, *FEATURES])
 
     from pyspark.sql import types as T
@@ -145,9 +222,24 @@ def _with_features(df: DataFrame, text_col: str, model) -> DataFrame:
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(f, T.DoubleType()) for f in FEATURES)]))
 
 
+def _with_joined_features(df: DataFrame, text_col: str, models: JoinedModels) -> DataFrame:
+    rows = stage(df.withColumn("_qt_row", F.monotonically_increasing_id()), "toxicity-rows")
+    words = rows.select("_qt_row", text_col).mapInArrow(_row_words, "_qt_row long, word string, times long")
+    ratios = stage(models.ratios(stage(words.select("word").distinct(), "toxicity-words")), "toxicity-ratios")
+    n = F.char_length("word") + 1
+    top = F.slice(F.sort_array(F.flatten(F.collect_list(F.array_repeat("ratio", F.least("times", F.lit(3)).cast("int")))), False), 1, 3)
+    found = words.join(ratios, "word").groupBy("_qt_row").agg(
+        (F.sum(F.col("ratio") * F.col("times")) / F.sum(n * F.col("times"))).alias(FEATURES[0]),
+        F.max(F.col("ratio") / n).alias(FEATURES[1]),
+        top.alias("_qt_three"),
+    )
+    mean = F.aggregate("_qt_three", F.lit(0.0), lambda total, x: total + x) / F.size("_qt_three") / 10
+    found = found.select("_qt_row", *FEATURES[:2], mean.alias(FEATURES[2]))
+    return rows.join(found, "_qt_row", "left").select(*df.columns, *[F.coalesce(f, F.lit(0.0)).alias(f) for f in FEATURES])
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Toxicity:
     """Learn from the labelled rows of ``docs`` that are not held out."""
-    spark = docs.sparkSession
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("_qt_toxic"))
     known = known.select(F.col("doc_id").alias("_qt_id"), "_qt_toxic", fold().alias("_qt_fold")).where("_qt_fold <> 2")
     n = known.count()
@@ -155,19 +247,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     train = rows.join(F.broadcast(known) if n <= BROADCAST_LABELS else known, F.col("_qt_doc") == F.col("_qt_id"))
     words = train.where("_qt_fold in (0, 1)").select("text", "_qt_toxic").mapInArrow(_count_words, "word string, toxic long, ordinary long")
     words = words.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    grams = words.mapInArrow(_count_grams, "gram int, context int, tri int, pair int, code int, toxic long, ordinary long")
-    first = [F.min(c).alias(c) for c in ("context", "tri", "pair", "code")]
-    table = grams.groupBy("gram").agg(*first, F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toArrow()  # at most GRAMS rows
-    model = Toxicity(kneser_ney.Models({k: table.column(k).to_numpy() for k in table.column_names}), [])
-    del table
+    grams = words.mapInArrow(_count_grams, "context long, tri long, toxic long, ordinary long")
+    grams = stage(grams.groupBy("context", "tri").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "toxicity-grams")
+    if grams.count() <= BROADCAST_GRAMS:
+        table = grams.toArrow()
+        models = kneser_ney.Models({k: table.column(k).to_numpy() for k in table.column_names})
+        del table
+    else:
+        models = JoinedModels.of(grams)
+    model = Toxicity(models, [])
 
     every = max(1, -(-n // (4 * CALIBRATION_ROWS)))
-    held = spark.sparkContext.broadcast(model)
     sample = train.where((F.col("_qt_fold") == 3) & (F.pmod(F.xxhash64("_qt_id"), F.lit(every)) == 0)).select("text", "_qt_toxic")
-    got = _with_features(sample, "text", held).select("_qt_toxic", *FEATURES).toArrow()
+    got = _with_features(sample, "text", model).select("_qt_toxic", *FEATURES).toArrow()
     x = np.column_stack([got.column(f).to_numpy() for f in FEATURES]) if got.num_rows else np.zeros((0, len(FEATURES)))
     y = got.column("_qt_toxic").to_numpy().astype(float) if got.num_rows else np.zeros(0)
-    held.unpersist()
     if 0 < y.sum() < len(y):
         model.weights = fit_logistic(x, y)
     else:
@@ -178,8 +272,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score_documents(docs: DataFrame, model: Toxicity, text_col: str = "text", out: str = "toxicity") -> DataFrame:
     """``docs`` with the score (0 to 1) as the further column ``out``."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    scored = _with_features(docs, text_col, held)
+    scored = _with_features(docs, text_col, model)
     z = F.lit(model.weights[0])
     for name, w in zip(FEATURES, model.weights[1:]):
         z = z + F.col(name) * w

@@ -46,6 +46,29 @@ def test_models_follow_the_definition():
     assert np.allclose(models.ratios(asked), [brute(words, toxic, ordinary, w) for w in asked], atol=1e-3)
 
 
+def test_every_ngram_keeps_its_own_count():
+    rng = np.random.default_rng(1)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzäöüß"))
+    words = sorted({"".join(rng.choice(letters, 9)) for _ in range(60_000)})
+    toxic = (np.arange(len(words)) % 40 == 0) * 5
+    rows = kneser_ney.count(words, toxic, 5 - toxic)
+    distinct = {(("\x02" + w + "\x03")[max(0, i - kneser_ney.HISTORY) : i + 1]) for w in words for i in range(1, len(w) + 2)}
+    assert len(rows["tri"]) == len(distinct)
+    bad = [w for w, t in zip(words, toxic) if t]
+    assert np.mean(kneser_ney.Models(rows).ratios(bad) > 5) == 1
+
+
+def test_joined_models_score_the_same(spark, monkeypatch):
+    docs, labels = corpus(spark, 300)
+    docs = docs.unionByName(spark.createDataFrame([(None, None, None), (900, "", "a"), (900, "é zurgon zurgon unseen", "a")], docs.schema))
+    one = fit(docs, labels)
+    monkeypatch.setattr("quire.llm.toxicity.BROADCAST_GRAMS", 0)
+    two = fit(docs, labels)
+    assert type(one.models) is not type(two.models) and np.allclose(one.weights, two.weights, rtol=1e-3, atol=1e-3)
+    a, b = (sorted((r["doc_id"] or -1, r["text"] or "", r["toxicity"]) for r in score_documents(docs, m).collect()) for m in (one, two))
+    assert [x[:2] for x in a] == [x[:2] for x in b] and np.allclose([x[2] for x in a], [x[2] for x in b], atol=1e-3)
+
+
 def corpus(spark, n=600):
     rows, labels, rng = [], [], np.random.default_rng(0)
     for i in range(n):
