@@ -1,6 +1,6 @@
 """Toxicity by class-conditional Kneser-Ney models (see ``kneser_ney``).
 
-Learning, over all labelled training rows: words are counted by class
+Learning, over all labelled training rows but those of the fit: words are counted by class
 (pre-aggregated in each task, then summed by word), the words' n-grams by class
 likewise, and the table of distinct n-grams that results is written out: it
 follows the corpus. Up to ``BROADCAST_GRAMS`` n-grams it is broadcast and words
@@ -12,8 +12,9 @@ over the whole text and over its most telling words; a logistic function of
 these, fitted on a further part of the training rows (at most
 ``CALIBRATION_ROWS``, chosen by hash), gives the score.
 
-Training rows are those whose crc32(doc_id as text) mod 4 is 0 or 1 (counts)
-or 3 (fit); rows with remainder 2 are held out and their labels never read.
+Training rows are those whose crc32(doc_id as text) mod 4 is not 2. Those with
+remainder 3 that the fit takes give no counts, all others do; rows with
+remainder 2 are held out and their labels never read.
 
 Defined results: null text counts as empty. A text without words has all
 features 0 and so the score of no evidence. Several labels of one document: the
@@ -245,7 +246,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n = known.count()
     rows = docs.select(F.col(id_col).alias("_qt_doc"), F.col(text_col).alias("text"))
     train = rows.join(F.broadcast(known) if n <= BROADCAST_LABELS else known, F.col("_qt_doc") == F.col("_qt_id"))
-    words = train.where("_qt_fold in (0, 1)").select("text", "_qt_toxic").mapInArrow(_count_words, "word string, toxic long, ordinary long")
+    every = max(1, -(-n // (4 * CALIBRATION_ROWS)))
+    for_fit = (F.col("_qt_fold") == 3) & (F.pmod(F.xxhash64("_qt_id"), F.lit(every)) == 0)
+    words = train.where(~for_fit).select("text", "_qt_toxic").mapInArrow(_count_words, "word string, toxic long, ordinary long")
     words = words.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
     grams = words.mapInArrow(_count_grams, "context long, tri long, toxic long, ordinary long")
     grams = stage(grams.groupBy("context", "tri").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "toxicity-grams")
@@ -257,8 +260,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         models = JoinedModels.of(grams)
     model = Toxicity(models, [])
 
-    every = max(1, -(-n // (4 * CALIBRATION_ROWS)))
-    sample = train.where((F.col("_qt_fold") == 3) & (F.pmod(F.xxhash64("_qt_id"), F.lit(every)) == 0)).select("text", "_qt_toxic")
+    sample = train.where(for_fit).select("text", "_qt_toxic")
     got = _with_features(sample, "text", model).select("_qt_toxic", *FEATURES).toArrow()
     x = np.column_stack([got.column(f).to_numpy() for f in FEATURES]) if got.num_rows else np.zeros((0, len(FEATURES)))
     y = got.column("_qt_toxic").to_numpy().astype(float) if got.num_rows else np.zeros(0)

@@ -88,6 +88,17 @@ def test_held_out_accuracy(spark):
     assert all(zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 for r in got)
 
 
+def test_all_rows_but_the_sample_are_counted(spark, monkeypatch):
+    docs, labels = corpus(spark, 300)
+    monkeypatch.setattr("quire.llm.toxicity.CALIBRATION_ROWS", 10)
+    model = fit(docs, labels)
+    rows = docs.select("text", fold().alias("fold"), F.xxhash64("doc_id").alias("h")).where("fold <> 2").collect()
+    every = -(-len(rows) // 40)
+    used = [r["text"] for r in rows if r["fold"] != 3 or r["h"] % every]
+    assert every > 1 and len(used) > sum(r["fold"] != 3 for r in rows)
+    assert sum(c[0].sum() for c in model.models.classes) == sum(len(w) + 1 for t in used for w in words_of(t))
+
+
 def test_held_out_labels_are_never_read(spark):
     docs, labels = corpus(spark, 200)
     flipped = labels.withColumn("toxic", F.when(fold() == 2, 1 - F.col("toxic")).otherwise(F.col("toxic")))
