@@ -6,12 +6,12 @@ slots go to the released block with the earliest deadline. On one sequence this
 meets every deadline, so at any slot each source has been served its weight's
 share to within less than one block.
 
-Weights are rounded to multiples of 1/L (largest remainders), which makes the
-schedule periodic: one period of L slots is simulated on the driver, and the
-slot of any block follows by arithmetic, so documents are placed without any
-sequential pass. When a source runs out, a new phase begins with the weights of
-those left; nothing is dropped or repeated. The driver holds one number of
-blocks per source and L slots a phase, never documents.
+Weights are taken as the exact ratios that they are. The driver runs through the
+blocks of a phase (not the documents: one step for 64 KiB) and keeps slot,
+release and deadline of each; these are joined to the documents in arrays of
+``CHUNK`` blocks. When a source runs out, a new phase begins with the weights of
+those left; nothing is dropped or repeated. Only where a period L is asked for
+are weights rounded to multiples of 1/L (largest remainders).
 
 A document belongs to the block in which its first byte lies, in an order of
 its source that is random (by hash) but fixed; one longer than a block leaves
@@ -26,34 +26,50 @@ an empty result.
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass, field
-
-from pyspark.sql import Column, DataFrame
+from array import array
+from collections.abc import Iterator
+from dataclasses import dataclass
+from fractions import Fraction
+from math import lcm
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import cut, numbered, sized, stage
 
-BLOCK_BYTES, PERIOD = 1 << 16, 4096
+BLOCK_BYTES, CHUNK = 1 << 16, 1024
 #: A source's documents are ordered in pieces; all sources together fill one with about this many rows.
 PIECE_ROWS = 4096
-#: Rows of the phase table up to this are broadcast (``PERIOD`` slots a phase in all).
-BROADCAST_PHASES = 20_000
+#: Rows of the schedule up to this are broadcast (``CHUNK`` blocks each), more are joined by shuffle.
+BROADCAST_CHUNKS = 10_000
 
 
 @dataclass
 class Phase:
-    """Blocks ``first[s]`` up to ``first[s] + served[s]`` of each source, from slot ``base`` on."""
+    """Blocks ``first[s]`` up to ``first[s] + served[s]`` of each source, from slot ``base`` on.
+
+    A source's weight is ``units[s] / period``; slots, releases and deadlines count from ``base``.
+    """
 
     base: int
     period: int
     units: dict[str, int]
-    slots: dict[str, list[int]]
+    slots: dict[str, array]
+    releases: dict[str, array]
+    deadlines: dict[str, array]
     first: dict[str, int]
-    served: dict[str, int] = field(default_factory=dict)
+    served: dict[str, int]
 
     def slot(self, source: str, block: int) -> int:
-        k, a = block - self.first[source], self.units[source]
-        return self.base + k // a * self.period + self.slots[source][k % a]
+        return self.base + self.slots[source][block - self.first[source]]
+
+
+def exact(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in the very ratios of the weights; their sum is the period."""
+    ratios = {s: Fraction(w) for s, w in weights.items()}
+    common = lcm(*(r.denominator for r in ratios.values()))
+    return {s: int(r * common) for s, r in ratios.items()}
 
 
 def rounded(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -70,43 +86,46 @@ def rounded(weights: dict[str, float], period: int) -> dict[str, int]:
     return units
 
 
+def slots_of(units: dict[str, int], period: int) -> Iterator[tuple[str, int, int]]:
+    """Source, release and deadline of the block in each slot: earliest deadline first among released blocks."""
+    waiting = [(0, s, 0) for s in units]
+    heapq.heapify(waiting)
+    ready: list[tuple[int, str, int, int]] = []
+    t = 0
+    while True:
+        while waiting and waiting[0][0] <= t:
+            release, s, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(k + 1) * period // units[s]), s, k, release))
+        deadline, s, k, release = heapq.heappop(ready)  # as the units fill the period, a block is ready in every slot
+        yield s, release, deadline
+        heapq.heappush(waiting, ((k + 1) * period // units[s], s, k + 1))
+        t += 1
+
+
 def one_period(units: dict[str, int], period: int) -> list[str]:
-    """The source of each slot: earliest deadline first among released blocks."""
-    waiting: list[list[tuple[int, str, int]]] = [[] for _ in range(period)]
-    for s, a in units.items():
-        for k in range(a):
-            waiting[k * period // a].append((-(-(k + 1) * period // a), s, k))
-    ready: list[tuple[int, str, int]] = []
-    out = []
-    for t in range(period):
-        for block in waiting[t]:
-            heapq.heappush(ready, block)
-        out.append(heapq.heappop(ready)[1])  # as the units fill the period, a block is ready in every slot
-    return out
-
-
-def schedule(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> list[Phase]:
+    """The source of each slot of a period."""
+    return [s for _, (s, _, _) in zip(range(period), slots_of(units, period))]
+
+
+def schedule(blocks: dict[str, int], weights: dict[str, float], period: int | None = None) -> list[Phase]:
     """Phases that serve all ``blocks``; each ends when a source runs out."""
     left, done = {s: n for s, n in blocks.items() if n > 0}, dict.fromkeys(blocks, 0)
     base, phases = 0, []
     while left:
         live = {s: weights[s] for s in left if weights.get(s, 0) > 0} or {s: float(blocks[s]) for s in left}
-        length = max(period, 1 << (4 * len(live) - 1).bit_length())
-        units = rounded(live, length)
-        order = one_period(units, length)
-        slots: dict[str, list[int]] = {s: [] for s in live}
-        for t, s in enumerate(order):
-            slots[s].append(t)
-        whole = min(left[s] // units[s] for s in live)
-        served = {s: whole * units[s] for s in live}
-        end = whole * length
-        if all(left[s] > served[s] for s in live):
-            for s in order:
-                if served[s] == left[s]:
-                    break
-                served[s] += 1
-                end += 1
-        phases.append(Phase(base, length, units, slots, {s: done[s] for s in live}, served))
+        units = exact(live) if period is None else rounded(live, max(period, 1 << (4 * len(live) - 1).bit_length()))
+        length = sum(units.values())
+        slots, releases, deadlines = ({s: array("q") for s in live} for _ in range(3))
+        end = 0
+        for s, release, deadline in slots_of(units, length):
+            if len(slots[s]) == left[s]:
+                break
+            slots[s].append(end)
+            releases[s].append(release)
+            deadlines[s].append(min(deadline, 1 << 62))
+            end += 1
+        served = {s: len(slots[s]) for s in live}
+        phases.append(Phase(base, length, units, slots, releases, deadlines, {s: done[s] for s in live}, served))
         base += end
         for s in live:
             done[s] += served[s]
@@ -136,19 +155,30 @@ def with_slots(docs: DataFrame, weights: dict[str, float] | None = None, tempera
     rows = rows.withColumn("_qm_block", F.floor(F.col("_qm_start") / block_bytes))
     sizes = {r[0]: r[1] for r in docs.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit(""))).agg(F.sum(size)).collect()}  # a row a source
     phases = schedule({s: -(-n // block_bytes) for s, n in sizes.items()}, target_weights(sizes, temperature) if weights is None else weights)
-    table = [(s, i, p.first[s], p.first[s] + p.served[s], p.base, p.units[s], p.period, p.slots[s]) for i, p in enumerate(phases) for s in p.first if p.served[s]]
-    plan = spark.createDataFrame(table, "_qp_source string, _qm_phase int, _qp_from long, _qp_to long, _qp_base long, _qp_units int, _qp_period int, _qp_slots array<int>")
-    if len(table) <= BROADCAST_PHASES:
+    plan, chunks = _plan(spark, phases)
+    if chunks <= BROADCAST_CHUNKS:
         plan = F.broadcast(plan)
-    rows = rows.join(plan, (F.col("_qm_source") == F.col("_qp_source")) & (F.col("_qm_block") >= F.col("_qp_from")) & (F.col("_qm_block") < F.col("_qp_to")))
-    k = "(_qm_block - _qp_from)"
-    return rows.withColumns(
-        {
-            "_qm_release": F.expr(f"_qp_base + {k} * _qp_period div _qp_units"),
-            "_qm_deadline": F.expr(f"_qp_base + (({k} + 1) * _qp_period + _qp_units - 1) div _qp_units"),
-            "_qm_slot": F.expr(f"_qp_base + {k} div _qp_units * _qp_period + _qp_slots[cast({k} % _qp_units as int)]"),
-        }
-    ).drop("_qm_order", "_qm_piece", "_qp_source", "_qp_from", "_qp_to", "_qp_base", "_qp_units", "_qp_period", "_qp_slots")
+    on = (F.col("_qm_source") == F.col("_qp_source")) & (F.floor(F.col("_qm_block") / CHUNK) == F.col("_qp_chunk"))
+    rows = rows.join(plan, on & (F.col("_qm_block") >= F.col("_qp_from")) & (F.col("_qm_block") < F.col("_qp_to")))
+    at = "[cast(_qm_block - _qp_from as int)]"
+    found = {f"_qm_{k}": F.expr(f"_qp_base + _qp_{k}{at}") for k in ("release", "deadline", "slot")}
+    return rows.withColumns(found).drop("_qm_order", "_qm_piece", *plan.columns[1:])
+
+
+def _plan(spark: SparkSession, phases: list[Phase]) -> tuple[DataFrame, int]:
+    """The schedule in rows of up to ``CHUNK`` blocks of one source and phase, and how many rows there are."""
+    rows = []
+    for i, p in enumerate(phases):
+        for s, first in p.first.items():
+            at, end = first, first + p.served[s]
+            while at < end:
+                to = min(end, (at // CHUNK + 1) * CHUNK)
+                rows.append((i, s, at // CHUNK, at, to, p.base, *(x[s][at - first : to - first].tolist() for x in (p.releases, p.deadlines, p.slots))))
+                at = to
+    names = ["_qm_phase", "_qp_source", "_qp_chunk", "_qp_from", "_qp_to", "_qp_base", "_qp_release", "_qp_deadline", "_qp_slot"]
+    types = [pa.int32(), pa.string(), *[pa.int64()] * 4, *[pa.list_(pa.int64())] * 3]
+    columns = list(zip(*rows)) or [()] * len(names)
+    return spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=names)), len(rows)
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:

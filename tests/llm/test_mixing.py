@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from quire.llm.mixing import mix, mixture, one_period, rounded, schedule
+from quire.llm.mixing import BLOCK_BYTES, mix, mixture, one_period, rounded, schedule, target_weights
 
 
 @pytest.mark.parametrize("weights", [{"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 1.0}, {str(i): 1 + i * i for i in range(30)}])
@@ -34,6 +34,21 @@ def test_every_block_has_its_own_slot(seed):
             assert all(abs(served[x] - n * p.units[x] / p.period) < 1 for x in served)
 
 
+def test_target_weights_hold_at_30_gb():
+    sizes = {f"s{i}": int(1e9 * 1.3 ** (i - 10)) for i in range(20)} | {"tiny": 70_000}
+    weights = target_weights(sizes, 0.5)
+    weights["tiny"] = 1e-6
+    blocks = {s: -(-n // BLOCK_BYTES) for s, n in sizes.items()}
+    assert sum(blocks.values()) > 400_000
+    p = schedule(blocks, weights)[0]
+    live = sum(weights[s] for s in p.first)
+    for s in p.first:
+        w = weights[s] / live
+        for k, slot in enumerate(p.slots[s]):  # before and after each of its blocks
+            assert abs(k - slot * w) < 1 + 1e-6 and abs(k + 1 - (slot + 1) * w) < 1 + 1e-6
+            assert p.releases[s][k] <= slot < p.deadlines[s][k]
+
+
 def documents(spark, n=400):
     rnd = random.Random(0)
     rows = [(i, "w" * rnd.randint(0, 900) if i % 50 else None, rnd.choice(["a", "a", "a", "b", "c", None]), "x") for i in range(n)] + [(1, "same", "a", "y")] * 2 + [(None, "null", "b", None)]
