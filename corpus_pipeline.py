@@ -45,11 +45,16 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's token ids, packed as little-endian unsigned 32-bit integers."""
+    """Each document's token ids, packed as little-endian unsigned 32-bit integers, and its place in the mixture.
+
+    Files that are reread come in any order, so the schedule, which depends on
+    the documents alone, is worked out again: ``slot, start`` is the order.
+    """
     import public_tokenizers
 
-    out = encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    return out.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    order = ["_qm_slot", "_qm_start"]
+    out = encode_decode(mix(docs, temperature=TEMPERATURE, keep=order), public_tokenizers.path("byte_bpe_50k.json"), keep=order)
+    return out.select("doc_id", F.col("_qm_slot").alias("slot"), F.col("_qm_start").alias("start"), "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

@@ -138,8 +138,8 @@ def byte_bpe(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, n_tokens, ids`` (packed unsigned 32-bit) and ``decoded`` (from those ids)."""
+def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """One row per document: ``doc_id, n_tokens, ids`` (packed unsigned 32-bit), ``decoded`` (from those ids) and the columns ``keep``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(vocabulary)
@@ -147,7 +147,8 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 ids = bpe.encode([t or "" for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string()), *part.columns[2:]], ["doc_id", "n_tokens", "ids", "decoded", *keep])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens long, ids binary, decoded string")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *keep)
+    types = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join([f"doc_id {types['doc_id']}, n_tokens long, ids binary, decoded string", *(f"`{k}` {types[k]}" for k in keep)]))

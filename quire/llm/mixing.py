@@ -181,11 +181,14 @@ def _plan(spark: SparkSession, phases: list[Phase]) -> tuple[DataFrame, int]:
     return spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=names)), len(rows)
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """All of ``docs``, in the schedule's order: its partitions hold consecutive slots, sorted."""
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, block_bytes: int = BLOCK_BYTES, keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """All of ``docs``, in the schedule's order: its partitions hold consecutive slots, sorted.
+
+    ``keep`` names columns of ``with_slots`` to return as well; (``_qm_slot``, ``_qm_start``) is the order.
+    """
     rows = with_slots(docs, weights, temperature, block_bytes)
     parts = max(2, sized(docs.count(), 10_000))
-    return rows.repartitionByRange(parts, "_qm_slot").sortWithinPartitions("_qm_slot", "_qm_start").select(*docs.columns)
+    return rows.repartitionByRange(parts, "_qm_slot").sortWithinPartitions("_qm_slot", "_qm_start").select(*docs.columns, *keep)
 
 
 def mixture(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:

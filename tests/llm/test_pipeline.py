@@ -5,6 +5,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from quire.llm.common import stage
 from quire.llm.toxicity import fit, score_documents
 from tests.llm.test_near_dedup import classes
 
@@ -49,6 +50,18 @@ def test_by_brute_force(spark, tmp_path):
         assert got[i]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
 
 
+def test_the_mixture_survives_rereading(spark):
+    rows = [(i, "w " * (i % 90 + 1) * (400 if i < 200 else 40), "en", f"s{i % 3 if i % 2 else 0}", 5) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = corpus_pipeline.mixing_stage(spark, docs, "")
+    want = [r["doc_id"] for r in mixed.select("doc_id").collect()]
+    reread = stage(mixed.repartition(6, "doc_id"), "several-files")
+    assert len(reread.inputFiles()) > 1 and [r["doc_id"] for r in reread.collect()] != want
+    got = stage(corpus_pipeline.encoding_stage(spark, reread, ""), "encoded").select("doc_id", "slot", "start").collect()
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: (r["slot"], r["start"]))] == want
+    assert len({r["slot"] for r in got}) > 20
+
+
 def test_stages_keep_the_columns(spark, tmp_path):
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs = spark.createDataFrame([(1, "a b c", "en", "s", 5), (2, "A b c", "en", None, 5)], "doc_id long, text string, lang string, source string, n_chars long")
