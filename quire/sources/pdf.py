@@ -3,7 +3,7 @@
 A file is one unit of work: it is parsed once per level asked for, in Arrow
 batches, and everything after that (lines, pages, documents) is DataFrame
 operations. A file that fails to parse gives a row with ``error`` instead of a
-failed task; files above ``max_bytes`` are not read into a task.
+failed task; so does one above ``max_bytes``, whose bytes are not read.
 """
 
 from __future__ import annotations
@@ -31,9 +31,15 @@ FONT_SCHEMA = "doc_id string, page_no int, font_key string, base_font string, su
 
 
 def read_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES, glob: str = "*") -> DataFrame:
-    """``doc_id`` (the path), ``length`` and ``content`` of all files; the length bound is pushed into the scan."""
+    """``doc_id`` (the path), ``length``, ``content`` and ``error`` of all files.
+
+    The length bound is pushed into the scan; a file above it has null content and an error that names its length.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return files.where(F.col("length") <= max_bytes).select(F.col("path").alias("doc_id"), "length", "content")
+    fits = F.col("length") <= max_bytes
+    read = files.where(fits).select(F.col("path").alias("doc_id"), "length", "content", F.lit(None).cast("string").alias("error"))
+    error = F.concat(F.lit("file of "), F.col("length").cast("string"), F.lit(f" bytes exceeds the bound of {max_bytes}"))
+    return read.unionByName(files.where(~fits).select(F.col("path").alias("doc_id"), "length", F.lit(None).cast("binary").alias("content"), error.alias("error")))
 
 
 def has_header(content: str = "content") -> Column:
@@ -43,8 +49,8 @@ def has_header(content: str = "content") -> Column:
 
 
 def only_pdfs(files: DataFrame) -> DataFrame:
-    """The files that pass the header test, before any byte reaches Python."""
-    return files.where(has_header())
+    """The files that pass the header test, before any byte reaches Python, and those that carry an error."""
+    return files.where(has_header() | F.col("error").isNotNull() if "error" in files.columns else has_header())
 
 
 def _batches(schema: pa.Schema, rows: Iterator[tuple], size: int = 2000) -> Iterator[pa.RecordBatch]:
@@ -63,12 +69,17 @@ def _mapped(files: DataFrame, schema: str, rows: Callable, password: str = "", o
     from pyspark.sql.types import _parse_datatype_string
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
+    extra = [c for c in ("password", "error") if c in files.columns]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for i in range(batch.num_rows):
                 doc_id, content = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                secret = batch.column(2)[i].as_py() if batch.num_columns > 2 else password
+                more = {k: batch.column(2 + j)[i].as_py() for j, k in enumerate(extra)}
+                secret = more.get("password", password)
+                if more.get("error") is not None:
+                    yield from on_error(doc_id, more["error"]) if on_error else ()
+                    continue
                 if content is None or not looks_like_pdf(content):
                     yield from on_other(doc_id) if on_other else ()
                     continue
@@ -78,8 +89,7 @@ def _mapped(files: DataFrame, schema: str, rows: Callable, password: str = "", o
                     found = list(on_error(doc_id, f"{type(e).__name__}: {e}"[:500])) if on_error else []
                 yield from found
 
-    columns = ["doc_id", "content", *(["password"] if "password" in files.columns else [])]
-    return files.select(*columns).mapInArrow(lambda batches: _batches(arrow, each(batches)), schema)
+    return files.select("doc_id", "content", *extra).mapInArrow(lambda batches: _batches(arrow, each(batches)), schema)
 
 
 def _kind(value) -> str:

@@ -324,3 +324,16 @@ def test_damaged_files_never_fail(at, junk, which):
     data = (make.one_page(CONTENT), make.packed(CONTENT), composite(face({"GSUB": make.gsub_ligatures({(1, 5, 2): 20})}), b"BT /F1 10 Tf <00030001> Tj ET"))[which]
     at = at * len(data) // 400
     texts(data[:at] + junk + data[at + len(junk) :])
+
+
+def test_files_above_the_bound_give_an_error_row(spark, tmp_path):
+    (tmp_path / "small.pdf").write_bytes(b"no pdf")
+    (tmp_path / "large.pdf").write_bytes(b"%PDF-1.4 " + b"x" * 5000)
+    files = pdf.read_files(spark, str(tmp_path), max_bytes=1000)
+    read = {r["doc_id"].rsplit("/", 1)[1]: r for r in files.collect()}
+    assert read["large.pdf"]["content"] is None and read["large.pdf"]["length"] == 5009 and "5009" in read["large.pdf"]["error"]
+    assert bytes(read["small.pdf"]["content"]) == b"no pdf" and read["small.pdf"]["error"] is None
+    docs = {r["doc_id"].rsplit("/", 1)[1]: r for r in pdf.extract_documents(files).collect()}
+    assert len(docs) == 2 and "5009" in docs["large.pdf"]["error"] and docs["large.pdf"]["text"] == "" and docs["small.pdf"]["error"] is None
+    runs = pdf.text_runs(pdf.pages(pdf.only_pdfs(files))).collect()
+    assert [r["error"] for r in runs] == [read["large.pdf"]["error"]]
