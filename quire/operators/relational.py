@@ -6,6 +6,8 @@ Catalyst plans; none collects data to the driver.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -77,21 +79,23 @@ def inherited_tree(nodes: DataFrame, attributes: list[str], depth: int = 64) ->
     """)
 
 
-def closure(edges: DataFrame, seeds: DataFrame, rounds: int = 100) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame, rounds: int | None = None) -> DataFrame:
     """All nodes reachable from ``seeds`` (node) along ``edges`` (src, dst), each once.
 
     A semi-naive loop: each round joins only the nodes found last, and is
-    written out (reliable checkpoint) where the session names a folder.
+    written out (reliable checkpoint) where the session names a folder. It ends
+    when nothing new is found; where that takes more than ``rounds``, it raises.
     """
     found = seeds.select("node").distinct()
     frontier = found
-    for _ in range(rounds):
+    for n in count():
         reached = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
         frontier = _cut(reached.join(found, "node", "left_anti"))
         if frontier.isEmpty():
             return found
+        if rounds is not None and n >= rounds:
+            raise RuntimeError(f"closure: nodes are left after {rounds} rounds")
         found = _cut(found.unionByName(frontier))
-    return found
 
 
 def _cut(df: DataFrame) -> DataFrame:

@@ -55,3 +55,14 @@ def test_entry_contract(spark, name):
         assert all(map(callable, e.queries().values())) and len(e.queries()) >= 30
     else:
         assert set(e.oracle_sql()) <= set(e.queries()) and all(isinstance(v, str) for v in e.oracle_sql().values())
+
+
+def test_closure_never_returns_a_part(spark):
+    from quire.operators.relational import closure
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(4)], "src int, dst int")
+    seeds = spark.createDataFrame([(0,)], "node int")
+    assert {r["node"] for r in closure(edges, seeds).collect()} == set(range(5))
+    assert closure(edges, seeds, rounds=4).count() == 5
+    with pytest.raises(RuntimeError, match="after 2 rounds"):
+        closure(edges, seeds, rounds=2)
