@@ -7,23 +7,28 @@ kd-tree nearest leaf first and verified on the original vectors, until the
 chi-square test says that a vector nearer than the k-th best found would, with
 probability ``STOP``, have shown up before the present projected distance.
 
-Distributed: a kd-tree over a bounded sample (``FIT_ROWS``) cuts the projected
-space into cells of about ``CELL_ROWS`` rows; every row is indexed in its cell.
-A query first searches its own cell; the distance found there, put into the
-stopping test, says which other cells' boxes it still has to visit. Cells hold
-a bounded number of rows because of equal vectors only the ``k + 1`` smallest
-ids can be among any k nearest, which an exact, pre-shuffle group limit uses;
-many queries of one cell are dealt over several groups.
+Distributed: a kd-tree over a bounded sample of projected rows (``FIT_ROWS``)
+cuts the projected space into cells of about ``CELL_ROWS`` rows; every row is
+indexed in its cell. A query first searches its own cell; the distance found
+there, put into the stopping test, says which other cells' boxes it still has
+to visit. A cell of more than ``PART_ROWS`` rows is dealt over several trees, and
+only a cell that more than ``QUERY_ROWS`` queries visit is copied, once for each
+so many of them. Of equal vectors only the ``k + 1`` smallest ids can be among
+any k nearest, which an exact, pre-shuffle group limit uses.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
-components take no part, nor do those of another length than most, nor rows
-without id. Rows equal in id and vector count once. Ties go to the smaller id.
-Fewer candidates than k give fewer rows; an empty table gives none.
+components take no part, nor do rows without id. A vector's neighbours have its
+length: those of the commonest length share the cells, each other length is a
+space of its own. Rows equal in id and vector count once; of several vectors of
+an id the nearest counts, so an id takes one place in an answer and none in its
+own. Ties go to the smaller id. Fewer candidates than k give fewer rows; an
+empty table gives none. Other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from math import exp
 
 import numpy as np
@@ -33,9 +38,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.llm.common import cut, sized, stage
+from quire.llm.common import cut, sized, small, stage
 
-M, STOP, FIT_ROWS, CELL_ROWS, LEAF, QUERY_ROWS, MAX_DEPTH = 8, 0.99, 20_000, 8192, 64, 20_000, 12
+M, STOP, LEAF = 8, 0.99, 64
+CELL_ROWS, PART_ROWS, QUERY_ROWS, MAX_DEPTH = 8192, 1 << 15, 20_000, 16
+#: The cells are fitted on a 256th of the rows, within these bounds (``M`` numbers a row).
+LEAST_FIT_ROWS, FIT_ROWS = 20_000, 1 << 20
 
 
 def chi_square_quantile(p: float, m: int = M) -> float:
@@ -55,6 +63,7 @@ def chi_square_quantile(p: float, m: int = M) -> float:
     return high
 
 
+@lru_cache(maxsize=64)
 def projection(dimensions: int, seed: int = 7) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((dimensions, M))
 
@@ -102,6 +111,7 @@ class KdTree:
                 order.append(at)
         at = np.concatenate(order) if order else np.zeros(0, np.int64)
         self.ids, self.vectors, self.points, self.weights = ids[at], vectors[at], points[at], weights
+        self.again = len(np.unique(ids)) < len(ids)
         self.starts = np.array([a for a, _ in leaves], np.int64)
         self.ends = np.array([a + n for a, n in leaves], np.int64)
         boxed = [self.points[a : a + n] for a, n in leaves]
@@ -126,8 +136,10 @@ class KdTree:
             rows = rows[self.ids[rows] != query_id]
             d = np.sqrt(((self.vectors[rows] - query) ** 2).sum(axis=1))
             best_ids, best = np.concatenate([best_ids, self.ids[rows]]), np.concatenate([best, d])
-            keep = np.lexsort((best_ids, best))[:k]
-            best_ids, best = best_ids[keep], best[keep]
+            keep = np.lexsort((best_ids, best))
+            if self.again:  # an id's nearest vector takes its place
+                keep = keep[np.sort(np.unique(best_ids[keep], return_index=True)[1])]
+            best_ids, best = best_ids[keep[:k]], best[keep[:k]]
             if len(best) == k:
                 bound = min(bound, float(best[-1]))
             at, step = at + step, min(2 * step, 64)
@@ -142,65 +154,92 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(fine)
 
 
+def _projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            part = batch.slice(at, 2000)
+            vectors, points = part.column(1).to_pylist(), [None] * part.num_rows
+            size = np.fromiter(map(len, vectors), np.int32, len(vectors))
+            for n in np.unique(size):
+                rows = np.flatnonzero(size == n)
+                for i, p in zip(rows, np.array([vectors[i] for i in rows], np.float64) @ projection(int(n))):
+                    points[i] = p
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(size), pa.array(points, pa.list_(pa.float64()))], ["vec_id", "vec", "size", "point"])
+
+
 def nearest(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score`` for the rows that satisfy ``queries`` (a condition on vec_id), against all rows."""
     spark = vectors.sparkSession
-    rows = stage(usable(vectors, id_col, vector_col), "ann-rows")
-    none = "query_id long, rank int, vec_id long, score double"
-    most = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    rows = usable(vectors, id_col, vector_col).dropDuplicates(["vec_id", "vec"])
+    kind = dict(rows.dtypes)["vec"]
+    projected = stage(rows.mapInArrow(_projected, f"vec_id long, vec {kind}, size int, point array<double>"), "ann-projected")
+    most = projected.groupBy("size").count().orderBy(F.desc("count"), "size").first()
     if most is None:
-        return spark.createDataFrame([], none)
-    n, rows = most["count"], rows.where(F.size("vec") == most["n"])
-    sample = rows.where(cut(F.col("vec_id"), sized(n, FIT_ROWS)) == 0).select("vec").toArrow()
-    weights, quantile = projection(most["n"]), chi_square_quantile(STOP)
-    fitted = np.array(sample.column("vec").to_pylist(), np.float64).reshape(-1, most["n"]) @ weights
-    axes, cuts = split_planes(fitted, min(MAX_DEPTH, max(0, (sized(n, CELL_ROWS) - 1).bit_length())))
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    size, n = most["size"], most["count"]
+    fit = min(FIT_ROWS, max(LEAST_FIT_ROWS, n >> 8))
+    sample = projected.where(F.col("size") == size).where(F.pmod(F.xxhash64("vec_id", "vec"), F.lit(sized(n, fit))) == 0).select("point").toArrow()  # about ``fit`` rows
+    axes, cuts = split_planes(np.array(sample.column("point").to_pylist(), np.float64).reshape(-1, M), min(MAX_DEPTH, max(0, (sized(n, CELL_ROWS) - 1).bit_length())))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                points = np.array(batch.column(1).to_pylist(), np.float64) @ weights
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell_of(points, axes, cuts).astype(np.int32)), pa.array(list(points), pa.list_(pa.float64()))], ["vec_id", "vec", "cell", "point"])
+                lengths = batch.column(2).to_numpy()
+                cell = np.where(lengths == size, cell_of(np.array(batch.column(3).to_pylist(), np.float64), axes, cuts), -lengths)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), *(batch.column(i) for i in (0, 1, 3))], ["cell", "vec_id", "vec", "point"])
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.mapInArrow(place, f"cell int, vec_id long, vec {kind}, point array<double>")
 
-    kind = dict(rows.dtypes)["vec"]
-    placed = stage(rows.mapInArrow(place, f"vec_id long, vec {kind}, cell int, point array<double>"), "ann-placed")
     # of equal vectors, only the k + 1 smallest ids can be near any query; the limit applies before the shuffle, too
     nth = F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))
-    points = placed.withColumn("_n", nth).where(F.col("_n") <= k + 1).select("cell", "vec_id", "vec")
-    ask = placed.where(queries).select("cell", F.col("vec_id").alias("query_id"), "vec", "point", F.lit(float("inf")).alias("bound"))
-    spread = sized(ask.count(), QUERY_ROWS)
-    points = stage(points.withColumn("block", F.explode(F.array(*map(F.lit, range(spread))))), "ann-points") if spread > 1 else stage(points.withColumn("block", F.lit(0)), "ann-points")
+    points = stage(placed(projected.withColumn("_n", nth).where(F.col("_n") <= k + 1).drop("_n")), "ann-points")
+    ask = stage(placed(projected.where(queries)).withColumn("q", F.monotonically_increasing_id()), "ann-queries")
+    bounds = [f(F.col("point")[i]).alias(f"{name}{i}") for name, f in (("low", F.min), ("high", F.max)) for i in range(M)]
+    cells = stage(points.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), *bounds), "ann-cells")
 
     def look(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(held) and len(asked):
-            tree = KdTree(held["vec_id"].to_numpy(), np.stack(held["vec"].to_numpy()).astype(np.float64), weights)
-            for q, v, bound in zip(asked["query_id"], asked["vec"], asked["bound"]):
-                ids, d = tree.search(q, np.asarray(v, np.float64), k, quantile, bound)
-                out.append(pd.DataFrame({"query_id": q, "vec_id": ids, "score": d}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            points = np.stack(held["vec"].to_numpy()).astype(np.float64)
+            tree = KdTree(held["vec_id"].to_numpy(), points, projection(points.shape[1]))
+            for q, query_id, v, bound in zip(asked["q"], asked["query_id"], asked["vec"], asked["bound"]):
+                ids, d = tree.search(query_id, np.asarray(v, np.float64), k, quantile, bound)
+                out.append(pd.DataFrame({"q": q, "query_id": query_id, "vec_id": ids, "score": d}))
+        return pd.concat(out) if out else pd.DataFrame({"q": [], "query_id": [], "vec_id": [], "score": []})
 
-    def searched(asked: DataFrame) -> DataFrame:
-        asked = asked.withColumn("block", cut(F.col("query_id"), spread)).select("cell", "block", "query_id", "vec", "bound")
-        return points.groupBy("cell", "block").cogroup(asked.groupBy("cell", "block")).applyInPandas(look, "query_id long, vec_id long, score double")
+    quantile = chi_square_quantile(STOP)
 
-    home = stage(searched(ask), "ann-home")
-    boxes = placed.groupBy("cell").agg(F.array(*(F.min(F.col("point")[i]) for i in range(M))).alias("low"), F.array(*(F.max(F.col("point")[i]) for i in range(M))).alias("high")).toPandas()  # at most 2 ** MAX_DEPTH rows
-    cells, low, high = boxes["cell"].to_numpy(), np.stack(boxes["low"].to_numpy()), np.stack(boxes["high"].to_numpy())
+    def searched(asked: DataFrame) -> DataFrame:
+        """The k nearest in each asked (cell, q, query_id, vec, bound): a task holds one part of a cell and a block of its queries."""
+        load = asked.groupBy("cell").agg(F.count(F.lit(1)).alias("asked")).join(small(cells.select("cell", "rows")), "cell")
+        parts, blocks = (F.ceil(F.col(c) / most).cast("int") for c, most in (("rows", PART_ROWS), ("asked", QUERY_ROWS)))
+        load = small(stage(load.select("cell", parts.alias("parts"), blocks.alias("blocks")), "ann-load"))
+        upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        held = points.join(load, "cell").select("cell", F.pmod(F.xxhash64("vec_id", "vec"), "parts").cast("int").alias("part"), upto("blocks").alias("block"), "vec_id", "vec")
+        asked = asked.join(load, "cell").select("cell", upto("parts").alias("part"), F.pmod(F.xxhash64("q"), "blocks").cast("int").alias("block"), "q", "query_id", "vec", "bound")
+        on = ["cell", "part", "block"]
+        return held.groupBy(*on).cogroup(asked.groupBy(*on)).applyInPandas(look, "q long, query_id long, vec_id long, score double")
+
+    ask = ask.withColumnRenamed("vec_id", "query_id")
+    home = stage(searched(ask.withColumn("bound", F.lit(float("inf")))), "ann-home")
+    boxes = cells.where("cell >= 0").toPandas()  # at most 2 ** MAX_DEPTH rows
+    numbers = boxes["cell"].to_numpy()
+    low, high = (boxes[[f"{name}{i}" for i in range(M)]].to_numpy() for name in ("low", "high"))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             to = []
-            for own, point, bound in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4))):
-                reach = cells[box_distance(np.array(point), low, high) <= quantile * bound * bound]
+            for own, point, bound in zip(*(batch.column(i).to_pylist() for i in (0, 4, 5))):
+                reach = numbers[box_distance(np.array(point), low, high) <= quantile * bound * bound] if own >= 0 else numbers[:0]
                 to.append(reach[reach != own].tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.list_(pa.int32())), *(batch.column(i) for i in (1, 2, 4))], ["cells", "query_id", "vec", "bound"])
-
-    kth = home.groupBy("query_id").agg(F.max("score").alias("kth"), F.count(F.lit(1)).alias("found")).withColumnRenamed("query_id", "_q")
-    bound = F.when(F.col("found") >= k, F.col("kth")).otherwise(F.lit(float("inf")))
-    known = ask.join(kth, F.col("query_id") == F.col("_q"), "left").select("cell", "query_id", "vec", "point", F.coalesce(bound, F.lit(float("inf"))).alias("bound"))
-    routed = known.mapInArrow(route, f"cells array<int>, query_id long, vec {kind}, bound double")
-    away = searched(routed.select(F.explode("cells").alias("cell"), "query_id", "vec", "bound"))
-    every = home.unionByName(away).dropDuplicates(["query_id", "vec_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.list_(pa.int32())), *(batch.column(i) for i in (1, 2, 3, 5))], ["cells", "q", "query_id", "vec", "bound"])
+
+    scores = home.groupBy("q", "vec_id").agg(F.min("score").alias("score")).groupBy("q").agg(F.array_sort(F.collect_list("score")).alias("scores"))
+    kth = scores.select("q", F.get("scores", F.lit(k - 1)).alias("kth"))  # a query has k scores for each part of its cell
+    known = ask.join(kth, "q", "left").select("cell", "q", "query_id", "vec", "point", F.coalesce("kth", F.lit(float("inf"))).alias("bound"))
+    routed = stage(known.mapInArrow(route, f"cells array<int>, q long, query_id long, vec {kind}, bound double"), "ann-routed")
+    away = searched(routed.select(F.explode("cells").alias("cell"), "q", "query_id", "vec", "bound"))
+    every = home.unionByName(away).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return every.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

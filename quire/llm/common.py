@@ -20,12 +20,15 @@ from pyspark.sql.window import Window
 GROUP_ROWS = 50_000
 #: Sums of pieces up to this many (about 100 bytes each) are broadcast, more are joined by shuffle.
 BROADCAST_SUMS = 200_000
+#: Narrow tables (some numbers a row) up to this many rows are broadcast, larger ones joined by shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def shared_root(spark: SparkSession) -> str:
     """URI of the folder that all executors share.
 
-    A folder of our own is made only where the session names none (tests).
+    A folder of our own is made only where the session names none and runs on
+    one machine (tests); a cluster must name one, as executors could not see it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
@@ -33,6 +36,8 @@ def shared_root(spark: SparkSession) -> str:
         if held.isDefined():
             root = held.get()
         else:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             root = "file://" + tempfile.mkdtemp(prefix="quire-")
             spark.sparkContext.setCheckpointDir(root)
     return root if ":" in root.split("/")[0] else f"file://{os.path.abspath(root)}"
@@ -50,6 +55,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """``df`` (staged, narrow), broadcast if its count allows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def drop(*staged: DataFrame) -> None:
     """Remove staged tables that nothing reads any more (those given must be ``stage``'s own results)."""
     for df in staged:

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.llm import ann
+from quire.llm.queries import op8_nearest
 
 SF = "/root/testdata/sf0.01"
 
@@ -44,8 +45,37 @@ def test_recall_on_the_table(spark, monkeypatch):
     assert compare(got, want, 10) >= 0.9
 
 
+def test_recall_at_default_settings(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = {r["vec_id"]: r["embedding"] for r in table.collect() if r["embedding"] is not None}
+    got = op8_nearest(spark, "/root/testdata/sf0.1").collect()
+    want = brute({i: v for i, v in rows.items() if np.isfinite(v).all() and np.any(v)}, 10, 100)
+    assert compare(got, want, 10) >= 0.9
+
+
+def test_repeated_rows_take_one_place(spark):
+    rng = np.random.default_rng(9)
+    v = rng.standard_normal(8)
+    rows = [(5, v)] * 12 + [(i, v) for i in range(6, 20)] + [(100, v + 0.01)] + [(i, rng.standard_normal(8) * 5) for i in range(200, 230)]
+    rows += [(6, v + 9), (100, v)]  # an id with two vectors: the nearest counts; none of a query's own id does
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in rows], "vec_id long, embedding array<double>")
+    got = ann.nearest(table, F.col("vec_id") == 100, 10).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == list(range(5, 15)) and [r["rank"] for r in got] == list(range(1, 11))
+
+
+def test_each_length_is_a_space_of_its_own(spark):
+    rows = [(i, [float(i + 1)] * (2 if i < 30 else 3)) for i in range(50)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.nearest(table, F.col("vec_id").isin(0, 40), 3).orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == {0: [1, 2, 3], 40: [39, 41, 38]}
+
+
+@pytest.mark.parametrize("parts", [40, 1 << 15])
 @pytest.mark.parametrize("cells", [50, 100_000])
-def test_recall_with_many_copies(spark, monkeypatch, cells):
+def test_recall_with_many_copies(spark, monkeypatch, cells, parts):
+    monkeypatch.setattr(ann, "PART_ROWS", parts)
     monkeypatch.setattr(ann, "CELL_ROWS", cells)
     monkeypatch.setattr(ann, "QUERY_ROWS", 7)
     rng = np.random.default_rng(4)
