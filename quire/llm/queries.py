@@ -21,7 +21,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.warc import page_key, read_warc, write_warc
 
     files = write_warc(table(spark, sf_dir, "pages"), shared_path(spark, "warc"))
-    records = read_warc(spark, files).where("record_type in ('response', 'revisit')")
+    records = read_warc(spark, files, payloads=False).where("record_type in ('response', 'revisit')")
     return records.select(
         page_key("record_id").try_cast("long").alias("page_id"),
         F.col("payload_length").alias("payload_bytes"),

@@ -8,9 +8,16 @@ its digest, its length and the id of the response.
 The reader needs no index: a task scans its byte range for the gzip magic,
 validates each candidate by decoding it up to a complete WARC record, and owns
 the records whose members *start* inside the range, reading past its end for
-the last one. From a member it goes on at the byte after it; a first candidate
-must also be followed by another member or the end of the file, so a gzip file
-held uncompressed inside a payload is not taken for a record.
+the last one. Within a range it goes on after each record.
+
+What a file's records are is defined by reading it from its first byte: a valid
+member is a record and reading goes on after it; over anything else it goes on
+at the next valid member. A range can't see whether its first candidate lies
+inside a record that began earlier (an archive stored as a payload), so after
+the pass each range's first record is compared with where the ranges before it
+arrived. Where it starts inside a record, that range is read again from there;
+so the records never depend on how a file is split. What is read is written to
+the shared folder for that (``payloads=False``: without the payloads).
 
 Files are written to a temporary name and moved, so a task run again replaces
 its file; the listing that is read comes from the tasks' results.
@@ -19,7 +26,8 @@ Defined results: a null payload counts as empty; a null url gives a record
 without target URI; control characters and blanks of a url are
 percent-encoded. Rows equal in id and payload, if that id is the smallest, are
 each a response. A null id is larger than any other; where all are null each
-row is a response. An empty table gives no files and an empty result.
+row is a response. An empty table gives no files and an empty result. Damaged
+members are passed over. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,11 +44,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quire.llm.common import open_fs
+from quire.llm.common import open_fs, small, stage
 
 MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES = 8 << 20
+#: Tasks of a read at most; beyond that a task reads several ranges.
+MAX_TASKS = 50_000
 _PIECE = 1 << 14
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = b"\r\n\r\n"
@@ -78,11 +89,15 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     Payloads of fewer than ``least`` bytes are always responses.
     """
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    rows = pages.select(F.col(id_col).alias("key"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumn("sha", F.sha2("payload", 256))
-    first = rows.where(F.octet_length("payload") >= least).groupBy("sha").agg(F.min("key").alias("first")).withColumnRenamed("sha", "sha_")
-    rows = rows.join(first, (F.col("sha") == F.col("sha_")) & (F.octet_length("payload") >= least), "left")
+    rows = pages.select(F.col(id_col).alias("key"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
+    large = F.octet_length("payload") >= least
+    sha = F.unhex(F.sha2("payload", 256))
+    # only ids and digests shuffle; pages meet the payloads that occur more than once, without moving where these are few
+    seen = rows.where(large).select(sha.alias("sha_"), "key").groupBy("sha_").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n"))
+    again = stage(seen.where("n > 1").drop("n"), "warc-repeated")
+    rows = rows.withColumn("sha", F.when(large, sha)).join(small(again), F.col("sha") == F.col("sha_"), "left")
     revisit = F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first"))
-    rows = rows.select("key", "url", "payload", "first", revisit.alias("revisit")).sortWithinPartitions("key")
+    rows = rows.select("key", "url", "payload", "first", revisit.alias("revisit"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, out, n = TaskContext.get().partitionId(), None, 0
@@ -140,28 +155,28 @@ def member_at(read, at: int) -> tuple[tuple[dict[str, str], bytes], int] | None:
     return record and (record, at + fed - len(unzip.unused_data))
 
 
-def records_in(read, size: int, begin: int, end: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """Offset, fields and block of each record whose member starts in [begin, end)."""
+def records_in(read, size: int, begin: int, end: int, start: int | None = None) -> Iterator[tuple[int, dict[str, str], bytes, int]]:
+    """Offset, fields and block of each record whose member starts in [begin, end), and the offset after it.
+
+    ``start``: where the records before arrived, if that is known.
+    """
     end = min(end, size)
-    window, at, chained = read(begin, end - begin + len(MAGIC) - 1), begin, False
-    while at < end:
-        if not (chained and window.startswith(MAGIC, at - begin)):
-            k = window.find(MAGIC, at - begin)
-            if k < 0 or begin + k >= end:
-                return
-            at, chained = begin + k, False
-        got = member_at(read, at)
-        if got is None or not chained and got[1] < size and read(got[1], len(MAGIC)) != MAGIC:
-            at, chained = at + 1, False
-            continue
-        yield at, *got[0]
-        at, chained = got[1], True
-
-
-def read_warc(spark: SparkSession, files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """One row per record of ``files`` (``file``, ``bytes``): see ``READ_SCHEMA``."""
-
-    def rows(path: str, begin: int):
+    if begin >= end:
+        return
+    window, at = read(begin, end - begin + len(MAGIC) - 1), begin if start is None else max(begin, start)
+    while 0 <= (k := window.find(MAGIC, at - begin)) < end - begin:
+        got = member_at(read, begin + k)
+        if got is None:
+            at = begin + k + 1
+        else:
+            at = got[1]
+            yield begin + k, *got[0], at
+
+
+def read_warc(spark: SparkSession, files: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: bool = True) -> DataFrame:
+    """One row per record of ``files`` (``file``, ``bytes``): see ``READ_SCHEMA``; ``payload`` is null without ``payloads``."""
+
+    def rows(path: str, begin: int, start: int | None):
         fs, inner = open_fs(path)
         with fs.open_input_file(inner) as f:
 
@@ -169,7 +184,7 @@ def read_warc(spark: SparkSession, files: DataFrame, split_bytes: int = SPLIT_BY
                 f.seek(at)
                 return f.read(n)
 
-            for at, fields, block in records_in(read, f.size(), begin, begin + split_bytes):
+            for at, fields, block, after in records_in(read, f.size(), begin, begin + split_bytes, start):
                 kind, body, length, ok = fields.get("warc-type"), None, None, None
                 name = fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
                 if kind in ("response", "revisit"):
@@ -179,27 +194,46 @@ def read_warc(spark: SparkSession, files: DataFrame, split_bytes: int = SPLIT_BY
                     if kind == "response":
                         length, own = len(body), digest(body)
                         name, ok = own, name is None or name == own
-                    else:
+                    if kind == "revisit" or not payloads:
                         body = None
-                yield path, at, kind, fields.get("warc-record-id"), fields.get("warc-refers-to"), fields.get("warc-target-uri"), list(fields.items()), length, name, ok, body
+                yield path, at, kind, fields.get("warc-record-id"), fields.get("warc-refers-to"), fields.get("warc-target-uri"), list(fields.items()), length, name, ok, body, begin, after
 
-    types = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("record_type", pa.string()), ("record_id", pa.string()), ("refers_to_id", pa.string()), ("target_uri", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("payload_length", pa.int64()), ("payload_digest", pa.string()), ("digest_ok", pa.bool_()), ("payload", pa.binary())])
+    types = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("record_type", pa.string()), ("record_id", pa.string()), ("refers_to_id", pa.string()), ("target_uri", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("payload_length", pa.int64()), ("payload_digest", pa.string()), ("digest_ok", pa.bool_()), ("payload", pa.binary()), ("_begin", pa.int64()), ("_after", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, begin in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for path, begin, start in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 held, weight = [], 0
-                for row in rows(path, begin):
+                for row in rows(path, begin, start):
                     held.append(row)
-                    weight += len(row[-1] or b"") + 500
+                    weight += len(row[10] or b"") + 500
                     if weight > 8 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held), types)], schema=types)
                         held, weight = [], 0
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held), types)], schema=types)
 
-    ranges = files.where("bytes > 0").select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("begin"))
-    return ranges.repartition("file", "begin").mapInArrow(run, READ_SCHEMA)
+    def over(ranges: DataFrame, tasks: int) -> DataFrame:
+        schema = f"{READ_SCHEMA}, _begin long, _after long"
+        return stage(ranges.repartition(max(1, min(MAX_TASKS, tasks))).mapInArrow(run, schema), "warc-records")
+
+    files = files.where("bytes > 0").select("file", "bytes")
+    ranges = files.select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("begin"), F.lit(None).cast("long").alias("start"))
+    found = over(ranges, ranges.count())
+    while not (wrong := stage(_inside(found, split_bytes), "warc-again")).isEmpty():
+        gone = wrong.select(F.col("file").alias("_file"), "from", "begin")
+        marked = found.join(small(gone), (F.col("file") == F.col("_file")) & F.col("_begin").between(F.col("from"), F.col("begin")), "left_anti")
+        found = marked.unionByName(over(wrong.select("file", "begin", "start"), wrong.count()))
+    return found.drop("_begin", "_after")
+
+
+def _inside(found: DataFrame, split_bytes: int) -> DataFrame:
+    """For each file the first range (``from``) that starts inside a record of those before it, that record's end (``start``) and the range where it lies (``begin``)."""
+    ranges = found.groupBy("file", "_begin").agg(F.min("offset").alias("first"), F.max("_after").alias("arrived"))
+    before = F.max("arrived").over(Window.partitionBy("file").orderBy("_begin").rowsBetween(Window.unboundedPreceding, -1))
+    wrong = ranges.withColumn("before", before).where("first < before")
+    wrong = wrong.groupBy("file").agg(F.min(F.struct("_begin", "before")).alias("w"))
+    return wrong.select("file", F.col("w._begin").alias("from"), (F.col("w.before") - F.pmod("w.before", F.lit(split_bytes))).alias("begin"), F.col("w.before").alias("start"))
 
 
 def page_key(uri: str):

@@ -1,11 +1,12 @@
-import io
+import gzip
+import os
 import random
 
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quire.llm.common import shared_path
+from quire.llm.queries import op4_warc
 from quire.llm.warc import digest, make_record, page_key, page_record, parse_record, read_warc, records_in, write_warc
 
 
@@ -18,25 +19,55 @@ def reader(raw):
 def test_ranges_find_each_record_once(payloads, split):
     raw = b"".join(page_record(i, "u", p, None, False, "d") for i, p in enumerate(payloads))
     found = [x for a in range(0, len(raw), split) for x in records_in(reader(raw), len(raw), a, a + split)]
-    assert [f["warc-record-id"] for _, f, _ in found] == [f"<urn:quire:page:{i}>" for i in range(len(payloads))]
-    assert [b.partition(b"\r\n\r\n")[2] for _, _, b in found] == payloads
+    assert [f["warc-record-id"] for _, f, _, _ in found] == [f"<urn:quire:page:{i}>" for i in range(len(payloads))]
+    assert [b.partition(b"\r\n\r\n")[2] for _, _, b, _ in found] == payloads
 
 
-def test_members_inside_payloads_are_not_records():
-    inner = page_record(99, None, b"inner", None, False, "d")
-    noise = random.Random(1).randbytes(200_000)  # does not compress, so deflate stores it
-    raw = b"".join(page_record(i, None, noise + inner + noise, None, False, "d") for i in range(3))
-    assert raw.count(inner) >= 1
-    for split in (1000, 50_000, 150_000):
-        ids = [f["warc-record-id"] for a in range(0, len(raw), split) for _, f, _ in records_in(reader(raw), len(raw), a, a + split)]
-        assert ids == [f"<urn:quire:page:{i}>" for i in range(3)]
+def listed(spark, raw, split, **more):
+    """(offset, record id) of the records of an archive with these bytes."""
+    folder = shared_path(spark, "warc-raw").removeprefix("file://")
+    os.makedirs(folder)
+    with open(f"{folder}/x.warc.gz", "wb") as f:
+        f.write(raw)
+    files = spark.createDataFrame([(f"file://{folder}/x.warc.gz", len(raw))], "file string, bytes long")
+    return [(r["offset"], r["record_id"]) for r in read_warc(spark, files, split, **more).orderBy("offset").collect()]
 
 
-def test_broken_records_are_passed_over():
-    good = make_record("response", [("WARC-Record-ID", "<a>")], b"HTTP/1.1 200 OK\r\n\r\nx")
-    raw = good + good[: len(good) // 2] + good
-    assert len([1 for _ in records_in(reader(raw), len(raw), 0, len(raw))]) >= 1
+def test_members_inside_payloads_are_not_records(spark):
+    inner = b"".join(page_record(90 + i, None, b"inner" * i, None, False, "d") for i in range(4))
+    noise = random.Random(1).randbytes(20_000)
+    stored = [gzip.compress(gzip.decompress(page_record(i, None, noise + inner + noise[:9000], None, False, "d")), 0) for i in range(3)]
+    raw = b"".join(stored) + b"".join(page_record(i, None, b"x", None, False, "d") for i in range(3, 30))
+    assert raw.count(inner) == 3
+    for split in (700, 5_000, 30_000, 1 << 20):
+        assert [i for _, i in listed(spark, raw, split, payloads=False)] == [f"<urn:quire:page:{i}>" for i in range(30)]
+
+
+def test_damaged_archives_read_alike_at_any_split(spark):
+    member = [page_record(i, None, f"{i}".encode() * 50, None, False, "d") for i in range(6)]
+    raw = member[0] + member[1] + b"8 bytes!" + member[2] + member[3][: len(member[3]) // 2] + member[4] + b"\x1f\x8b\x08" + member[5]
+    whole = listed(spark, raw, len(raw))
+    assert [i for _, i in whole] == [f"<urn:quire:page:{i}>" for i in (0, 1, 2, 4, 5)]
+    assert all(listed(spark, raw, split) == whole for split in (40, 60, 100, 333, 1000))
     assert parse_record(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort\r\n\r\n") is None
+    assert make_record("response", [], b"x")[:3] == b"\x1f\x8b\x08"
+
+
+def test_a_task_for_each_range(spark):
+    raw = b"".join(page_record(i, None, random.Random(i).randbytes(300), None, False, "d") for i in range(40))
+    folder = shared_path(spark, "warc-raw").removeprefix("file://")
+    os.makedirs(folder)
+    with open(f"{folder}/x.warc.gz", "wb") as f:
+        f.write(raw)
+    got = read_warc(spark, spark.createDataFrame([(f"file://{folder}/x.warc.gz", len(raw))], "file string, bytes long"), len(raw) // 20 + 1)
+    assert got.count() == 40 and len([f for f in got.inputFiles()]) >= 19  # a file a task that found records
+
+
+def test_the_query_keeps_every_page(spark, tmp_path):
+    rows = [(7, "u", "<p>a</p>", "x"), (3, None, "<p>a</p>", "y"), (None, "u", "<p>a</p>", "z"), (9, "u", None, ""), (8, "u", "", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string, payload string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in op4_warc(spark, str(tmp_path)).collect()}
+    assert got == {3: (8, "response", None), 7: (8, "revisit", 3), None: (8, "revisit", 3), 8: (0, "response", None), 9: (0, "revisit", 8)}
 
 
 def test_round_trip_by_brute_force(spark):
