@@ -6,6 +6,8 @@ import pytest
 
 from quire.llm.near_dedup import THRESHOLD, components, dart_signature, near_dedup, near_duplicate_classes, shingle_units, words_of
 
+from quire.llm.queries import op10_near_dedup
+
 
 def weighted_jaccard(a, b):
     def shingles(t):
@@ -81,6 +83,36 @@ def test_rows_with_odd_ids(spark):
     assert near_dedup(docs.limit(0)).count() == 0 and near_duplicate_classes(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [4, 512])
+def test_sizes_in_one_bucket(spark, monkeypatch, block):
+    """Texts of many lengths over the same words: blocks of size classes lose no link."""
+    monkeypatch.setattr("quire.llm.near_dedup.BLOCK", block)
+    monkeypatch.setattr("quire.llm.near_dedup.ROUNDS", 0)
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(words[: 20 + 3 * i]) for i in range(0, 60, 4)] + [" ".join(words[k : k + 90]) for k in range(0, 60, 5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in near_duplicate_classes(docs).collect()} == dict(enumerate(classes(texts)))
+
+
+def test_many_rows_share_an_id(spark):
+    """Each node's text is that of one row, so units are hashed once however many rows share an id or have none."""
+    rnd = random.Random(4)
+    texts = family(rnd, 40, 80, 3) * 5
+    docs = spark.createDataFrame([(None if i % 2 else 7, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = classes(texts[:40])
+    got = near_duplicate_classes(docs).collect()
+    assert len(got) == 200 and {r["class_id"] for r in got} <= {7, None}
+    assert sorted(r["class_size"] for r in got) == sorted(5 * want.count(c) for c in want for _ in range(5))
+    assert near_dedup(docs).count() == len(set(want))
+
+
+def test_the_query(spark, tmp_path):
+    texts = family(random.Random(6), 30, 90, 4) + [None, ""]
+    spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, class_id string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["class_id"] for r in op10_near_dedup(spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(classes([t or "" for t in texts])))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (100, 102), (200, 201)]
     got = {r["u"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
