@@ -89,7 +89,12 @@ def cut(key: Column, pieces: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(pieces)).cast("int")
 
 
-def numbered(df: DataFrame, group: list[str], order: list[str], piece: str, out: str, value: Column | None = None) -> DataFrame:
+def piece_sums(df: DataFrame, group: list[str], piece: str, value: Column) -> DataFrame:
+    """The sum ``_qn_s`` of each (group, piece), staged."""
+    return stage(df.groupBy(*group, piece).agg(F.sum(value.cast("long")).alias("_qn_s")), "piece-sums")
+
+
+def numbered(df: DataFrame, group: list[str], order: list[str], piece: str, out: str, value: Column | None = None, sums: DataFrame | None = None) -> DataFrame:
     """Exclusive running sum of ``value`` (default 1) within ``group``, in order of (``piece``, ``order``).
 
     The window runs within (group, piece) only; what the pieces before hold is
@@ -97,8 +102,8 @@ def numbered(df: DataFrame, group: list[str], order: list[str], piece: str, out:
     one task, as long as ``piece`` divides it.
     """
     v = F.lit(1).cast("long") if value is None else value.cast("long")
+    sums = piece_sums(df, group, piece, v) if sums is None else sums
     df = df.withColumn("_qn_v", v)
-    sums = df.groupBy(*group, piece).agg(F.sum("_qn_v").alias("_qn_s"))
     before = Window.partitionBy(*group).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1) if group else Window.orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
     sums = stage(sums.select(*[F.col(g).alias(f"_qn_{i}") for i, g in enumerate([*group, piece])], F.coalesce(F.sum("_qn_s").over(before), F.lit(0)).alias("_qn_base")), "sums")
     if sums.count() <= BROADCAST_SUMS:

@@ -7,9 +7,12 @@ meets every deadline, so at any slot each source has been served its weight's
 share to within less than one block.
 
 Weights are taken as the exact ratios that they are. The driver runs through the
-blocks of a phase (not the documents: one step for 64 KiB) and keeps slot,
-release and deadline of each; these are joined to the documents in arrays of
-``CHUNK`` blocks. When a source runs out, a new phase begins with the weights of
+blocks (not the documents) and keeps slot, release and deadline of each; these
+are joined to the documents in arrays of ``CHUNK`` blocks. Blocks have
+``BLOCK_BYTES``, and in a corpus of more than ``BLOCKS`` of these a
+``BLOCKS``-th of it, so the schedule's size has a bound: one deviates by less than
+a millionth of the corpus then. It holds a row a source besides; sources are
+meant to be up to some thousand. When a source runs out, a new phase begins with the weights of
 those left; nothing is dropped or repeated. Only where a period L is asked for
 are weights rounded to multiples of 1/L (largest remainders).
 
@@ -17,7 +20,7 @@ A document belongs to the block in which its first byte lies, in an order of
 its source that is random (by hash) but fixed; one longer than a block leaves
 the blocks that it covers empty, so shares are shares of bytes.
 
-Defined results: a null source counts as ''; a null text has one byte, as every
+Defined results: other columns pass through ``mix``. A null source counts as ''; a null text has one byte, as every
 document gets one for its end. Sources without a positive weight follow after
 all others, by size. Rows equal in id are ordered by text. An empty table gives
 an empty result.
@@ -27,6 +30,7 @@ from __future__ import annotations
 
 import heapq
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
@@ -36,9 +40,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut, numbered, sized, stage
+from quire.llm.common import numbered, piece_sums, sized, stage
 
-BLOCK_BYTES, CHUNK = 1 << 16, 1024
+BLOCK_BYTES, BLOCKS, CHUNK = 1 << 16, 1 << 20, 1024
 #: A source's documents are ordered in pieces; all sources together fill one with about this many rows.
 PIECE_ROWS = 4096
 #: Rows of the schedule up to this are broadcast (``CHUNK`` blocks each), more are joined by shuffle.
@@ -108,28 +112,33 @@ def one_period(units: dict[str, int], period: int) -> list[str]:
 
 
 def schedule(blocks: dict[str, int], weights: dict[str, float], period: int | None = None) -> list[Phase]:
-    """Phases that serve all ``blocks``; each ends when a source runs out."""
+    """Phases that serve all ``blocks``; each ends when a source runs out and names the sources that it serves."""
+    given = exact({s: w for s, w in weights.items() if w > 0})
+    by_size = {s: n for s, n in blocks.items() if n > 0}
     left, done = {s: n for s, n in blocks.items() if n > 0}, dict.fromkeys(blocks, 0)
     base, phases = 0, []
     while left:
         live = {s: weights[s] for s in left if weights.get(s, 0) > 0} or {s: float(blocks[s]) for s in left}
-        units = exact(live) if period is None else rounded(live, max(period, 1 << (4 * len(live) - 1).bit_length()))
+        if period is None:
+            units = {s: (given if s in given else by_size)[s] for s in live}
+        else:
+            units = rounded(live, max(period, 1 << (4 * len(live) - 1).bit_length()))
         length = sum(units.values())
-        slots, releases, deadlines = ({s: array("q") for s in live} for _ in range(3))
+        slots, releases, deadlines = (defaultdict(lambda: array("q")) for _ in range(3))
         end = 0
         for s, release, deadline in slots_of(units, length):
             if len(slots[s]) == left[s]:
-                break
+                break  # its last block was served before
             slots[s].append(end)
             releases[s].append(release)
             deadlines[s].append(min(deadline, 1 << 62))
             end += 1
-        served = {s: len(slots[s]) for s in live}
-        phases.append(Phase(base, length, units, slots, releases, deadlines, {s: done[s] for s in live}, served))
+        served = {s: len(x) for s, x in slots.items()}
+        phases.append(Phase(base, length, {s: units[s] for s in served}, slots, releases, deadlines, {s: done[s] for s in served}, served))
         base += end
-        for s in live:
-            done[s] += served[s]
-            left[s] -= served[s]
+        for s, n in served.items():
+            done[s] += n
+            left[s] -= n
             if not left[s]:
                 del left[s]
     return phases
@@ -145,15 +154,17 @@ def text_bytes(text_col: str) -> Column:
     return (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long")
 
 
-def with_slots(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None) -> DataFrame:
+def with_slots(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, block_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None) -> DataFrame:
     """``docs`` with ``_qm_source, _qm_bytes, _qm_start, _qm_block, _qm_phase, _qm_release, _qm_deadline, _qm_slot``."""
     spark = docs.sparkSession
     size = text_bytes(text_col) if size is None else size
     rows = docs.withColumns({"_qm_source": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "_qm_bytes": size, "_qm_order": F.xxhash64(id_col, F.lit(11))})
-    rows = rows.withColumn("_qm_piece", cut(F.col(id_col), sized(docs.count(), PIECE_ROWS)))
-    rows = numbered(rows, ["_qm_source"], ["_qm_order", id_col, text_col], "_qm_piece", "_qm_start", F.col("_qm_bytes"))
+    rows = rows.withColumn("_qm_piece", F.pmod(F.xxhash64(id_col, text_col), F.lit(sized(docs.count(), PIECE_ROWS))))
+    sums = piece_sums(rows, ["_qm_source"], "_qm_piece", F.col("_qm_bytes"))
+    sizes = {r[0]: r[1] for r in sums.groupBy("_qm_source").agg(F.sum("_qn_s")).collect()}  # a row a source
+    block_bytes = block_bytes or max(BLOCK_BYTES, sized(sum(sizes.values()), BLOCKS))
+    rows = numbered(rows, ["_qm_source"], ["_qm_order", id_col, text_col], "_qm_piece", "_qm_start", F.col("_qm_bytes"), sums)
     rows = rows.withColumn("_qm_block", F.floor(F.col("_qm_start") / block_bytes))
-    sizes = {r[0]: r[1] for r in docs.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit(""))).agg(F.sum(size)).collect()}  # a row a source
     phases = schedule({s: -(-n // block_bytes) for s, n in sizes.items()}, target_weights(sizes, temperature) if weights is None else weights)
     plan, chunks = _plan(spark, phases)
     if chunks <= BROADCAST_CHUNKS:
@@ -181,7 +192,7 @@ def _plan(spark: SparkSession, phases: list[Phase]) -> tuple[DataFrame, int]:
     return spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=names)), len(rows)
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, block_bytes: int = BLOCK_BYTES, keep: list[str] = []) -> DataFrame:  # noqa: B006
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, block_bytes: int | None = None, keep: list[str] = []) -> DataFrame:  # noqa: B006
     """All of ``docs``, in the schedule's order: its partitions hold consecutive slots, sorted.
 
     ``keep`` names columns of ``with_slots`` to return as well; (``_qm_slot``, ``_qm_start``) is the order.
@@ -191,7 +202,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     return rows.repartitionByRange(parts, "_qm_slot").sortWithinPartitions("_qm_slot", "_qm_start").select(*docs.columns, *keep)
 
 
-def mixture(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def mixture(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, block_bytes: int | None = None) -> DataFrame:
     """One row per document: ``doc_id, source, bytes, start, block, phase, release, deadline, slot``."""
     narrow = stage(docs.select("doc_id", "source", F.xxhash64("text").alias("text"), text_bytes("text").alias("n")), "mix-rows")
     rows = with_slots(narrow, weights, temperature, block_bytes, size=F.col("n"))

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from quire.llm.mixing import BLOCK_BYTES, mix, mixture, one_period, rounded, schedule, target_weights
+from quire.llm.queries import op3_mixing
 
 
 @pytest.mark.parametrize("weights", [{"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 1.0}, {str(i): 1 + i * i for i in range(30)}])
@@ -41,7 +42,7 @@ def test_target_weights_hold_at_30_gb():
     blocks = {s: -(-n // BLOCK_BYTES) for s, n in sizes.items()}
     assert sum(blocks.values()) > 400_000
     p = schedule(blocks, weights)[0]
-    live = sum(weights[s] for s in p.first)
+    live = sum(weights.values())  # every source is live in the first phase
     for s in p.first:
         w = weights[s] / live
         for k, slot in enumerate(p.slots[s]):  # before and after each of its blocks
@@ -76,6 +77,29 @@ def test_documents_follow_the_schedule(spark):
     assert {r["phase"] for r in got if r["source"] == ""} == {max(r["phase"] for r in got)}
 
 
+def test_the_schedule_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr("quire.llm.mixing.BLOCK_BYTES", 100)
+    monkeypatch.setattr("quire.llm.mixing.BLOCKS", 50)
+    got = mixture(documents(spark)).collect()
+    total = sum(r["bytes"] for r in got)
+    assert len(got) == 402 + 1 and max(r["slot"] for r in got) < 50 + 4 and all(r["block"] == r["start"] // -(-total // 50) for r in got)
+
+
+def test_many_sources():
+    rnd = random.Random(3)
+    blocks = {f"s{i}": rnd.randint(1, 4) for i in range(800)}
+    phases = schedule(blocks, target_weights(blocks, 0.5))
+    taken = [p.slot(s, b) for p in phases for s in p.first for b in range(p.first[s], p.first[s] + p.served[s])]
+    assert sorted(taken) == list(range(sum(blocks.values()))) and sum(len(p.first) for p in phases) <= sum(blocks.values())
+
+
+def test_the_query(spark, tmp_path):
+    docs = documents(spark)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = op3_mixing(spark, str(tmp_path)).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r["doc_id"]) for r in docs.collect())
+
+
 def test_mix_keeps_all_rows_in_order(spark):
     docs = documents(spark)
     slots = {(r["doc_id"], r["bytes"]): r["slot"] for r in mixture(docs, block_bytes=1000).collect()}
