@@ -22,6 +22,8 @@ GROUP_ROWS = 50_000
 BROADCAST_SUMS = 200_000
 #: Narrow tables (some numbers a row) up to this many rows are broadcast, larger ones joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: Labels up to this count are broadcast (about 50 bytes a row); of more, a filter of this many 64-bit words is.
+BROADCAST_LABELS, LABEL_WORDS = 1_000_000, 1 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -60,6 +62,21 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def labelled(docs: DataFrame, known: DataFrame, key: Column, known_key: str, count: int) -> DataFrame:
+    """The rows of ``docs`` whose ``key`` is in ``known`` (``count`` rows, keys not null), with its columns.
+
+    Beyond ``BROADCAST_LABELS`` rows, a filter with a bit for each key is
+    broadcast, and only documents that it lets through shuffle.
+    """
+    if count <= BROADCAST_LABELS:
+        return docs.join(F.broadcast(known), key == F.col(known_key))
+    word = lambda k: F.xxhash64(k.cast("string")).bitwiseAND(F.lit(LABEL_WORDS - 1))
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(F.xxhash64(k.cast("string")), 58).cast("int"))
+    bits = stage(known.groupBy(word(F.col(known_key)).alias("_ql_word")).agg(F.bit_or(bit(F.col(known_key))).alias("_ql_bits")), "label-filter")
+    may = docs.join(F.broadcast(bits), word(key) == F.col("_ql_word")).where(F.col("_ql_bits").bitwiseAND(bit(key)) != 0).drop("_ql_word", "_ql_bits")
+    return may.join(known, key == F.col(known_key))
+
+
 def drop(*staged: DataFrame) -> None:
     """Remove staged tables that nothing reads any more (those given must be ``stage``'s own results)."""
     for df in staged:

@@ -17,6 +17,7 @@ Defined results: a null text counts as empty; a text without n-grams has weight
 0. Rows tied at the threshold (rows equal in id and text) all stay. Labels of
 held-out rows (crc32(doc_id as text) mod 4 = 2) are never read. Without target
 rows the target model is the raw one. An empty table gives an empty result.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,12 +31,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm import common
 from quire.llm.common import stage
 from quire.llm.splitting import WordCache
 
 BUCKETS, SMOOTHING, EXACT_ROWS, BINS = 10_000, 1.0, 10_000, 4096
-#: Labels up to this count are broadcast (about 50 bytes a row); more are joined by shuffle.
-BROADCAST_LABELS = 1_000_000
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _U = np.uint64
 _HASHES = WordCache(lambda words: [xxhash.xxh3_64_intdigest(w) for w in words], 300_000)
@@ -50,12 +50,13 @@ def buckets(text: str | None) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, target) -> (bucket, raw, target)."""
+    """(text, whether it counts as raw text, as target) -> (bucket, raw, target)."""
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        for text, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for text, every, good in zip(*(c.to_pylist() for c in batch.columns)):
             n = np.bincount(buckets(text), minlength=BUCKETS)
-            raw += n
+            if every:
+                raw += n
             if good:
                 target += n
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS, dtype=np.int32)), pa.array(raw), pa.array(target)], ["bucket", "raw", "target"])
@@ -74,7 +75,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = known.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2)
     n, good = known.agg(F.count(F.lit(1)), F.sum("_qi_good")).first()
     known = known.where("_qi_good = 1").select(F.col("doc_id").alias("_qi_id"), F.lit(True).alias("_qi_target"))
-    rows = docs.join(F.broadcast(known) if n <= BROADCAST_LABELS else known, docs[id_col] == F.col("_qi_id"), "left").select(F.col(text_col).alias("text"), "_qi_target")
+    rows = docs.select(F.col(id_col).alias("_qi_doc"), F.col(text_col).alias("text"))
+    if n <= common.BROADCAST_LABELS:
+        rows = rows.join(F.broadcast(known), F.col("_qi_doc") == F.col("_qi_id"), "left").select("text", F.lit(True).alias("raw"), "_qi_target")
+    else:  # all texts once for the raw model, and those labelled good again
+        good_rows = common.labelled(rows, known, F.col("_qi_doc"), "_qi_id", n).select("text", F.lit(False).alias("raw"), "_qi_target")
+        rows = rows.select("text", F.lit(True).alias("raw"), F.lit(False).alias("_qi_target")).unionByName(good_rows)
     counts = rows.mapInArrow(_count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).orderBy("bucket").toPandas()  # BUCKETS rows
     raw, target = (counts[c].to_numpy() if len(counts) else np.zeros(BUCKETS) for c in ("raw", "target"))
     return log_ratios(raw, target), good / n if n else 1.0

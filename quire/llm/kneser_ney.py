@@ -25,7 +25,7 @@ import numpy as np
 
 #: How many characters the smoothing of the lowest order reckons with.
 CODES = 1 << 16
-HISTORY, DISCOUNTS, SHARED_DISCOUNT = 6, (0.0, 0.9, 1.4, 1.8), 0.75
+HISTORY, DISCOUNTS, SHARED_DISCOUNT = 8, (0.0, 0.9, 1.4, 1.8), 0.75
 CODE_BITS = 21
 _CODE = (1 << CODE_BITS) - 1
 

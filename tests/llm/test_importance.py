@@ -1,8 +1,11 @@
+import zlib
+
 import numpy as np
 import pytest
 
 from quire.llm import importance
 from quire.llm.importance import buckets, kth_largest, log_ratios, resample, weigh
+from quire.llm.queries import op6_importance
 
 
 def corpus(spark, n=400):
@@ -19,8 +22,6 @@ def test_weights_by_brute_force(spark):
     docs, labels = corpus(spark, 120)
     ratios, share = importance.fit(docs, labels)
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    import zlib
-
     raw, target = np.zeros(importance.BUCKETS), np.zeros(importance.BUCKETS)
     train = [i for i in texts if zlib.crc32(str(i).encode()) % 4 != 2]
     for i, t in texts.items():
@@ -33,6 +34,24 @@ def test_weights_by_brute_force(spark):
         assert abs(r["log_weight"] - sum(ratios[b] for b in buckets(texts[r["doc_id"]]))) < 1e-9
 
 
+def test_many_labels_give_the_same_model(spark, monkeypatch):
+    docs, labels = corpus(spark, 200)
+    docs = docs.unionByName(spark.createDataFrame([(None, "red", "x"), (1, "twice", "x")], docs.schema))
+    one = importance.fit(docs, labels)
+    monkeypatch.setattr("quire.llm.common.BROADCAST_LABELS", 0)
+    monkeypatch.setattr("quire.llm.common.LABEL_WORDS", 2)
+    two = importance.fit(docs, labels)
+    assert np.allclose(one[0], two[0]) and one[1] == two[1]
+
+
+def test_the_query(spark, tmp_path):
+    docs, labels = corpus(spark, 80)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    got = op6_importance(spark, str(tmp_path)).collect()
+    assert len(got) == 80 and sum(r["kept"] for r in got) == round(80 * sum(i % 4 != 0 for i in range(80) if zlib.crc32(str(i).encode()) % 4 != 2) / sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(80)))
+
+
 def test_keeps_the_good(spark):
     docs, labels = corpus(spark)
     got = resample(docs, labels).collect()

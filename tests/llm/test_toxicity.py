@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quire.llm import kneser_ney
+from quire.llm.queries import op2_toxicity
 from quire.llm.toxicity import fit, fold, score_documents, words_of
 
 
@@ -99,6 +100,24 @@ def test_all_rows_but_the_sample_are_counted(spark, monkeypatch):
     assert sum(c[0].sum() for c in model.models.classes) == sum(len(w) + 1 for t in used for w in words_of(t))
 
 
+def test_many_labels_give_the_same_model(spark, monkeypatch):
+    docs, labels = corpus(spark, 200)
+    one = fit(docs, labels)
+    monkeypatch.setattr("quire.llm.common.BROADCAST_LABELS", 0)
+    monkeypatch.setattr("quire.llm.common.LABEL_WORDS", 1)
+    two = fit(docs, labels)
+    assert np.allclose(one.weights, two.weights)
+
+
+def test_held_out_quality_of_the_query(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    got = op2_toxicity(spark, sf).join(labels, "doc_id").where("held_out").collect()
+    caught = [r["predicted"] for r in got if r["toxic"]]
+    alarms = [r["predicted"] for r in got if not r["toxic"]]
+    assert len(caught) > 100 and np.mean(caught) >= 0.93 and np.mean(alarms) <= 0.015
+
+
 def test_held_out_labels_are_never_read(spark):
     docs, labels = corpus(spark, 200)
     flipped = labels.withColumn("toxic", F.when(fold() == 2, 1 - F.col("toxic")).otherwise(F.col("toxic")))
