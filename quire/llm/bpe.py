@@ -10,7 +10,8 @@ in n log n steps.
 Defined results: null text counts as empty and gives no ids. The special
 token's own string inside a text becomes its id. Texts of any length are
 encoded whole. Ids outside the vocabulary decode to nothing; byte sequences
-that are not UTF-8 decode to U+FFFD.
+that are not UTF-8 decode to U+FFFD. Ids of rows may be null or repeat; an empty
+table gives an empty result; other columns are read only where ``keep`` names them.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ Files are written by tasks that each hold one range of doc_id, to a temporary
 name and then moved, so a task run again replaces its file by an equal one.
 
 Defined results: null text counts as empty and gives only the end id; equal
-doc_ids are ordered by text; a null doc_id sorts first and stays null. An empty
+doc_ids are ordered by a hash of their texts, so that ranges can part them, too;
+a null doc_id sorts first and stays null. Other columns are not read. An empty
 table gives no files and an empty result.
 """
 
@@ -202,7 +203,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     """Write ``docs`` in ascending order of id; gives (file, documents, tokens) in that order."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     files = min(20_000, sized(docs.count(), rows_per_file, 2))
-    rows = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(files, "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end, writer = lower_word_encoder(vocabulary), np.array([end_id], np.uint32), None

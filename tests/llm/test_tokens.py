@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 
 from quire.llm.bpe import byte_alphabet, byte_bpe, encode_decode
 from quire.llm.common import shared_path
+from quire.llm.queries import op1_token_files, op7_bpe
 from quire.llm.splitting import BYTE_WORDS, LOWER_WORDS, plain
 from quire.llm.token_files import BLOCK, TokenFile, TokenFileWriter, lower_word_encoder, pack_blocks, read_token_files, unpack_block, write_token_files
 
@@ -115,3 +116,28 @@ def test_encode_decode_rows(spark, libraries):
     got = encode_decode(docs, BYTES).collect()
     assert sorted((r["decoded"], r["n_tokens"]) for r in got) == sorted((t or "", len(libraries[0].encode(t or "").ids)) for _, t, _ in [(1, None, 0), (2, "Hi there", 0), (2, "Hi there", 0), (0, "x", 0)])
     assert hashlib.sha256(bytes(got[0]["ids"])).hexdigest()
+
+
+def test_rows_of_one_id_fill_several_files(spark):
+    docs = spark.createDataFrame([(None if i % 2 else 4, f"text {i}") for i in range(400)], "doc_id long, text string")
+    folder = shared_path(spark, "t")
+    files = write_token_files(docs, folder, WORDS, rows_per_file=40)
+    got = sorted(read_token_files(spark, folder, files).collect(), key=lambda r: r["start"])
+    assert len(files) >= 8 and max(n for _, n, _ in files) < 120
+    assert [r["doc_id"] for r in got] == [None] * 200 + [4] * 200
+    assert [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got)])[:-1].tolist()
+
+
+def test_the_queries(spark, tmp_path, libraries):
+    texts = [*HARD, None]
+    spark.createDataFrame([(3 * i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, ids string").write.parquet(f"{tmp_path}/documents.parquet")
+    one = {r["doc_id"]: r for r in op1_token_files(spark, str(tmp_path)).collect()}
+    seven = {r["doc_id"]: r for r in op7_bpe(spark, str(tmp_path)).collect()}
+    start = 0
+    for i, t in enumerate(texts):
+        words = np.array([*libraries[1].encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        ids = libraries[0].encode(t or "", add_special_tokens=False).ids
+        assert one[3 * i].asDict() == {"doc_id": 3 * i, "start": start, "n_tokens": len(words), "ids_crc32": zlib.crc32(words.tobytes())}
+        decoded = libraries[0].decode(ids, skip_special_tokens=False)
+        assert (seven[3 * i]["n_tokens"], seven[3 * i]["ids_sha256"], seven[3 * i]["decoded_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+        start += len(words)
