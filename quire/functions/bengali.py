@@ -104,7 +104,7 @@ def malformed_words(text: Column) -> Column:
     return F.filter(bengali_words(text), lambda w: w.rlike(MALFORMED))
 
 
-#: White space as the reference's language trims it.
+#: White space as JavaScript's trim takes it.
 SPACES = "\t-\r    -     　﻿"
 
 

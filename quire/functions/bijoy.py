@@ -2,7 +2,7 @@
 
 The Column functions stay in the JVM except where a step depends on what has
 been written so far (a reph moves back over its cluster, step by step); that
-one is an Arrow-batched function. Every step has a plain Python twin, used by
+one is an Arrow-batched function, asked only for texts with a reph. Every step has a plain Python twin, used by
 parsing tasks and as the tests' oracle.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from graphlib import TopologicalSorter
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,37 +19,28 @@ from pyspark.sql.types import StringType
 
 from quire.functions.bengali import PRE_BASE, VIRAMA
 
-# What each single code stands for.
-SINGLE = {
-    "$": "৳", "&": "্", "0": "০", "1": "১", "2": "২", "3": "৩", "4": "৪", "5": "৫", "6": "৬", "7": "৭", "8": "৮", "9": "৯",
-    "A": "অ", "B": "ই", "C": "ঈ", "D": "উ", "E": "ঊ", "F": "ঋ", "G": "এ", "H": "ঐ", "I": "ও", "J": "ঔ",
-    "K": "ক", "L": "খ", "M": "গ", "N": "ঘ", "O": "ঙ", "P": "চ", "Q": "ছ", "R": "জ", "S": "ঝ", "T": "ঞ",
-    "U": "ট", "V": "ঠ", "W": "ড", "X": "ঢ", "Y": "ণ", "Z": "ত", "_": "থ", "`": "দ", "a": "ধ", "b": "ন",
-    "c": "প", "d": "ফ", "e": "ব", "f": "ভ", "g": "ম", "h": "য", "i": "র", "j": "ল", "k": "শ", "l": "ষ",
-    "m": "স", "n": "হ", "o": "ড়", "p": "ঢ়", "q": "য়", "r": "ৎ", "s": "ং", "t": "ঃ", "u": "ঁ",
-    "v": "া", "w": "ি", "x": "ী", "y": "ু", "|": "।", "~": "ূ",
-    "¨": "্য", "©": "র্", "ª": "্র", "°": "ক্ক", "±": "ক্ট", "³": "ক্ত", "µ": "ক্র",
-    "¶": "ক্ষ", "·": "ক্স", "¸": "গু", "»": "গ্ধ", "¼": "ঙ্ক", "½": "ঙ্গ", "¾": "জ্জ",
-    "À": "জ্ঝ", "Á": "জ্ঞ", "Â": "ঞ্চ", "Ã": "ঞ্ছ", "Ä": "ঞ্জ", "Å": "ঞ্ঝ", "Æ": "ট্ট",
-    "Ç": "ড্ড", "È": "ণ্ট", "É": "ণ্ঠ", "Ë": "ত্ত", "Ì": "ত্থ", "Î": "ত্র", "Ï": "দ্দ",
-    "Ð": "ণ্ড", "Ò": "“", "Ó": "”", "Ô": "‘", "Õ": "’", "×": "দ্ধ", "Ø": "দ্ব", "Ù": "দ্ম", "Ú": "ন্ঠ",
-    "Û": "ন্ড", "Ü": "ন্ধ", "Ý": "ন্স", "Þ": "প্ট", "ß": "প্ত", "à": "প্প", "á": "প্স",
-    "â": "ব্জ", "ã": "ব্দ", "ä": "ব্ধ", "å": "ভ্র", "ç": "ম্ফ", "é": "ল্ক", "ê": "ল্গ",
-    "ë": "ল্ট", "ì": "ল্ড", "í": "ল্প", "î": "ল্ফ", "ï": "শু", "ð": "শ্চ", "ò": "ষ্ণ",
-    "ó": "ষ্ট", "ô": "ষ্ঠ", "õ": "ষ্ফ", "ö": "স্খ", "÷": "স্ট", "ù": "স্ফ", "û": "হু",
-    "ü": "হৃ", "ý": "হ্ন", "þ": "হ্ম", "Š": "ৗ", "‡": "ে", "…": "ৃ", "‰": "ৈ",
+# What each code, and each sequence of codes, stands for.
+CODES = {
+    "$": "৳", "&": "্", "0": "০", "1": "১", "2": "২", "3": "৩", "4": "৪", "5": "৫", "6": "৬", "7": "৭", "8": "৮", "9": "৯", "A": "অ", "B": "ই",
+    "C": "ঈ", "D": "উ", "E": "ঊ", "F": "ঋ", "G": "এ", "H": "ঐ", "I": "ও", "J": "ঔ", "K": "ক", "L": "খ", "M": "গ", "N": "ঘ", "O": "ঙ", "P": "চ",
+    "Q": "ছ", "R": "জ", "S": "ঝ", "T": "ঞ", "U": "ট", "V": "ঠ", "W": "ড", "X": "ঢ", "Y": "ণ", "Z": "ত", "_": "থ", "`": "দ", "a": "ধ", "b": "ন",
+    "c": "প", "d": "ফ", "e": "ব", "f": "ভ", "g": "ম", "h": "য", "i": "র", "j": "ল", "k": "শ", "l": "ষ", "m": "স", "n": "হ", "o": "ড়", "p": "ঢ়",
+    "q": "য়", "r": "ৎ", "s": "ং", "t": "ঃ", "u": "ঁ", "v": "া", "w": "ি", "x": "ী", "y": "ু", "|": "।", "~": "ূ", "¨": "্য", "©": "র্", "ª": "্র",
+    "°": "ক্ক", "±": "ক্ট", "³": "ক্ত", "µ": "ক্র", "¶": "ক্ষ", "·": "ক্স", "¸": "গু", "»": "গ্ধ", "¼": "ঙ্ক", "½": "ঙ্গ", "¾": "জ্জ", "À": "জ্ঝ",
+    "Á": "জ্ঞ", "Â": "ঞ্চ", "Ã": "ঞ্ছ", "Ä": "ঞ্জ", "Å": "ঞ্ঝ", "Æ": "ট্ট", "Ç": "ড্ড", "È": "ণ্ট", "É": "ণ্ঠ", "Ë": "ত্ত", "Ì": "ত্থ", "Î": "ত্র",
+    "Ï": "দ্দ", "Ð": "ণ্ড", "Ò": "“", "Ó": "”", "Ô": "‘", "Õ": "’", "×": "দ্ধ", "Ø": "দ্ব", "Ù": "দ্ম", "Ú": "ন্ঠ", "Û": "ন্ড", "Ü": "ন্ধ",
+    "Ý": "ন্স", "Þ": "প্ট", "ß": "প্ত", "à": "প্প", "á": "প্স", "â": "ব্জ", "ã": "ব্দ", "ä": "ব্ধ", "å": "ভ্র", "ç": "ম্ফ", "é": "ল্ক", "ê": "ল্গ",
+    "ë": "ল্ট", "ì": "ল্ড", "í": "ল্প", "î": "ল্ফ", "ï": "শু", "ð": "শ্চ", "ò": "ষ্ণ", "ó": "ষ্ট", "ô": "ষ্ঠ", "õ": "ষ্ফ", "ö": "স্খ", "÷": "স্ট",
+    "ù": "স্ফ", "û": "হু", "ü": "হৃ", "ý": "হ্ন", "þ": "হ্ম", "Š": "ৗ", "‡": "ে", "…": "ৃ", "‰": "ৈ", "Av": "আ", "K¡": "ক্ব", "K¬": "ক্ল",
+    "M¥": "গ্ম", "Mªy": "গ্রু", "M\u00ad": "গ্ল", "Mœ": "গ্ন", "R¡": "জ্ব", "U¡": "ট্ব", "U¥": "ট্ম", "Y^": "ণ্ব", "Z¡": "ত্ব", "Z¥": "ত্ম",
+    "Zœ": "ত্ন", "_¡": "থ্ব", "`ªæ": "দ্রু", "a¥": "ধ্ম", "aŸ": "ধ্ব", "b¥": "ন্ম", "bœ": "ন্ন", "cø": "প্ল", "cœ": "প্ন", "d¬": "ফ্ল", "eø": "ব্ল",
+    "eŸ": "ব্ব", "gœ": "ম্ন", "iy": "রু", "i¨": "র\u200c্য", "iƒ": "রূ", "j¥": "ল্ম", "j¦": "ল্ব", "jø": "ল্ল", "k¥": "শ্ম", "k¦": "শ্ব", "kø": "শ্ল",
+    "kœ": "শ্ন", "mœ": "স্ন", "n¬": "হ্ল", "nè": "হ্ণ", "¤^": "ম্ব", "¤¢": "ম্ভ", "¤£": "ম্ভ্র", "¤§": "ম্ম", "¤\u00ad": "ম্ল", "¤ú": "ম্প",
+    "ª¨": "্র্য", "®§": "ষ্ম", "®ú": "ষ্প", "®Œ": "ষ্ক্র", "®‹": "ষ্ক", "¯Z": "স্ত", "¯^": "স্ব", "¯§": "স্ম", "¯\u00ad": "স্ল", "¯¿": "স্ত্র",
+    "¯ú": "স্প", "¯Œ": "স্ক্র", "¯‘": "স্তু", "¯’": "স্থ", "¯‹": "স্ক", "¾¡": "জ্জ্ব", "Ë¡": "ত্ত্ব", "š^": "ন্ব", "š¿": "ন্ত্র", "šÍ": "ন্ত",
+    "š—¡": "ন্ত্ব", "š‘": "ন্তু", "š’": "ন্থ", "˜M": "দ্গ", "˜N": "দ্ঘ", "”P": "চ্চ", "”Q": "চ্ছ", "”Q¡": "চ্ছ্ব", "”T": "চ্ঞ", "•L": "ঙ্খ",
+    "•N": "ঙ্ঘ", "•¶": "ঙ্ক্ষ", "›U": "ন্ট", "›`": "ন্দ", "›Ø": "ন্দ্ব", "™¢": "দ্ভ",
 }
-# Half forms that only begin a conjunct, and forms that only end one (joined by a virama).
-HEADS = {"¤": "ম", "®": "ষ", "¯": "স", "š": "ন", "˜": "দ", "”": "চ", "•": "ঙ", "›": "ন", "™": "দ"}
-TAILS = {"¡": "ব", "¬": "ল", "¥": "ম", "\u00ad": "ল", "œ": "ন", "^": "ব", "Ÿ": "ব", "ø": "ল", "¦": "ব", "¢": "ভ", "£": "ভ্র", "§": "ম", "ú": "প", "Œ": "ক্র", "‹": "ক", "¿": "ত্র", "‘": "তু", "’": "থ", "Í": "ত", "è": "ণ"}
-# The endings that each beginning takes.
-CONJUNCTS = {
-    "K": "¡¬", "M": "¥­œ", "R": "¡", "U": "¡¥", "Y": "^", "Z": "¡¥œ", "_": "¡", "a": "¥Ÿ", "b": "¥œ", "c": "øœ", "d": "¬",
-    "e": "øŸ", "g": "œ", "j": "¥¦ø", "k": "¥¦øœ", "m": "œ", "n": "¬è", "¤": "^¢£§­ú", "®": "§úŒ‹", "¯": "Z^§­¿úŒ‘’‹",
-    "¾": "¡", "Ë": "¡", "š": "^¿Í‘’", "˜": "MN", "”": "PQT", "•": "LN¶", "›": "U`Ø", "™": "¢",
-}
-# Sequences that no rule gives.
-IRREGULAR = {"Mªy": "গ্রু", "`ªæ": "দ্রু", "š—¡": "ন্ত্ব", "”Q¡": "চ্ছ্ব", "Av": "আ", "iy": "রু", "i¨": "র‌্য", "iƒ": "রূ", "ª¨": "্র্য"}
 # Second codes of two signs.
 ALIASES = ("†Ö", "‡ª")
 # Parts of the names of such fonts, compared to the name's letters in lower case.
@@ -64,11 +56,8 @@ _NUKTAS = [("ড়", "ড়"), ("ঢ়", "ঢ়"), ("য়", "য়")]
 
 @lru_cache(maxsize=1)
 def conversion_table() -> dict[str, str]:
-    """Code sequence -> Unicode, longest sequences first."""
-    first = SINGLE | HEADS
-    joined = {h + t: first[h] + VIRAMA + (TAILS.get(t) or SINGLE[t]) for h, tails in CONJUNCTS.items() for t in tails}
-    every = SINGLE | joined | IRREGULAR
-    return dict(sorted(every.items(), key=lambda kv: (-len(kv[0]), kv[0])))
+    """``CODES``, longest sequences first."""
+    return dict(sorted(CODES.items(), key=lambda kv: (-len(kv[0]), kv[0])))
 
 
 @lru_cache(maxsize=1)
@@ -79,20 +68,26 @@ def substitution_pattern() -> str:
 
 
 def ascii_keys() -> str:
-    return "".join(k for k in SINGLE if len(k) == 1 and ord(k) < 0x80)
+    return "".join(k for k in CODES if len(k) == 1 and ord(k) < 0x80)
 
 
 # --- plain Python -----------------------------------------------------------
 
 
 @lru_cache(maxsize=1)
-def _compiled() -> re.Pattern:
-    return re.compile(substitution_pattern()[:-2])
+def _compiled() -> tuple[re.Pattern, dict]:
+    """The sequences as a pattern, and what ``str.translate`` makes of single codes and of the sequences' stand-ins."""
+    more = [k for k in conversion_table() if len(k) > 1]
+    stand_in = {k: chr(0xF0000 + i) for i, k in enumerate(more)}
+    single = {ord(k): v for k, v in CODES.items() if len(k) == 1}
+    return re.compile("|".join(map(re.escape, more))), single | {ord(c): CODES[k] for k, c in stand_in.items()} | {"of": stand_in}
 
 
 def substitute_text(text: str) -> str:
-    table = conversion_table()
-    return _compiled().sub(lambda m: table[m[0]], text)
+    if not text.isascii() and re.search("[\U000f0000-\U000f00ff]", text):  # it holds stand-ins itself
+        return re.sub(substitution_pattern()[4:-2], lambda m: CODES[m[0]], text)
+    sequences, table = _compiled()
+    return sequences.sub(lambda m: table["of"][m[0]], text).translate(table)
 
 
 def move_rephs_text(text: str) -> str:
@@ -167,18 +162,32 @@ def canonical(text: Column) -> Column:
     return F.translate(text, *ALIASES)
 
 
-def substitute_native(text: Column) -> Column:
-    """The table's longest matches replaced, with built-in functions (a cross-check of ``substitute``)."""
-    pairs = [F.lit(x) for kv in conversion_table().items() for x in kv]
-    table = F.create_map(*pairs)
-    parts = F.regexp_extract_all(text, F.lit(substitution_pattern()), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at(table, p), p)), "")
+@lru_cache(maxsize=1)
+def replacement_order() -> list[str]:
+    """The sequences so that replacing one after the other gives the leftmost, longest matches.
+
+    A sequence goes before those that it begins with, and before those that
+    begin with its end, as it lies left of them where they overlap.
+    """
+    more = [k for k in CODES if len(k) > 1]
+    before = {k: {x for x in more if x != k and (x.startswith(k) or not k.startswith(x) and any(x.endswith(k[:n]) for n in range(1, len(k))))} for k in more}
+    return list(TopologicalSorter(before).static_order())
+
 
+def _replaced(text: Column, keys: list[str]) -> Column:
+    pairs = F.array(*[F.struct(F.lit(k).alias("code"), F.lit(CODES[k]).alias("text")) for k in keys])
+    return F.aggregate(pairs, text, lambda t, p: F.replace(t, p["code"], p["text"]))
 
-@F.pandas_udf(StringType())
-def substitute(text: pd.Series) -> pd.Series:
-    """The table's longest matches replaced: one compiled pattern per worker, Arrow batches."""
-    return text.map(substitute_text, na_action="ignore")
+
+def substitute(text: Column | str) -> Column:
+    """The table's longest matches replaced, in the JVM: sequences, then single codes that stand for several characters, then the others."""
+    text = F.col(text) if isinstance(text, str) else text
+    single = {k: v for k, v in CODES.items() if len(k) == 1}
+    several = [k for k, v in single.items() if len(v) > 1]
+    plain = {k: v for k, v in single.items() if len(v) == 1}
+    ascii_only = F.octet_length(text) == F.length(text)
+    replaced = F.when(ascii_only, _replaced(text, [k for k in replacement_order() if k.isascii()])).otherwise(_replaced(text, replacement_order() + several))
+    return F.translate(replaced, "".join(plain), "".join(plain.values()))
 
 
 def reorder_pre_base(text: Column) -> Column:
@@ -187,10 +196,17 @@ def reorder_pre_base(text: Column) -> Column:
 
 
 @F.pandas_udf(StringType())
-def move_rephs(text: pd.Series) -> pd.Series:
+def _move_rephs(text: pd.Series) -> pd.Series:
     return text.map(move_rephs_text, na_action="ignore")
 
 
+def move_rephs(text: Column | str) -> Column:
+    """Each reph that follows a cluster moves before it; only texts that hold one are sent to Python."""
+    text = F.col(text) if isinstance(text, str) else text
+    moved = _move_rephs(F.when(F.contains(text, F.lit(_REPH)), text))
+    return F.coalesce(moved, text)
+
+
 def recompose_vowels(text: Column) -> Column:
     for a, b in _PAIRS:
         text = F.replace(text, F.lit(a), F.lit(b))
@@ -203,14 +219,18 @@ def compose_nuktas(text: Column) -> Column:
     return text
 
 
-@F.pandas_udf(StringType())
-def to_unicode(text: pd.Series) -> pd.Series:
-    """Bijoy codes to Unicode Bengali, all steps in one pass over the batch."""
-    return text.map(to_unicode_text, na_action="ignore")
+def to_unicode(ansi: Column | str) -> Column:
+    """Bijoy codes to Unicode Bengali."""
+    ansi = F.col(ansi) if isinstance(ansi, str) else ansi
+    return compose_nuktas(recompose_vowels(move_rephs(reorder_pre_base(substitute(canonical(ansi))))))
+
+
+def _as_udf(f):
+    return F.pandas_udf(lambda text: text.map(f, na_action="ignore"), StringType())
 
 
 def register(spark) -> None:
     """The scalar functions under SQL names."""
-    spark.udf.register("bijoy_to_unicode", to_unicode)
-    spark.udf.register("bijoy_substitute", substitute)
-    spark.udf.register("bijoy_move_rephs", move_rephs)
+    spark.udf.register("bijoy_to_unicode", _as_udf(to_unicode_text))
+    spark.udf.register("bijoy_substitute", _as_udf(substitute_text))
+    spark.udf.register("bijoy_move_rephs", _as_udf(move_rephs_text))
