@@ -11,8 +11,9 @@ import ctypes
 import ctypes.util
 import re
 import unicodedata
+from collections import OrderedDict
 from collections.abc import Callable
-from functools import lru_cache
+from functools import lru_cache, partial
 from itertools import groupby
 from typing import NamedTuple
 
@@ -35,11 +36,12 @@ class Cluster(NamedTuple):
     glyph_texts: list[str]
 
 
-Shaper = Callable[[OpenType, str], list[Glyph]]
+#: Called with a font, a text and, if known, the text's script (an ISO 15924 tag).
+Shaper = Callable[..., list[Glyph]]
 
 
-def simple_shaper(font: OpenType, text: str) -> list[Glyph]:
-    """One glyph a character; combining marks join the cluster before them."""
+def simple_shaper(font: OpenType, text: str, script: str | None = None) -> list[Glyph]:
+    """One glyph a character; combining marks join the cluster before them. The script changes nothing."""
     out: list[Glyph] = []
     for i, c in enumerate(text):
         gid = font.cmap.get(ord(c), 0)
@@ -121,6 +123,13 @@ def _harfbuzz():
         ("hb_buffer_get_glyph_infos", ctypes.POINTER(_Info), [pointer, ctypes.POINTER(ctypes.c_uint)]),
         ("hb_buffer_get_glyph_positions", ctypes.POINTER(_Position), [pointer, ctypes.POINTER(ctypes.c_uint)]),
         ("hb_buffer_destroy", None, [pointer]),
+        ("hb_buffer_set_script", None, [pointer, ctypes.c_uint32]),
+        ("hb_script_from_string", ctypes.c_uint32, [ctypes.c_char_p, ctypes.c_int]),
+        ("hb_buffer_set_language", None, [pointer, pointer]),
+        ("hb_language_from_string", pointer, [ctypes.c_char_p, ctypes.c_int]),
+        ("hb_font_destroy", None, [pointer]),
+        ("hb_face_destroy", None, [pointer]),
+        ("hb_blob_destroy", None, [pointer]),
     ):
         getattr(lib, f).restype, getattr(lib, f).argtypes = result, args
     return lib
@@ -130,24 +139,47 @@ def harfbuzz_available() -> bool:
     return _harfbuzz() is not None
 
 
-@lru_cache(maxsize=16)
-def _hb_font(data: bytes, upem: int):
-    lib = _harfbuzz()
-    blob = lib.hb_blob_create(data, len(data), 1, None, None)
-    font = lib.hb_font_create(lib.hb_face_create(blob, 0))
-    lib.hb_font_set_scale(font, upem, upem)
-    return font
+class _Fonts:
+    """The library's fonts of the font files used last; those that others push out are freed."""
 
+    def __init__(self, most: int = 16):
+        self.most, self.held = most, OrderedDict()
 
-def _pass(font: OpenType, text: str, level: int) -> list[tuple]:
+    def get(self, font: OpenType) -> int:
+        key = (font.data, font.upem)
+        if key not in self.held:
+            lib = _harfbuzz()
+            blob = lib.hb_blob_create(font.data, len(font.data), 0, None, None)  # copies the bytes
+            face = lib.hb_face_create(blob, 0)
+            made = lib.hb_font_create(face)
+            lib.hb_font_set_scale(made, font.upem, font.upem)
+            lib.hb_face_destroy(face)  # the font holds them on
+            lib.hb_blob_destroy(blob)
+            self.held[key] = made
+            while len(self.held) > self.most:
+                lib.hb_font_destroy(self.held.popitem(last=False)[1])
+        self.held.move_to_end(key)
+        return self.held[key]
+
+
+_FONTS = _Fonts()
+#: Scripts that a shaper is told of; the library guesses others from the text.
+_TOLD = ("Beng", "Latn")
+
+
+def _pass(font: OpenType, text: str, level: int, script: str | None = None, language: str | None = None) -> list[tuple]:
     lib, n = _harfbuzz(), ctypes.c_uint()
     buffer = lib.hb_buffer_create()
     raw = text.encode("utf-32-le", "surrogatepass")
     lib.hb_buffer_add_utf32(buffer, raw, len(text), 0, len(text))
     lib.hb_buffer_set_cluster_level(buffer, level)
     lib.hb_buffer_set_direction(buffer, 4)
-    lib.hb_buffer_guess_segment_properties(buffer)
-    lib.hb_shape(_hb_font(font.data, font.upem), buffer, None, 0)
+    if script in _TOLD:
+        lib.hb_buffer_set_script(buffer, lib.hb_script_from_string(script.encode(), -1))
+    if language:
+        lib.hb_buffer_set_language(buffer, lib.hb_language_from_string(language.encode(), -1))
+    lib.hb_buffer_guess_segment_properties(buffer)  # what is not set
+    lib.hb_shape(_FONTS.get(font), buffer, None, 0)
     infos = lib.hb_buffer_get_glyph_infos(buffer, ctypes.byref(n))
     places = lib.hb_buffer_get_glyph_positions(buffer, ctypes.byref(n))
     out = [(infos[i].codepoint, infos[i].cluster, places[i].x_advance, places[i].x_offset, places[i].y_offset) for i in range(n.value)]
@@ -155,15 +187,16 @@ def _pass(font: OpenType, text: str, level: int) -> list[tuple]:
     return out
 
 
-def harfbuzz_shaper(font: OpenType, text: str) -> list[Glyph]:
+def harfbuzz_shaper(font: OpenType, text: str, script: str | None = None, language: str | None = None) -> list[Glyph]:
     """Two passes: merged clusters for breaking lines, single characters for the glyphs' sources."""
-    merged, single = _pass(font, text, 0), _pass(font, text, 2)
+    merged, single = (_pass(font, text, level, script, language) for level in (0, 2))
     sources = [s[1] for s in single] if len(single) == len(merged) else [m[1] for m in merged]
     return [Glyph(g, c, s, a, x, y) for (g, c, a, x, y), s in zip(merged, sources)]
 
 
-def best_shaper() -> Shaper:
-    return harfbuzz_shaper if harfbuzz_available() else simple_shaper
+def best_shaper(language: str | None = None) -> Shaper:
+    """HarfBuzz where the system has it, for a language if one is given."""
+    return partial(harfbuzz_shaper, language=language) if harfbuzz_available() else simple_shaper
 
 
 def replay_factory(font: OpenType):

@@ -6,7 +6,7 @@ Arrow batches, line widths and alignment are Columns.
 
 The widths come from a shaper: any callable that turns a paragraph into
 clusters ``(text, width)``. The default gives each character one unit; a
-metrics shaper over a parsed font is in ``quire.functions.fonts``.
+shaper over font files is ``quire.functions.fonts.FontShaper``.
 """
 
 from __future__ import annotations

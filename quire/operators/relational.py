@@ -6,12 +6,15 @@ Catalyst plans; none collects data to the driver.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.storage import cut
+
 
 def islands(df: DataFrame, by: list[str], order: list[str], starts: Column, out: str = "island") -> DataFrame:
     """Number the runs of consecutive rows; ``starts`` (over lag expressions) marks a row that begins one."""
@@ -52,56 +55,54 @@ def contradictions(claims: DataFrame, truth: DataFrame, key: list[str], group: l
     return out.withColumn("contradicts", (F.col("disagree") >= least) & (F.col("disagree") * tenth >= F.col("agree") + F.col("disagree")))
 
 
-def expand_ranges(df: DataFrame, low: str, high: str, out: str, most: int = 0xFFFF) -> DataFrame:
-    """One row for each value of [low, high]; empty and over-long ranges give none. Turns a range join into an equi-join."""
-    fits = (F.col(low) >= 0) & (F.col(high) >= F.col(low)) & (F.col(high) - F.col(low) <= most)
-    return df.where(fits).withColumn(out, F.explode(F.sequence(low, high)))
+def expand_ranges(df: DataFrame, low: str, high: str, out: str, most: int | None = None, chunk: int = 1 << 16) -> DataFrame:
+    """One row for each value of [low, high]; empty ranges, and those of more than ``most`` values if given, give none.
+
+    Turns a range join into an equi-join. A long range is first cut into chunks, so no row is unfolded at once.
+    """
+    fits = F.col(high) >= F.col(low)
+    if most is not None:
+        fits = fits & (F.col(high) - F.col(low) < most)
+    starts = df.where(fits).withColumn("_from", F.explode(F.sequence(F.col(low).cast("long"), F.col(high).cast("long"), F.lit(chunk).cast("long"))))
+    return starts.withColumn(out, F.explode(F.sequence("_from", F.least(F.col("_from") + (chunk - 1), F.col(high).cast("long"))))).drop("_from")
 
 
-def inherited_tree(nodes: DataFrame, attributes: list[str], depth: int = 64) -> DataFrame:
+def inherited_tree(nodes: DataFrame, attributes: list[str]) -> DataFrame:
     """Walk (id, parent, ord, attributes) from the roots down; a child's own attribute overrides the inherited one.
 
-    Gives ``id, level, path`` and the attributes; cycles end at the first
-    repetition, levels at ``depth``. Rows order by ``path``.
+    Gives ``id, level, path`` and the attributes. A round a level: the nodes
+    found last are joined with their children and written out, until none
+    follow; a path ends where it would meet a node again. Rows order by ``path``.
     """
-    spark = nodes.sparkSession
-    nodes.createOrReplaceTempView("_quire_nodes")
-    own = ", ".join(attributes)
-    merged = ", ".join(f"coalesce(n.{a}, t.{a}) AS {a}" for a in attributes)
-    return spark.sql(f"""
-        WITH RECURSIVE tree AS (
-          SELECT id, 0 AS level, array(ord) AS path, array(id) AS seen, {own} FROM _quire_nodes WHERE parent IS NULL
-          UNION ALL
-          SELECT n.id, t.level + 1, concat(t.path, array(n.ord)), concat(t.seen, array(n.id)), {merged}
-          FROM tree t JOIN _quire_nodes n ON n.parent = t.id
-          WHERE t.level < {depth} AND NOT array_contains(t.seen, n.id))
-        SELECT id, level, path, {own} FROM tree
-    """)
+    own = nodes.select(F.col("id").alias("_id"), F.col("parent").alias("_parent"), F.col("ord").alias("_ord"), *[F.col(a).alias(f"_own_{a}") for a in attributes])
+    roots = nodes.where("parent IS NULL")
+    level = cut(roots.select("id", F.lit(0).alias("level"), F.array("ord").alias("path"), F.array("id").alias("seen"), *attributes))
+    levels = [level]
+    for n in count(1):
+        below = level.join(own, (F.col("id") == F.col("_parent")) & ~F.array_contains("seen", F.col("_id")))
+        merged = [F.coalesce(F.col(f"_own_{a}"), F.col(a)).alias(a) for a in attributes]
+        level = cut(below.select(F.col("_id").alias("id"), F.lit(n).alias("level"), F.array_append("path", F.col("_ord")).alias("path"), F.array_append("seen", F.col("_id")).alias("seen"), *merged))
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, levels).drop("seen")
+        levels.append(level)
 
 
 def closure(edges: DataFrame, seeds: DataFrame, rounds: int | None = None) -> DataFrame:
     """All nodes reachable from ``seeds`` (node) along ``edges`` (src, dst), each once.
 
     A semi-naive loop: each round joins only the nodes found last, and is
-    written out (reliable checkpoint) where the session names a folder. It ends
-    when nothing new is found; where that takes more than ``rounds``, it raises.
+    written out (reliable checkpoint). It ends when nothing new is found; where that takes more than ``rounds``, it raises.
     """
     found = seeds.select("node").distinct()
     frontier = found
     for n in count():
         reached = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = _cut(reached.join(found, "node", "left_anti"))
+        frontier = cut(reached.join(found, "node", "left_anti"))
         if frontier.isEmpty():
             return found
         if rounds is not None and n >= rounds:
             raise RuntimeError(f"closure: nodes are left after {rounds} rounds")
-        found = _cut(found.unionByName(frontier))
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Truncate lineage by a reliable checkpoint; without a checkpoint folder the plan just grows."""
-    sc = df.sparkSession.sparkContext
-    return df.checkpoint() if sc._jsc.sc().getCheckpointDir().isDefined() else df.cache()
+        found = cut(found.unionByName(frontier))
 
 
 def fold_matrices(matrices: Column) -> Column:

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions.shaping import replay_factory as system_replay
 from quire.operators import assembly
 from quire.sources.pdf_content import PageReader
 from quire.sources.pdf_file import PdfFile, looks_like_pdf, plain
@@ -53,13 +54,16 @@ def only_pdfs(files: DataFrame) -> DataFrame:
     return files.where(has_header() | F.col("error").isNotNull() if "error" in files.columns else has_header())
 
 
-def _batches(schema: pa.Schema, rows: Iterator[tuple], size: int = 2000) -> Iterator[pa.RecordBatch]:
+def _batches(schema: pa.Schema, rows: Iterator[tuple], size: int = 2000, weight: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of up to ``size`` rows, fewer where their bytes, texts and lists are large."""
     held: list[tuple] = []
+    heavy = 0
     for row in rows:
         held.append(row)
-        if len(held) >= size:
+        heavy += sum(len(v) * (200 if isinstance(v, list) else 1) for v in row if isinstance(v, (bytes, str, list)))
+        if len(held) >= size or heavy >= weight:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
-            held = []
+            held, heavy = [], 0
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
@@ -84,10 +88,9 @@ def _mapped(files: DataFrame, schema: str, rows: Callable, password: str = "", o
                     yield from on_other(doc_id) if on_other else ()
                     continue
                 try:
-                    found = list(rows(doc_id, PdfFile(content, secret or "")))
-                except Exception as e:  # a damaged file must not fail its task
-                    found = list(on_error(doc_id, f"{type(e).__name__}: {e}"[:500])) if on_error else []
-                yield from found
+                    yield from rows(doc_id, PdfFile(content, secret or ""))
+                except Exception as e:  # a damaged file must not fail its task; what was read of it stays
+                    yield from on_error(doc_id, f"{type(e).__name__}: {e}"[:500]) if on_error else ()
 
     return files.select("doc_id", "content", *extra).mapInArrow(lambda batches: _batches(arrow, each(batches)), schema)
 
@@ -140,10 +143,12 @@ def fonts(files: DataFrame, password: str = "") -> DataFrame:
     return _mapped(files, FONT_SCHEMA, rows, password)
 
 
-def pages(files: DataFrame, password: str = "", replay_factory=None, keep_others: bool = False) -> DataFrame:
+def pages(files: DataFrame, password: str = "", replay_factory=system_replay, keep_others: bool = False) -> DataFrame:
     """One row per page with its runs; a file without pages, and one that is damaged, gives a row with page_no null.
 
     So does a file that is no PDF, or whose content is null, with ``keep_others``.
+    Text read back from glyphs is shaped again to verify it, where there is a
+    system shaper; ``replay_factory`` gives another, or None for no such check.
     """
 
     def rows(doc_id, file):
@@ -173,7 +178,7 @@ def text_runs(parsed: DataFrame) -> DataFrame:
     return parsed.select("doc_id", "page_no", "has_images", "actual_text_used", "is_encrypted", "is_locked", "error", F.explode_outer("runs").alias("r")).select("*", "r.*").drop("r")
 
 
-def extract_documents(files: DataFrame, password: str = "", ocr=None, replay_factory=None) -> DataFrame:
+def extract_documents(files: DataFrame, password: str = "", ocr=None, replay_factory=system_replay) -> DataFrame:
     """One row per file: ``doc_id, text, encoding, confidence, is_encrypted, is_locked, has_bangla, error, pages``.
 
     Files that are no PDFs get an empty result. ``ocr`` is a UDF of (doc_id,
@@ -182,7 +187,9 @@ def extract_documents(files: DataFrame, password: str = "", ocr=None, replay_fac
     """
     carry = ["has_images", "actual_text_used", "is_encrypted", "is_locked", "error"]
     sent = files.withColumn("content", F.when(has_header(), F.col("content")))  # other files' bytes stay in the JVM
-    assembled = assembly.assemble_pages(text_runs(pages(sent, password, replay_factory, keep_others=True)), carry)
+    # pages meet by document, so the windows over a page's runs and both groupings need no further shuffle
+    parsed = pages(sent, password, replay_factory, keep_others=True).repartition("doc_id")
+    assembled = assembly.assemble_pages(text_runs(parsed), carry)
     if ocr is not None:
         assembled = assembly.with_ocr(assembled, ocr)
     page = F.when(F.col("page_no").isNotNull(), F.struct(F.col("page_no").alias("number"), "text", "encoding", "has_images"))

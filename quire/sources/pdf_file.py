@@ -209,16 +209,20 @@ class PdfFile:
 
     def pages(self) -> list[dict]:
         """Page dictionaries in order, with inherited attributes; all page objects if the tree is of no use."""
+        return [page for _, page in self.numbered_pages()]
+
+    def numbered_pages(self) -> list[tuple[int | None, dict]]:
+        """The same with each page's object number; None for one that stands in the tree itself."""
         root = self.resolve(self.trailer.get("Root"))
         tree = self.resolve(root.get("Pages")) if isinstance(root, dict) else None
         out = list(self._leaves(tree)) if isinstance(tree, dict) else []
-        return out or [o for n in sorted(self.offsets) if isinstance(o := self.object(n), dict) and o.get("Type") == "Page"]
+        return out or [(n, o) for n in sorted(self.offsets) if isinstance(o := self.object(n), dict) and o.get("Type") == "Page"]
 
-    def _leaves(self, tree: dict) -> Iterator[dict]:
+    def _leaves(self, tree: dict) -> Iterator[tuple[int | None, dict]]:
         seen, found = set(), 0
-        todo: list[tuple[dict, dict]] = [(tree, {})]
+        todo: list[tuple[dict, dict, int | None]] = [(tree, {}, None)]
         while todo and found <= MAX_PAGES:
-            node, above = todo.pop()
+            node, above, number = todo.pop()
             here = above | {k: node[k] for k in INHERITED if k in node}
             kids = self.resolve(node.get("Kids"))
             if isinstance(kids, list):
@@ -229,11 +233,11 @@ class PdfFile:
                             continue
                         seen.add(kid.number)
                     if isinstance(child := self.resolve(kid), dict):
-                        below.append((child, here))
+                        below.append((child, here, kid.number if isinstance(kid, Ref) else None))
                 todo.extend(reversed(below))
             elif node.get("Type") != "Pages":
                 found += 1
-                yield here | node
+                yield number, here | node
 
     def content(self, page: dict) -> bytes:
         """The page's content streams, each followed by a line break; images and missing ones left out."""

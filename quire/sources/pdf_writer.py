@@ -1,12 +1,15 @@
 """Text to PDF files: shaped, wrapped and aligned lines with the fonts cut down to the glyphs drawn.
 
 Each line carries its text as ActualText, and each font a ToUnicode map, so
-that any reader gets the typed text back. One row of text is one file.
+that any reader gets the typed text back. ``render`` makes one file of one row of
+text; ``Drawing`` puts texts on the pages of a file that is there, or of a new
+one, and embeds each font once when it is saved.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -18,6 +21,8 @@ from pyspark.sql import DataFrame
 from quire.functions.shaping import Shaper, best_shaper, clusters
 from quire.operators.layout import breakable, justify_shifts, segments, wrap
 from quire.sources.opentype import OpenType
+from quire.sources.pdf_file import PdfFile
+from quire.sources.pdf_syntax import Name, Ref, Stream, is_number
 
 # Tables that a reader of an embedded, already shaped font never uses.
 DROPPED = {"GSUB", "GPOS", "GDEF", "hdmx", "VDMX", "LTSH", "gasp", "DSIG", "kern"}
@@ -188,8 +193,8 @@ def layout(text: str, fonts: list[OpenType], size: float, limit: float, shaper:
     lines = []
     for paragraph in text.split("\n"):
         units = []
-        for font, _, part in segments(paragraph, [lambda cp, f=f: cp in f.cmap for f in fonts]):
-            glyphs, scale = shaper(fonts[font], part), size / fonts[font].upem
+        for font, script, part in segments(paragraph, [lambda cp, f=f: cp in f.cmap for f in fonts]):
+            glyphs, scale = shaper(fonts[font], part, script), size / fonts[font].upem
             for c in clusters(glyphs, part):
                 own = glyphs[c.start : c.end]
                 units.append((c.text, sum(g.x_advance for g in own) * scale + letter_spacing, font, own, c.glyph_texts))
@@ -213,8 +218,9 @@ def layout(text: str, fonts: list[OpenType], size: float, limit: float, shaper:
     return lines
 
 
-def paint_line(line: Line, cids: list[CidFont], size: float, x: float, y: float, shifts: list[float] | None) -> str:
-    """The operators of a line: its text as ActualText, spacing glyphs by font, then marks one by one."""
+def paint_line(line: Line, pens: list[tuple[str, CidFont]], size: float, x: float, y: float, shifts: list[float] | None) -> str:
+    """The operators of a line: its text as ActualText, spacing glyphs by font, then marks one by one. ``pens``: resource name and codes of each font."""
+    cids = [c for _, c in pens]
     shifted = [(g, x + g.x + (shifts[i] if shifts else 0.0)) for i, g in enumerate(line.glyphs)]
     mark = lambda g: g.advance == 0 and (g.x != 0 or g.y_offset != 0)
     out = [f"/Span << /ActualText <FEFF{hex_text(line.text)}> >> BDC"] if line.text else []
@@ -228,27 +234,146 @@ def paint_line(line: Line, cids: list[CidFont], size: float, x: float, y: float,
         shows[-1][3].append(f"{kern} " * (kern != 0) + f"<{cids[g.font].code(g.gid, g.text, g.advance):04X}>")
         pen = at + g.advance * size / cids[g.font].font.upem
     shows += [(g.font, at, y + g.y_offset, [f"<{cids[g.font].code(g.gid, g.text, g.advance):04X}>"]) for g, at in shifted if mark(g)]
-    out += [f"BT /F{font} {number(size)} Tf 1 0 0 1 {number(at)} {number(up)} Tm [{''.join(codes)}] TJ ET" for font, at, up, codes in shows]
+    out += [f"BT /{pens[font][0]} {number(size)} Tf 1 0 0 1 {number(at)} {number(up)} Tm [{''.join(codes)}] TJ ET" for font, at, up, codes in shows]
     return "\n".join([*out, "EMC"] if line.text else out)
 
 
+def paint_block(lines: list[Line], pens: list[tuple[str, CidFont]], size: float, x: float, y: float, height: float, available: float, align: str, color: tuple[float, float, float] | None, alpha: str | None) -> bytes:
+    """The operators of lines one below the other, the first on the base line ``y``."""
+    out = ["q"] + ([f"{' '.join(map(number, color))} rg"] if color else []) + ([f"/{alpha} gs"] if alpha else [])
+    for k, line in enumerate(lines):
+        if line.glyphs:
+            offset = (available - line.visual_width) * {"center": 0.5, "right": 1.0}.get(align, 0.0)
+            shifts = justify_shifts([g.text for g in line.glyphs], line.visual_width, available, line.ends_paragraph) if align == "justify" else None
+            out.append(paint_line(line, pens, size, x + offset, y - k * height, shifts))
+    return "\n".join([*out, "Q"]).encode()
+
+
+@dataclass
+class Drawn:
+    """What was measured and drawn; ``last_baseline`` in points from the page's foot."""
+
+    lines: list[Line]
+    width: float
+    height: float
+    line_height: float
+    last_baseline: float
+
+
+def measure(text: str, fonts: list[OpenType], size: float = 12.0, max_width: float | None = None, line_height: float | None = None, letter_spacing: float = 0.0, shaper: Shaper | None = None, y: float = 0.0) -> Drawn:
+    """A text's lines and extent, as ``Drawing.draw`` would draw them."""
+    lines = layout(text, fonts, size, math.inf if max_width is None else max_width, shaper, letter_spacing)
+    height = line_height or (fonts[0].ascender - fonts[0].descender) / fonts[0].upem * size * LINE_HEIGHT
+    return Drawn(lines, max((ln.visual_width for ln in lines), default=0.0), len(lines) * height, height, y - max(0, len(lines) - 1) * height)
+
+
+def written(value) -> bytes:
+    """A PDF value in the file's syntax."""
+    if isinstance(value, Name):
+        return b"/" + re.sub(rb"[^!-~]|[#%()/<>\[\]{}]", lambda m: b"#%02X" % m[0][0], value.encode("latin-1", "replace"))
+    if isinstance(value, bool) or value is None:
+        return {True: b"true", False: b"false", None: b"null"}[value]
+    if isinstance(value, bytes):
+        return b"<" + value.hex().encode() + b">"
+    if isinstance(value, Ref):
+        return b"%d %d R" % (value.number, value.generation)
+    if isinstance(value, Stream):
+        return written({**value.dict, "Length": len(value.raw)}) + b"\nstream\n" + value.raw + b"\nendstream"
+    if isinstance(value, list):
+        return b"[" + b" ".join(map(written, value)) + b"]"
+    if isinstance(value, dict):
+        return b"<< " + b" ".join(written(Name(k)) + b" " + written(v) for k, v in value.items()) + b" >>"
+    return number(value).encode() if is_number(value) else str(value).encode("latin-1", "replace")
+
+
+class Drawing:
+    """Draws texts on the pages of a file, or of a new one; ``save`` gives the file with each font embedded once."""
+
+    def __init__(self, data: bytes | None = None):
+        file = PdfFile(data) if data else None
+        if file is not None and file.is_encrypted:
+            raise ValueError("an encrypted file can't be drawn on")
+        self.objects: dict[int, object] = {}
+        self.pages: list[int] = []
+        if file is not None:
+            kept = ((n, file.object(n)) for n in file.numbers())
+            self.objects = {n: o for n, o in kept if not (isinstance(o, Stream) and o.dict.get("Type") in ("ObjStm", "XRef"))}
+            root = file.trailer.get("Root")
+            self.root = root if isinstance(root, Ref) else self._add(root if isinstance(root, dict) else {"Type": Name("Catalog")})
+            # what is drawn on gets its own resources, as inherited ones may be shared
+            for n, page in file.numbered_pages():
+                page = {k: v for k, v in page.items() if k != "Resources"} | {"Resources": file.resolve(page.get("Resources")) or {}}
+                page["Resources"] = {k: file.resolve(v) if k in ("Font", "ExtGState") else v for k, v in page["Resources"].items()}
+                n = self._add(page).number if n is None else n
+                self.objects[n] = page
+                self.pages.append(n)
+        else:
+            self.root = self._add({"Type": Name("Catalog"), "Pages": Ref(2)})
+            self._add({"Type": Name("Pages"), "Kids": [], "Count": 0})
+        self.pens: dict[int, tuple[str, CidFont]] = {}
+        self.painted: dict[int, list[bytes]] = {}
+        self.alphas: dict[float, str] = {}
+
+    def _add(self, value) -> Ref:
+        number = max(self.objects, default=0) + 1
+        self.objects[number] = value
+        return Ref(number)
+
+    def add_page(self, width: float = 612.0, height: float = 792.0) -> int:
+        """A new last page; gives its number, from 1."""
+        tree = self.objects[self.root.number].get("Pages")
+        page = {"Type": Name("Page"), "Parent": tree, "MediaBox": [0, 0, width, height], "Resources": {}}
+        ref = self._add(page)
+        node = self.objects[tree.number]
+        node["Kids"] = [*node.get("Kids", []), ref]
+        node["Count"] = node.get("Count", 0) + 1
+        self.pages.append(ref.number)
+        return len(self.pages)
+
+    def draw(self, page: int, text: str, fonts: list[OpenType], x: float = 0.0, y: float = 0.0, size: float = 12.0, max_width: float | None = None, align: str = "left", line_height: float | None = None, letter_spacing: float = 0.0, color: tuple[float, float, float] | None = None, opacity: float = 1.0, shaper: Shaper | None = None) -> Drawn:
+        """Draw ``text`` on page ``page`` (from 1), the first base line at (x, y). Without ``max_width`` lines are not broken and align in the widest."""
+        out = measure(text, fonts, size, max_width, line_height, letter_spacing, shaper, y)
+        for f in fonts:
+            self.pens.setdefault(id(f), (f"Quire{len(self.pens)}", CidFont(f)))
+        pens = [self.pens[id(f)] for f in fonts]
+        alpha = self.alphas.setdefault(opacity, f"QuireA{len(self.alphas)}") if opacity < 1 else None
+        available = out.width if max_width is None else max_width
+        self.painted.setdefault(self.pages[page - 1], []).append(paint_block(out.lines, pens, size, x, y, out.line_height, available, align, color, alpha))
+        return out
+
+    def save(self) -> bytes:
+        objects = dict(self.objects)
+        at, names = max(objects, default=0), {}
+        for name, cid in self.pens.values():
+            for body in cid.objects(at + 1):
+                at += 1
+                objects[at] = body
+            names[name] = Ref(at)
+        alphas = {name: {"ca": opacity} for opacity, name in self.alphas.items()}
+        for n, drawn in self.painted.items():
+            page, resources = dict(objects[n]), dict(objects[n]["Resources"])
+            resources["Font"] = dict(resources.get("Font") or {}) | names
+            if alphas:
+                resources["ExtGState"] = dict(resources.get("ExtGState") or {}) | alphas
+            before = page.get("Contents")
+            held = objects.get(before.number) if isinstance(before, Ref) else before
+            before = held if isinstance(held, list) else [] if before is None else [before]
+            # what is there is closed off, so that its state does not reach what is drawn
+            at += 2
+            objects[at - 1], objects[at] = _stream(b"q"), _stream(b"Q\n" + b"\n".join(drawn))
+            objects[n] = page | {"Resources": resources, "Contents": [Ref(at - 1), *before, Ref(at)]}
+        return _file({n: o if isinstance(o, bytes) and n not in self.objects else written(o) for n, o in objects.items()}, self.root.number)
+
+
 def render_pdf(text: str, fonts: list[OpenType], size: float = 12.0, width: float = 468.0, align: str = "left", margin: float = 72.0, page: tuple[float, float] = (612.0, 792.0), shaper: Shaper | None = None, color: tuple[float, float, float] | None = None, opacity: float = 1.0, line_height: float | None = None, letter_spacing: float = 0.0) -> bytes:
     """A PDF file of ``text``, broken over pages; the first font is drawn with, the others where it has no glyph."""
     cids = [CidFont(f) for f in fonts]
     height = line_height or (fonts[0].ascender - fonts[0].descender) / fonts[0].upem * size * LINE_HEIGHT
     per_page = max(1, int((page[1] - 2 * margin) / height))
     lines = layout(text, fonts, size, width, shaper, letter_spacing)
-    state = [f"{' '.join(map(number, color))} rg"] if color else []
-    state += ["/A0 gs"] * (opacity < 1)
-    contents = []
-    for start in range(0, len(lines), per_page):
-        painted = ["q", *state]
-        for k, line in enumerate(lines[start : start + per_page]):
-            if line.glyphs:
-                offset = (width - line.visual_width) * {"center": 0.5, "right": 1.0}.get(align, 0.0)
-                shifts = justify_shifts([g.text for g in line.glyphs], line.visual_width, width, line.ends_paragraph) if align == "justify" else None
-                painted.append(paint_line(line, cids, size, margin + offset, page[1] - margin - fonts[0].ascender / fonts[0].upem * size - k * height, shifts))
-        contents.append("\n".join([*painted, "Q"]).encode())
+    pens = [(f"F{i}", c) for i, c in enumerate(cids)]
+    top = page[1] - margin - fonts[0].ascender / fonts[0].upem * size
+    contents = [paint_block(lines[at : at + per_page], pens, size, margin, top, height, width, align, color, "A0" if opacity < 1 else None) for at in range(0, len(lines), per_page)]
     bodies: list[bytes] = [b"<< /Type /Catalog /Pages 2 0 R >>", b""]
     names = []
     for i, c in enumerate(cids):
@@ -279,6 +404,38 @@ def render(df: DataFrame, font_files: list[bytes], id_col: str = "doc_id", text_
     return rows.mapInArrow(run, f"{id_col} {dict(rows.dtypes)[id_col]}, content binary")
 
 
+def draw(df: DataFrame, font_files: list[bytes], id_col: str = "doc_id", content_col: str = "content", text_col: str = "text", page: int = 1, **options) -> DataFrame:
+    """``<id>, content, width, height, last_baseline, error``: each row's text drawn on page ``page`` of its file.
+
+    A row without file or text, and one whose file can't be drawn on, keeps its content and says why in ``error``.
+    """
+    held = df.sparkSession.sparkContext.broadcast(font_files)
+    rows = df.select(id_col, content_col, text_col)
+    types = pa.schema([("content", pa.binary()), ("width", pa.float64()), ("height", pa.float64()), ("last_baseline", pa.float64()), ("error", pa.string())])
+
+    def one(fonts: list[OpenType], content: bytes | None, text: str | None) -> tuple:
+        if content is None or text is None:
+            return content, None, None, None, "no file" if content is None else "no text"
+        try:
+            drawing = Drawing(content)
+            if not 1 <= page <= len(drawing.pages):
+                return content, None, None, None, f"no page {page}"
+            done = drawing.draw(page, text, fonts, **options)
+            return drawing.save(), done.width, done.height, done.last_baseline, None
+        except Exception as e:  # a damaged file must not fail its task
+            return content, None, None, None, f"{type(e).__name__}: {e}"[:500]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fonts = [OpenType.parse(f) for f in held.value]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 50):
+                part = batch.slice(at, 50)
+                done = [one(fonts, c, t) for c, t in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(list(c), f.type) for c, f in zip(zip(*done), types))], [id_col, *types.names])
+
+    return rows.mapInArrow(run, f"{id_col} {dict(rows.dtypes)[id_col]}, content binary, width double, height double, last_baseline double, error string")
+
+
 def plain_pdf(text: str, lines_per_page: int = 60) -> bytes:
     """A PDF file in a standard font, one show per line; characters beyond Latin-1 become '?'."""
     lines = text.split("\n")
@@ -296,13 +453,16 @@ def plain_pdf(text: str, lines_per_page: int = 60) -> bytes:
     return _file(bodies)
 
 
-def _file(bodies: list[bytes]) -> bytes:
-    out, starts = bytearray(b"%PDF-1.5\n%\xe2\xe3\xcf\xd3\n"), []
-    for n, body in enumerate(bodies, 1):
-        starts.append(len(out))
+def _file(bodies: list[bytes] | dict[int, bytes], root: int = 1) -> bytes:
+    """A file of numbered objects (a list: from 1 on) with its table of where they start."""
+    bodies = bodies if isinstance(bodies, dict) else dict(enumerate(bodies, 1))
+    out, starts = bytearray(b"%PDF-1.5\n%\xe2\xe3\xcf\xd3\n"), {}
+    for n, body in sorted(bodies.items()):
+        starts[n] = len(out)
         out += b"%d 0 obj\n%s\nendobj\n" % (n, body)
-    table, at, size = b"".join(b"%010d 00000 n \n" % s for s in starts), len(out), len(bodies) + 1
-    return bytes(out) + b"xref\n0 %d\n0000000000 65535 f \n%strailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (size, table, size, at)
+    size, at = max(bodies, default=0) + 1, len(out)
+    table = b"".join(b"%010d 00000 n \n" % starts[n] if n in starts else b"0000000000 65535 f \n" for n in range(1, size))
+    return bytes(out) + b"xref\n0 %d\n0000000000 65535 f \n%strailer\n<< /Size %d /Root %d 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (size, table, size, root, at)
 
 
 def render_plain(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

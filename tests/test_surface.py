@@ -2,8 +2,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.functions.register import register
-from quire.operators import measure
+from quire.functions import bijoy
+from quire.functions.fonts import FontShaper, load_font
+from quire.functions.register import register, register_files
+from quire.operators import layout, measure
+from quire.sources import pdf_writer
 from tests import pdf_maker as make
 
 
@@ -39,12 +42,42 @@ def test_sql_surface(spark):
     register(spark)
     assert spark.sql("SELECT bijoy_to_unicode('wK') AS t").first()[0] == "কি"
     assert [tuple(r) for r in spark.sql("SELECT kind, value FROM pdf_tokens(CAST('BT (a) Tj' AS BINARY))").collect()] == [("operator", '"BT"'), ("bytes", '"a"'), ("operator", '"Tj"')]
-    spark.createDataFrame([(make.one_page(b"BT ET"), make.table_font({"cmap": make.cmap12({65: 1}), **make.simple_tables()}))], "pdf binary, font binary").createOrReplaceTempView("held")
+    spark.createDataFrame([(make.one_page(b"BT ET"), make.table_font({"cmap": make.cmap12({65: 1, 32: 2}), **make.simple_tables()}))], "pdf binary, font binary").createOrReplaceTempView("held")
     assert spark.sql("SELECT obj_num FROM held, LATERAL pdf_objects(pdf, '')").count() == 5
-    assert tuple(spark.sql("SELECT code_point, gid, advance FROM held, LATERAL font_cmap(font)").first()) == (65, 1, 500)
+    assert tuple(spark.sql("SELECT code_point, gid, advance FROM held, LATERAL font_cmap(font)").collect()[1]) == (65, 1, 500)
+    texts = ["wK", "Avgvi ‡mvbvi", "কি", "", "abc 日本", None]
+    spark.createDataFrame([(t,) for t in texts], "t string").createOrReplaceTempView("texts")
+    got = {r["t"]: (r["c"], r["f"]) for r in spark.sql("SELECT t, bijoy_confidence(t) AS c, looks_like_bijoy_font(t) AS f FROM texts").collect()}
+    assert all(got[t][0] == pytest.approx(bijoy.confidence_text(t)) for t in texts if t is not None) and got[None] == (None, None) or got[None][0] == 0
+    assert spark.sql("SELECT looks_like_bijoy_font('AAAAAA+Sutonny-OMJ')").first()[0] is True and spark.sql("SELECT looks_like_bijoy_font('Arial')").first()[0] is False
+    assert [tuple(r) for r in spark.sql("SELECT page_no, text FROM held, LATERAL pdf_runs(render_pdf('AA A', font, 12, 100), '')").collect()] == [(1, "AA A")]
     assert [r[0] for r in spark.sql("SELECT text FROM wrap_lines('ab cd', 4) ORDER BY line_no").collect()] == ["ab ", "cd"]
 
 
+def test_views_of_files(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(pdf_writer.plain_pdf("first line\nsecond"))
+    (tmp_path / "b.txt").write_bytes(b"no file of this kind")
+    register_files(spark, str(tmp_path), "held")
+    got = {r["doc_id"].rsplit("/", 1)[1]: r["text"] for r in spark.sql("SELECT doc_id, text FROM held_documents").collect()}
+    assert got == {"a.pdf": "first line\nsecond", "b.txt": ""}
+    assert spark.sql("SELECT count(*) FROM held_operators WHERE operator = 'Tj'").first()[0] == 2
+    assert spark.sql("SELECT base_font FROM held_fonts").first()[0] == "Helvetica" and spark.sql("SELECT * FROM held_pages").count() == 1
+
+
+def test_fonts_as_measures(spark, tmp_path):
+    font = make.table_font({"cmap": make.cmap12({ord(c): 1 + i for i, c in enumerate("abc de")}), **make.simple_tables()})
+    (tmp_path / "f.ttf").write_bytes(font)
+    assert load_font(spark, f"{tmp_path}/f.ttf") == font
+    with pytest.raises(ValueError, match="no font"):
+        load_font(spark)
+    spark.conf.set("spark.quire.defaultFont", f"{tmp_path}/f.ttf")
+    assert load_font(spark) == font
+    spark.conf.unset("spark.quire.defaultFont")
+    df = spark.createDataFrame([(1, "abc de abc"), (2, None)], "doc_id long, text string")
+    lines = layout.wrap_lines(df, "doc_id", "text", 35.0, FontShaper((font,), 10.0)).orderBy("line_no").collect()
+    assert [(r["text"], r["visual_width"]) for r in lines] == [("abc de ", 30.0), ("abc", 15.0)]  # half an em each
+
+
 @pytest.mark.parametrize("name", ["entry", "queries", "oracle_sql"])
 def test_entry_contract(spark, name):
     import __spark_entry__ as e

@@ -209,6 +209,19 @@ def test_relational_steps(spark):
     assert sorted(r[0] for r in relational.closure(edges, spark.createDataFrame([(1,)], "node long")).collect()) == [1, 2, 3]
 
 
+def test_nothing_is_cut_short(spark):
+    deep = spark.createDataFrame([(i, i - 1 if i else None, 0, "a" if i == 0 else None) for i in range(70)], "id long, parent long, ord long, media string")
+    got = relational.inherited_tree(deep, ["media"]).collect()
+    assert len(got) == 70 and {r["media"] for r in got} == {"a"} and max(r["level"] for r in got) == 69 and max(len(r["path"]) for r in got) == 70
+    loop = spark.createDataFrame([("r", None, 0, "x"), ("a", "r", 0, None), ("b", "a", 0, None), ("a", "b", 1, None)], "id string, parent string, ord long, media string")
+    assert sorted(r["id"] for r in relational.inherited_tree(loop, ["media"]).collect()) == ["a", "b", "r"]
+    chain = spark.createDataFrame([(i, i + 1) for i in range(104)], "src long, dst long")
+    assert relational.closure(chain, spark.createDataFrame([(0,)], "node long")).count() == 105
+    ranges = spark.createDataFrame([(0, 199_999), (5, 4), (7, 7), (-2, 1)], "low long, high long")
+    assert relational.expand_ranges(ranges, "low", "high", "v").count() == 200_005
+    assert relational.expand_ranges(ranges, "low", "high", "v", most=4).select("v").distinct().count() == 5
+
+
 def test_oracles_agree_on_the_smallest_tables(spark):
     import duckdb
 

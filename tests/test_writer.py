@@ -8,7 +8,7 @@ from quire.functions import shaping
 from quire.functions.shaping import Glyph, clusters
 from quire.operators.layout import breakable
 from quire.sources import pdf, pdf_writer
-from quire.sources.opentype import OpenType
+from quire.sources.opentype import GlyphText, OpenType
 from quire.sources.pdf_content import PageReader
 from quire.sources.pdf_file import PdfFile
 from quire.sources.pdf_fonts import page_fonts
@@ -82,6 +82,44 @@ def test_many_pages():
     assert [len(p) for p in read(pdf_writer.render_pdf("a\n" * 100, [FONT], 12, 50, shaper=shaping.simple_shaper))] == [45, 45, 10]
 
 
+def test_drawing_on_pages(spark):
+    base = pdf_writer.plain_pdf("there before\nsecond")
+    drawing = pdf_writer.Drawing(base)
+    one = drawing.draw(1, "abc def ghi", [FONT], 20, 300, 10, max_width=50, shaper=shaping.simple_shaper)
+    assert [ln.text for ln in one.lines] == ["abc def ", "ghi"] and one.line_height == pytest.approx(12.0) and one.last_baseline == pytest.approx(288.0) and one.width == 35
+    drawing.draw(1, "কত", [FONT], 20, 200, opacity=0.5, color=(1, 0, 0), shaper=shaping.simple_shaper)
+    second = drawing.add_page()
+    assert second == 2 and drawing.draw(second, "hij", [FONT], 5, 5, align="right", shaper=shaping.simple_shaper).last_baseline == 5
+    data = drawing.save()
+    assert read(data) == [["there before", "second", "abc def ", "ghi", "কত"], ["hij"]]
+    file = PdfFile(data)
+    assert len({n for n in file.numbers() if isinstance(o := file.object(n), dict) and o.get("Subtype") == "Type0"}) == 1  # embedded once
+    again = pdf_writer.Drawing(data)
+    again.draw(2, "abc", [FONT], 5, 50, shaper=shaping.simple_shaper)
+    assert read(again.save())[1] == ["hij", "abc"] and read(again.save())[0][0] == "there before"
+    fresh = pdf_writer.Drawing()
+    fresh.draw(fresh.add_page(100, 100), "a", [FONT], shaper=shaping.simple_shaper)
+    assert read(fresh.save()) == [["a"]] and PdfFile(fresh.save()).pages()[0]["MediaBox"] == [0, 0, 100, 100]
+    assert read(pdf_writer.Drawing(make.packed(b"BT /F1 9 Tf (in streams) Tj ET")).save()) == [["in streams"]]
+
+
+def test_drawing_as_rows(spark):
+    base = pdf_writer.plain_pdf("x")
+    rows = [(1, base, "abc"), (2, None, "abc"), (3, base, None), (4, b"%PDF-1.4 junk", "abc")]
+    df = spark.createDataFrame(rows, "doc_id long, content binary, text string")
+    got = {r["doc_id"]: r for r in pdf_writer.draw(df, [face()], x=10.0, y=100.0, size=10.0).collect()}
+    assert read(bytes(got[1]["content"])) == [["x", "abc"]] and got[1]["last_baseline"] == 100 and got[1]["width"] == 15 and got[1]["error"] is None
+    assert (got[2]["content"], got[2]["error"], got[3]["error"]) == (None, "no file", "no text") and bytes(got[3]["content"]) == base and got[4]["error"]
+
+
+@pytest.mark.parametrize("value", [None, True, 3, -2.5, b"a(b)\\", "x"])
+def test_values_are_written_as_they_are_read(value):
+    from quire.sources.pdf_syntax import Name, Ref, Scanner
+
+    for v in ([value] if not isinstance(value, str) else [Name("A B#/(")], {"K y": Ref(3, 1), "L": [value] if not isinstance(value, str) else [Name(value)]}):
+        assert next(iter(Scanner(pdf_writer.written(v)))) == v
+
+
 def test_subset():
     small = pdf_writer.subset_font(FONT, {30})
     cut = OpenType.parse(small)
@@ -118,6 +156,30 @@ def test_glyph_texts():
 def test_harfbuzz_agrees_on_plain_text():
     a, b = shaping.harfbuzz_shaper(FONT, "abc de"), shaping.simple_shaper(FONT, "abc de")
     assert [(g.gid, g.cluster, g.source, g.x_advance) for g in a] == [(g.gid, g.cluster, g.source, g.x_advance) for g in b]
+    assert shaping.harfbuzz_shaper(FONT, "abc", "Latn", "bn") == a[:3] and shaping.best_shaper("bn")(FONT, "abc", "Zyyy") == a[:3]
+
+
+@pytest.mark.skipif(not shaping.harfbuzz_available(), reason="no HarfBuzz here")
+def test_harfbuzz_forms_bengali_conjuncts():
+    """A ligature rule of the font applies, a vowel sign is drawn before its cluster, and the glyphs read back to the text."""
+    ka, ta, virama, sign = 0x0995, 0x09A4, 0x09CD, 0x09BF
+    font = make.table_font({"cmap": make.cmap12({ka: 1, ta: 2, sign: 3, 0x09B0: 4, virama: 5, 0x25CC: 8}), **make.simple_tables(), "GSUB": make.gsub_ligatures({(1, 5, 2): 20}, b"akhn", b"bng2")})
+    face = OpenType.parse(font)
+    text = chr(ka) + chr(virama) + chr(ta) + chr(sign)
+    glyphs = shaping.harfbuzz_shaper(face, text, "Beng")
+    assert [g.gid for g in glyphs] == [3, 20] and {g.cluster for g in glyphs} == {0}
+    assert [c.text for c in clusters(glyphs, text)] == [text]
+    back = GlyphText(face, replay=shaping.replay_factory(face))
+    assert back.read([3, 20]) == text
+    data = pdf_writer.render_pdf(text + " " + chr(ka), [face], 12, 200, shaper=shaping.harfbuzz_shaper)
+    assert read(data) == [[text + " " + chr(ka)]]
+
+
+@pytest.mark.skipif(not shaping.harfbuzz_available(), reason="no HarfBuzz here")
+def test_fonts_of_the_library_are_freed():
+    held = shaping._Fonts(2)
+    fonts = [OpenType.parse(make.table_font({"cmap": make.cmap12({65: 1 + i}), **make.simple_tables()})) for i in range(5)]
+    assert all(held.get(f) for f in fonts) and len(held.held) == 2 and held.get(fonts[-1]) == held.get(fonts[-1])
 
 
 def test_written_files_are_read_by_the_source(spark, tmp_path):
