@@ -83,9 +83,10 @@ def _find(keys: np.ndarray, asked: np.ndarray, *values: np.ndarray) -> list[np.n
     """For each value table, what it holds for ``asked`` in the sorted ``keys``; 0 for keys that aren't there."""
     if not len(keys):
         return [np.zeros(len(asked), v.dtype) for v in values]
+    asked, places = np.unique(asked, return_inverse=True)  # in order, a search walks through memory once
     at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
     hit = keys[at] == asked
-    return [np.where(hit, v[at], 0) for v in values]
+    return [np.where(hit, v[at], 0)[places] for v in values]
 
 
 class Models:

@@ -31,6 +31,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -179,11 +180,12 @@ class Toxicity:
         if "cache" not in self.__dict__:
             self.cache = WordCache(lambda words: self.models.ratios(words).tolist(), 150_000)
         out = np.zeros((len(texts), len(FEATURES)))
-        for i, text in enumerate(texts):
-            words = words_of(text)
+        split = list(map(words_of, texts))
+        get = self.cache.fill(chain.from_iterable(split))
+        for i, words in enumerate(split):
             if not words:
                 continue
-            v = np.fromiter(map(self.cache.fill(words), words), np.float32, len(words))
+            v = np.fromiter(map(get, words), np.float32, len(words))
             n = np.fromiter(map(len, words), np.float32, len(words)) + 1
             each = v / n
             k = min(3, len(words))
@@ -213,8 +215,8 @@ def _with_features(df: DataFrame, text_col: str, model: Toxicity) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
                 x = held.value.features(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x[:, j]) for j in range(len(FEATURES)))], [*part.schema.names, *FEATURES])
 
