@@ -1,56 +1,30 @@
 """The registered queries over the driver's tables and their DuckDB SQL.
 
-The tables hold no PDF bytes and no Bengali text, so queries on them exercise
-the dataflow of each operator; fidelity to the formats and the script is shown
-by the tests' golden texts and synthesised files.
+The tables hold no PDF bytes and no Bengali text: queries here exercise the
+dataflow of each operator on them, those of ``file_queries`` make files of the
+rows and read them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions import bengali, bijoy
 from quire.operators import assembly, layout, relational
+from quire.plans import fragments
+from quire.plans.fragments import ORACLE_SQL, QUERIES, query
+from quire.plans.fragments import quoted as _quoted
+from quire.plans.fragments import table as _table
 from quire.sources import pdf, pdf_writer
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-# --- shared SQL fragments ----------------------------------------------------
-
-
-def _quoted(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
 _KEYS = "".join("\\" + c if not c.isalnum() else c for c in bijoy.ascii_keys())
 _SQL_CONFIDENCE = f"""CASE WHEN length(text) = 0 OR regexp_matches(text, '[\\x{{0980}}-\\x{{09FF}}]') THEN 0.0
   WHEN length(regexp_replace(text, '[^\\x21-\\x7E\\x{{80}}-\\x{{10FFFF}}]', '', 'g')) = 0 THEN 0.0
   ELSE least(1.0::DOUBLE, length(regexp_replace(text, {_quoted(f'[^{_KEYS}\\x{{80}}-\\x{{10FFFF}}]')}, '', 'g'))::DOUBLE
     / length(regexp_replace(text, '[^\\x21-\\x7E\\x{{80}}-\\x{{10FFFF}}]', '', 'g'))) END"""
-_TABLE = bijoy.conversion_table()
-_SQL_MAP = "MAP {" + ", ".join(f"{_quoted(k)}: {_quoted(v)}" for k, v in _TABLE.items()) + "}"
-_SQL_SUBSTITUTE = f"""array_to_string(list_transform(regexp_extract_all(translate(text, {_quoted(bijoy.ALIASES[0])}, {_quoted(bijoy.ALIASES[1])}), {_quoted(bijoy.substitution_pattern())}),
-  lambda p: coalesce(codes.m[p], p)), '')"""
+_SQL_MAP, _SQL_SUBSTITUTE, _SQL_PRE_BASE = fragments.SQL_MAP, fragments.substitute_sql("text"), fragments.SQL_PRE_BASE
 
 
 def _values(rows: list[tuple]) -> str:
@@ -81,21 +55,17 @@ def bijoy_substitute_by_doc(spark, sf_dir):
     return docs.select("doc_id", F.md5(bijoy.substitute(bijoy.canonical(F.col("text")))).alias("digest"))
 
 
-_CONSONANTS, _TAILS_ = bijoy.CONSONANT, bijoy.CLUSTER_TAIL
-_SQL_PRE_BASE = _quoted(f"([{bengali.PRE_BASE}])([{_CONSONANTS}](?:[{_TAILS_}]|{bengali.VIRAMA}[{_CONSONANTS}])*)")
-
-
 @query(f"WITH codes AS (SELECT {_SQL_MAP} AS m) SELECT doc_id, md5(regexp_replace({_SQL_SUBSTITUTE}, {_SQL_PRE_BASE}, '\\2\\1', 'g')) AS digest FROM documents, codes")
 def bijoy_reorder_prebase(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.md5(bijoy.reorder_pre_base(bijoy.substitute(bijoy.canonical(F.col("text"))))).alias("digest"))
 
 
-@query()
+@query(f"""WITH codes AS (SELECT {_SQL_MAP} AS m), t AS (SELECT doc_id, {fragments.unicode_sql("text")} AS t FROM documents, codes) SELECT doc_id, md5(t) AS digest, CAST(length(t) AS INTEGER) AS chars FROM t""")
 def bijoy_to_unicode_by_doc(spark, sf_dir):
-    """The whole conversion; the reph step looks back without bound, so tests compare it with a character loop."""
-    docs = _table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.md5(bijoy.to_unicode("text")).alias("digest"), F.length(bijoy.to_unicode("text")).alias("chars"))
+    """The whole conversion, signs and rephs moved to where they are typed."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", bijoy.to_unicode("text").alias("t"))
+    return docs.select("doc_id", F.md5("t").alias("digest"), F.length("t").alias("chars"))
 
 
 # Published conversion pairs.
@@ -142,8 +112,8 @@ def indic_category_counts(spark, sf_dir):
 def malformed_word_rate(spark, sf_dir):
     """Substituted but not reordered text, which breaks the spelling rules often enough to count."""
     docs = _table(spark, sf_dir, "documents").select("lang", bijoy.substitute(bijoy.canonical(F.col("text"))).alias("converted"))
-    words = docs.select("lang", F.explode(bengali.bengali_words(F.col("converted"))).alias("word"))
-    return words.groupBy("lang").agg(F.count(F.lit(1)).alias("words"), F.count_if(F.col("word").rlike(bengali.MALFORMED)).alias("malformed"))
+    words = F.size(bengali.bengali_words(F.col("converted")))
+    return docs.groupBy("lang").agg(F.sum(words).cast("long").alias("words"), F.sum(F.size(bengali.malformed_words(F.col("converted")))).cast("long").alias("malformed")).where("words > 0")
 
 
 @query("""SELECT 'documents' AS relation, count(*) AS items, count(*) FILTER (WHERE NOT regexp_matches(text, '\\p{L}')) AS wordless FROM documents
@@ -166,7 +136,8 @@ _SQL_RUNS = f"""runs AS (SELECT doc_id, pos - 1 AS run_seq, toks[pos] AS text, -
 
 def _token_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One run per token of each whole document, twelve to a line, each its own text object."""
-    toks = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0))).alias("run_seq", "text"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")  # texts move once, not their tokens
+    toks = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0))).alias("run_seq", "text"))
     return toks.select("doc_id", F.lit(1).alias("page_no"), "run_seq", "text", F.lit(0.0).alias("x"), (-12.0 * F.floor(F.col("run_seq") / 12)).alias("y"), F.lit(12.0).alias("font_size"), F.col("run_seq").alias("object_index"))
 
 
@@ -205,15 +176,7 @@ def _flagged(spark, sf_dir) -> DataFrame:
 
 
 def _tallies(spark, sf_dir) -> DataFrame:
-    """The counts of ``assemble_pages`` without its text."""
-    runs = _flagged(spark, sf_dir).withColumn("bj", F.col("is_bijoy") & (bijoy.confidence(F.col("text")) > 0))
-    plain = ~F.col("bj")
-    return runs.groupBy("doc_id", "page_no").agg(
-        F.count_if(F.col("bj") | (plain & ~F.col("is_inferred") & ~F.col("is_unmapped"))).alias("mapped"),
-        F.count_if(plain & F.col("is_inferred")).alias("inferred"),
-        F.count_if(plain & ~F.col("is_inferred") & F.col("is_unmapped")).alias("unmapped"),
-        F.bool_or("bj").alias("saw_bijoy"),
-    )
+    return assembly.assemble_pages(_flagged(spark, sf_dir))
 
 
 @query(f"""{_SQL_TALLY} SELECT doc_id, m + bj AS mapped, i AS inferred, u AS unmapped,
@@ -331,8 +294,8 @@ def inherited_tree(spark, sf_dir):
 def closure(spark, sf_dir):
     """Composite glyphs: everything reachable from the used ones."""
     supplier = _table(spark, sf_dir, "supplier")
-    total = supplier.agg(F.count(F.lit(1)).alias("total"))  # one row
-    edges = supplier.join(F.broadcast(total)).select(F.col("s_suppkey").alias("src"), ((F.col("s_suppkey") * 7 + F.col("s_nationkey")) % F.col("total")).alias("dst")).distinct()
+    total = supplier.count()
+    edges = supplier.select(F.col("s_suppkey").alias("src"), ((F.col("s_suppkey") * 7 + F.col("s_nationkey")) % F.lit(total)).alias("dst")).distinct()
     return relational.closure(edges, supplier.where("s_nationkey = 3").select(F.col("s_suppkey").alias("node")))
 
 
@@ -371,15 +334,19 @@ def utf16_hex(spark, sf_dir):
 # --- layout -----------------------------------------------------------------------
 
 
-@query()
+_SQL_WRAP = fragments.wrap_sql("documents", "doc_id", "text", 40)
+
+
+@query(f"{_SQL_WRAP} SELECT id AS doc_id, count(*) AS lines, CAST(max(seen) AS DOUBLE) AS widest, count(*) FILTER (WHERE ends) AS paragraphs FROM lines GROUP BY id")
 def greedy_wrap(spark, sf_dir):
-    """Line breaking over whole documents at 40 units, one per character; tests compare it with a plain loop."""
+    """Line breaking over whole documents at 40 units, one per character."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     lines = layout.wrap_lines(docs, "doc_id", "text", 40.0)
     return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.max("visual_width").alias("widest"), F.count_if("ends_paragraph").alias("paragraphs"))
 
 
-@query()
+@query(f"""{_SQL_WRAP}, g AS (SELECT *, 40 - seen AS slack, length(rtrim(line, ' ')) - length(replace(rtrim(line, ' '), ' ', '')) AS gaps FROM lines)
+  SELECT id AS doc_id, CAST(sum(slack) AS DOUBLE) AS right, CAST(sum(slack) AS DOUBLE) / 2 AS centre, round(max(CASE WHEN NOT ends AND slack > 0 AND gaps > 0 THEN slack::DOUBLE / gaps END), 9) AS widest_gap FROM g GROUP BY id""")
 def align_justify(spark, sf_dir):
     """Offsets of each alignment and the widest gap that justification opens, by document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -425,3 +392,8 @@ def pdf_object_kinds(spark, sf_dir):
     """Objects by kind: a content stream and a page dictionary per page, and catalogue, page tree and font."""
     found = pdf.objects(_files(spark, sf_dir)).groupBy("doc_id").agg(F.count_if(F.col("kind") == "stream").alias("streams"), F.count_if(F.col("kind") == "dict").alias("dicts"))
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), "streams", "dicts")
+
+
+from quire.plans import file_queries  # noqa: E402, F401  (registers its queries)
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

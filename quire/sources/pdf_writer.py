@@ -218,12 +218,13 @@ def layout(text: str, fonts: list[OpenType], size: float, limit: float, shaper:
     return lines
 
 
-def paint_line(line: Line, pens: list[tuple[str, CidFont]], size: float, x: float, y: float, shifts: list[float] | None) -> str:
+def paint_line(line: Line, pens: list[tuple[str, CidFont]], size: float, x: float, y: float, shifts: list[float] | None, actual_text: bool = True) -> str:
     """The operators of a line: its text as ActualText, spacing glyphs by font, then marks one by one. ``pens``: resource name and codes of each font."""
     cids = [c for _, c in pens]
     shifted = [(g, x + g.x + (shifts[i] if shifts else 0.0)) for i, g in enumerate(line.glyphs)]
     mark = lambda g: g.advance == 0 and (g.x != 0 or g.y_offset != 0)
-    out = [f"/Span << /ActualText <FEFF{hex_text(line.text)}> >> BDC"] if line.text else []
+    spanned = actual_text and bool(line.text)
+    out = [f"/Span << /ActualText <FEFF{hex_text(line.text)}> >> BDC"] if spanned else []
     shows: list[tuple[int, float, float, list[str]]] = []
     pen = 0.0
     for g, at in (p for p in shifted if not mark(p[0])):
@@ -235,17 +236,17 @@ def paint_line(line: Line, pens: list[tuple[str, CidFont]], size: float, x: floa
         pen = at + g.advance * size / cids[g.font].font.upem
     shows += [(g.font, at, y + g.y_offset, [f"<{cids[g.font].code(g.gid, g.text, g.advance):04X}>"]) for g, at in shifted if mark(g)]
     out += [f"BT /{pens[font][0]} {number(size)} Tf 1 0 0 1 {number(at)} {number(up)} Tm [{''.join(codes)}] TJ ET" for font, at, up, codes in shows]
-    return "\n".join([*out, "EMC"] if line.text else out)
+    return "\n".join([*out, "EMC"] if spanned else out)
 
 
-def paint_block(lines: list[Line], pens: list[tuple[str, CidFont]], size: float, x: float, y: float, height: float, available: float, align: str, color: tuple[float, float, float] | None, alpha: str | None) -> bytes:
+def paint_block(lines: list[Line], pens: list[tuple[str, CidFont]], size: float, x: float, y: float, height: float, available: float, align: str, color: tuple[float, float, float] | None, alpha: str | None, actual_text: bool = True) -> bytes:
     """The operators of lines one below the other, the first on the base line ``y``."""
     out = ["q"] + ([f"{' '.join(map(number, color))} rg"] if color else []) + ([f"/{alpha} gs"] if alpha else [])
     for k, line in enumerate(lines):
         if line.glyphs:
             offset = (available - line.visual_width) * {"center": 0.5, "right": 1.0}.get(align, 0.0)
             shifts = justify_shifts([g.text for g in line.glyphs], line.visual_width, available, line.ends_paragraph) if align == "justify" else None
-            out.append(paint_line(line, pens, size, x + offset, y - k * height, shifts))
+            out.append(paint_line(line, pens, size, x + offset, y - k * height, shifts, actual_text))
     return "\n".join([*out, "Q"]).encode()
 
 
@@ -365,15 +366,18 @@ class Drawing:
         return _file({n: o if isinstance(o, bytes) and n not in self.objects else written(o) for n, o in objects.items()}, self.root.number)
 
 
-def render_pdf(text: str, fonts: list[OpenType], size: float = 12.0, width: float = 468.0, align: str = "left", margin: float = 72.0, page: tuple[float, float] = (612.0, 792.0), shaper: Shaper | None = None, color: tuple[float, float, float] | None = None, opacity: float = 1.0, line_height: float | None = None, letter_spacing: float = 0.0) -> bytes:
-    """A PDF file of ``text``, broken over pages; the first font is drawn with, the others where it has no glyph."""
+def render_pdf(text: str, fonts: list[OpenType], size: float = 12.0, width: float = 468.0, align: str = "left", margin: float = 72.0, page: tuple[float, float] = (612.0, 792.0), shaper: Shaper | None = None, color: tuple[float, float, float] | None = None, opacity: float = 1.0, line_height: float | None = None, letter_spacing: float = 0.0, actual_text: bool = True) -> bytes:
+    """A PDF file of ``text``, broken over pages; the first font is drawn with, the others where it has no glyph.
+
+    Without ``actual_text`` readers have the fonts' character maps alone.
+    """
     cids = [CidFont(f) for f in fonts]
     height = line_height or (fonts[0].ascender - fonts[0].descender) / fonts[0].upem * size * LINE_HEIGHT
     per_page = max(1, int((page[1] - 2 * margin) / height))
     lines = layout(text, fonts, size, width, shaper, letter_spacing)
     pens = [(f"F{i}", c) for i, c in enumerate(cids)]
     top = page[1] - margin - fonts[0].ascender / fonts[0].upem * size
-    contents = [paint_block(lines[at : at + per_page], pens, size, margin, top, height, width, align, color, "A0" if opacity < 1 else None) for at in range(0, len(lines), per_page)]
+    contents = [paint_block(lines[at : at + per_page], pens, size, margin, top, height, width, align, color, "A0" if opacity < 1 else None, actual_text) for at in range(0, len(lines), per_page)]
     bodies: list[bytes] = [b"<< /Type /Catalog /Pages 2 0 R >>", b""]
     names = []
     for i, c in enumerate(cids):

@@ -1,116 +1,3 @@
-"""Small PDF files for tests, made byte by byte."""
+"""The files that tests read: see ``quire.sources.samples``."""
 
-import struct
-import zlib
-
-
-def obj(n, body):
-    return b"%d 0 obj\n%s\nendobj\n" % (n, body if isinstance(body, bytes) else body.encode("latin-1"))
-
-
-def stream(n, data, extra="", length=None):
-    return obj(n, b"<< /Length %d %s >>\nstream\n%s\nendstream" % (len(data) if length is None else length, extra.encode("latin-1"), data))
-
-
-def classic(objects, root=1, extra=""):
-    """A file with a classic cross-reference table; ``objects``: number -> bytes of the whole object."""
-    out, at = b"%PDF-1.4\n", {}
-    for n, raw in objects.items():
-        at[n] = len(out)
-        out += raw
-    start, size = len(out), max(objects) + 1
-    out += b"xref\n0 %d\n0000000000 65535 f \n" % size
-    for n in range(1, size):
-        out += b"%010d 00000 %s \n" % (at.get(n, 0), b"n" if n in at else b"f")
-    return out + b"trailer\n<< /Size %d /Root %d 0 R %s >>\nstartxref\n%d\n%%%%EOF\n" % (size, root, extra.encode("latin-1"), start)
-
-
-def one_page(content, fonts="/F1 5 0 R", font="<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>", extra=None, filters="", trailer=""):
-    objects = {
-        1: obj(1, "<< /Type /Catalog /Pages 2 0 R >>"),
-        2: obj(2, f"<< /Type /Pages /Kids [3 0 R] /Count 1 /Resources << /Font << {fonts} >> >> /MediaBox [0 0 612 792] >>"),
-        3: obj(3, "<< /Type /Page /Parent 2 0 R /Contents 4 0 R >>"),
-        4: stream(4, content, filters),
-        5: obj(5, font),
-    }
-    objects.update(extra or {})
-    return classic(objects, extra=trailer)
-
-
-def packed(content):
-    """The same with an object stream and a cross-reference stream."""
-    inner = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>", 3: b"<< /Type /Page /Parent 2 0 R /Contents 4 0 R /Resources << /Font << /F1 5 0 R >> >> >>", 5: b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>"}
-    head, body = b"", b""
-    for n, raw in inner.items():
-        head += b"%d %d " % (n, len(body))
-        body += raw + b" "
-    out, at = b"%PDF-1.5\n", {}
-    at[4] = len(out)
-    out += stream(4, zlib.compress(content), "/Filter /FlateDecode")
-    at[6] = len(out)
-    out += stream(6, zlib.compress(head + body), f"/Type /ObjStm /N {len(inner)} /First {len(head)} /Filter /FlateDecode")
-    at[7] = len(out)
-    rows = b""
-    for n in range(8):
-        if n in inner:
-            rows += struct.pack(">BHB", 2, 6, list(inner).index(n))
-        else:
-            rows += struct.pack(">BHB", 1 if n in at else 0, at.get(n, 0), 0)
-    coded = b"".join(b"\x02" + bytes((a - b) & 255 for a, b in zip(rows[i : i + 4], rows[i - 4 : i] if i else bytes(4))) for i in range(0, len(rows), 4))
-    out += stream(7, zlib.compress(coded), "/Type /XRef /Size 8 /W [1 2 1] /Root 1 0 R /Filter /FlateDecode /DecodeParms << /Predictor 12 /Columns 4 >>")
-    return out + b"startxref\n%d\n%%%%EOF\n" % at[7]
-
-
-def table_font(tables):
-    """An sfnt file of the given tables."""
-    out, body, at = struct.pack(">IHHHH", 0x00010000, len(tables), 0, 0, 0), b"", 12 + 16 * len(tables)
-    for tag in sorted(tables):
-        data = tables[tag]
-        out += tag.encode() + struct.pack(">III", 0, at + len(body), len(data))
-        body += data + bytes(-len(data) % 4)
-    return out + body
-
-
-def cmap12(pairs):
-    groups = b"".join(struct.pack(">III", c, c, g) for c, g in sorted(pairs.items()))
-    return struct.pack(">HHHHI", 0, 1, 3, 10, 12) + struct.pack(">HHIII", 12, 0, 16 + len(groups), 0, len(pairs)) + groups
-
-
-def gsub_ligatures(ligatures, feature=b"pres", script=b"beng"):
-    """A GSUB with one ligature lookup: {(first, second, ...): glyph}."""
-    by = {}
-    for parts, g in ligatures.items():
-        by.setdefault(parts[0], []).append((parts[1:], g))
-    firsts = sorted(by)
-    sets = []
-    for f in firsts:
-        ligs = [struct.pack(">HH", g, len(rest) + 1) + struct.pack(f">{len(rest)}H", *rest) for rest, g in by[f]]
-        offs, at = b"", 2 + 2 * len(ligs)
-        for lig in ligs:
-            offs += struct.pack(">H", at)
-            at += len(lig)
-        sets.append(struct.pack(">H", len(ligs)) + offs + b"".join(ligs))
-    head = 6 + 2 * len(sets)
-    offs, at = b"", head
-    for s in sets:
-        offs += struct.pack(">H", at)
-        at += len(s)
-    sub = struct.pack(">HHH", 1, at, len(sets)) + offs + b"".join(sets) + struct.pack(">HH", 1, len(firsts)) + struct.pack(f">{len(firsts)}H", *firsts)
-    lookup = struct.pack(">HHHH", 4, 0, 1, 8) + sub
-    lookups = struct.pack(">HH", 1, 4) + lookup
-    features = struct.pack(">H", 1) + feature + struct.pack(">H", 8) + struct.pack(">HHH", 0, 1, 0)
-    scripts = struct.pack(">H", 1) + script + struct.pack(">H", 8) + struct.pack(">HH", 4, 0) + struct.pack(">HHHH", 0, 0xFFFF, 1, 0)
-    a, b = 10 + len(scripts), 10 + len(scripts) + len(features)
-    return struct.pack(">HHHHH", 1, 0, 10, a, b) + scripts + features + lookups
-
-
-def simple_tables(glyphs=40, upem=1000):
-    """head, hhea, hmtx, maxp for ``glyphs`` glyphs of width 500."""
-    head = bytearray(54)
-    struct.pack_into(">III", head, 0, 0x00010000, 0, 0)
-    struct.pack_into(">I", head, 12, 0x5F0F3CF5)
-    struct.pack_into(">H", head, 18, upem)
-    hhea = bytearray(36)
-    struct.pack_into(">Ihh", hhea, 0, 0x00010000, 800, -200)
-    struct.pack_into(">H", hhea, 34, glyphs)
-    return {"head": bytes(head), "hhea": bytes(hhea), "hmtx": struct.pack(">Hh", 500, 0) * glyphs, "maxp": struct.pack(">IH", 0x00010000, glyphs)}
+from quire.sources.samples import *  # noqa: F403

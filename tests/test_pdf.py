@@ -1,5 +1,4 @@
 import base64
-import hashlib
 import json
 import random
 import struct
@@ -53,31 +52,9 @@ def test_filters():
     assert pdf_filters.decode_stream(zlib.compress(raw).hex().encode(), {"Filter": [Name("AHx"), Name("Fl")]}) == raw
 
 
-def encode_lzw(data):
-    """Codes of growing width, as a writer makes them."""
-    table, bits, n = {bytes([i]): i for i in range(256)}, "100000000", 9
-    word, size = b"", 258
-    for c in data:
-        if word + bytes([c]) in table:
-            word += bytes([c])
-            continue
-        bits += f"{table[word]:0{n}b}"
-        table[word + bytes([c])] = size
-        size += 1
-        if size in (512, 1024, 2048):
-            n += 1
-        if size == 4094:
-            bits += f"{256:0{n}b}"
-            table, n, size = {bytes([i]): i for i in range(256)}, 9, 258
-        word = bytes([c])
-    bits += f"{table[word]:0{n}b}" + f"{257:0{n}b}"
-    bits += "0" * (-len(bits) % 8)
-    return int(bits, 2).to_bytes(len(bits) // 8, "big")
-
-
 def test_lzw_widths():
     raw = random.Random(1).randbytes(3000)
-    assert pdf_filters.lzw(encode_lzw(raw)) == raw
+    assert pdf_filters.lzw(make.encode_lzw(raw)) == raw
 
 
 @pytest.mark.parametrize("kind", range(5))
@@ -131,58 +108,11 @@ def test_later_definitions_win_and_trees_may_be_broken():
     assert PdfFile(make.obj(1, "<< /A 1 0 R /B 9 0 R >>") + b"%PDF-").object(9) is None
 
 
-def legacy_encrypted(content, revision, bits, aes=False, user=b"", owner=b"own"):
-    file_id, permissions = b"0123456789abcdef", -4
-    size = 5 if revision == 2 else bits // 8
-    k = hashlib.md5((owner + pdf_crypt.PAD)[:32]).digest()
-    for _ in range(50 if revision >= 3 else 0):
-        k = hashlib.md5(k).digest()
-    o = (user + pdf_crypt.PAD)[:32]
-    for i in range(20 if revision >= 3 else 1):
-        o = pdf_crypt.rc4(bytes(b ^ i for b in k[:size]), o)
-    key = hashlib.md5((user + pdf_crypt.PAD)[:32] + o + struct.pack("<i", permissions) + file_id).digest()
-    for _ in range(50 if revision >= 3 else 0):
-        key = hashlib.md5(key[:size]).digest()
-    key = key[:size]
-    if revision == 2:
-        u = pdf_crypt.rc4(key, pdf_crypt.PAD)
-    else:
-        u = hashlib.md5(pdf_crypt.PAD + file_id).digest()
-        for i in range(20):
-            u = pdf_crypt.rc4(bytes(b ^ i for b in key), u)
-        u += bytes(16)
-
-    def lock(n, data):
-        mixed = hashlib.md5(key + n.to_bytes(3, "little") + bytes(2) + (b"sAlT" if aes else b"")).digest()[: min(16, size + 5)]
-        if not aes:
-            return pdf_crypt.rc4(mixed, data)
-        pad = 16 - len(data) % 16
-        return bytes(range(16)) + pdf_crypt.cbc_encrypt(mixed, bytes(range(16)), data + bytes([pad]) * pad)
-
-    v = 4 if aes else 1 if revision == 2 else 2
-    cf = "/CF << /StdCF << /CFM /AESV2 /Length 16 >> >> /StmF /StdCF /StrF /StdCF" if aes else ""
-    encrypt = f"<< /Filter /Standard /V {v} /R {revision} /Length {bits} /P {permissions} /O <{o.hex()}> /U <{u.hex()}> {cf} >>"
-    return make.one_page(lock(4, content), extra={9: make.obj(9, encrypt)}, trailer=f"/Encrypt 9 0 R /ID [<{file_id.hex()}> <00>]")
-
-
-def modern_encrypted(content, revision, user=b"", owner=b"own"):
-    key, salts = bytes(range(32)), (b"vsaltusr", b"ksaltusr", b"vsaltown", b"ksaltown")
-    h = lambda *a: pdf_crypt.hash_2b(*a, revision)
-    u = h(user, salts[0], b"") + salts[0] + salts[1]
-    ue = pdf_crypt.cbc_encrypt(h(user, salts[1], b""), bytes(16), key)
-    o = h(owner, salts[2], u) + salts[2] + salts[3]
-    oe = pdf_crypt.cbc_encrypt(h(owner, salts[3], u), bytes(16), key)
-    pad = 16 - len(content) % 16
-    locked = bytes(16) + pdf_crypt.cbc_encrypt(key, bytes(16), content + bytes([pad]) * pad)
-    encrypt = f"<< /Filter /Standard /V 5 /R {revision} /Length 256 /P -4 /O <{o.hex()}> /U <{u.hex()}> /OE <{oe.hex()}> /UE <{ue.hex()}> /CF << /StdCF << /CFM /AESV3 >> >> /StmF /StdCF /StrF /StdCF >>"
-    return make.one_page(locked, extra={9: make.obj(9, encrypt)}, trailer="/Encrypt 9 0 R")
-
-
 @pytest.mark.parametrize("how", [(2, 40), (3, 128), (4, 128, True)])
 def test_legacy_encryption(how):
     want = [["Hello", " world", "Ne xty"]]
-    assert texts(legacy_encrypted(CONTENT, *how)) == want
-    locked = legacy_encrypted(CONTENT, *how, user=b"secret") if len(how) == 3 else legacy_encrypted(CONTENT, *how, False, b"secret")
+    assert texts(make.legacy_encrypted(CONTENT, *how)) == want
+    locked = make.legacy_encrypted(CONTENT, *how, user=b"secret") if len(how) == 3 else make.legacy_encrypted(CONTENT, *how, False, b"secret")
     assert PdfFile(locked).is_locked and PdfFile(locked).is_encrypted
     assert texts(locked, "secret") == want and texts(locked, "own") == want
 
@@ -190,8 +120,8 @@ def test_legacy_encryption(how):
 @pytest.mark.parametrize("revision", [5, 6])
 def test_256_bit_encryption(revision):
     want = [["Hello", " world", "Ne xty"]]
-    assert texts(modern_encrypted(CONTENT, revision)) == want
-    locked = modern_encrypted(CONTENT, revision, b"secret")
+    assert texts(make.modern_encrypted(CONTENT, revision)) == want
+    locked = make.modern_encrypted(CONTENT, revision, b"secret")
     assert PdfFile(locked).is_locked and texts(locked, "secret") == want and texts(locked, "own") == want
 
 
@@ -222,14 +152,6 @@ def face(extra={}, pairs=None):
     return make.table_font({"cmap": make.cmap12(letters if pairs is None else pairs), **make.simple_tables(), **extra})
 
 
-def composite(font_bytes, content, cmap=None, base="ABCDEF+Kalpurush"):
-    unicode_ref = "/ToUnicode 8 0 R" if cmap is not None else ""
-    extra = {6: make.obj(6, "<< /Type /Font /Subtype /CIDFontType2 /FontDescriptor 7 0 R /CIDToGIDMap /Identity >>"), 7: make.obj(7, "<< /Type /FontDescriptor /FontFile2 10 0 R >>"), 10: make.stream(10, font_bytes)}
-    if cmap is not None:
-        extra[8] = make.stream(8, cmap)
-    return make.one_page(content, font=f"<< /Type /Font /Subtype /Type0 /BaseFont /{base} /Encoding /Identity-H /DescendantFonts [6 0 R] {unicode_ref} >>", extra=extra)
-
-
 def test_font_tables():
     f = OpenType.parse(face({"GSUB": make.gsub_ligatures({(1, 5, 2): 20})}))
     assert f.cmap[0x0995] == 1 and f.advance(3) == f.advance(99) == 500 and (f.ascender, f.descender, f.upem) == (800, -200, 1000)
@@ -264,12 +186,12 @@ def test_reordering():
 def test_untrusted_fonts_are_read_back():
     content = b"BT /F1 10 Tf 0 0 Td <0003> Tj 5 0 Td <0001> Tj 20 0 Td <0002> Tj ( ) Tj <0001> Tj 0 -20 Td [<0001> -200 <0002>] TJ ET"
     want = [[KA + I + " " + TA + " " + KA, KA + " " + TA]]
-    assert texts(composite(face(), content)) == want
+    assert texts(make.composite(face(), content)) == want
     wrong = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 3 beginbfchar <0001> <09A4> <0002> <0995> <0003> <0041> endbfchar"
     bengali = face({"GSUB": make.gsub_ligatures({(1, 5, 2): 20})})
-    assert texts(composite(bengali, content, wrong)) == want
+    assert texts(make.composite(bengali, content, wrong)) == want
     right = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 2 beginbfchar <0001> <0995> <0002> <09A4> endbfchar"
-    assert texts(composite(bengali, b"BT /F1 10 Tf <00010002> Tj ET", right)) == [[KA + TA]]
+    assert texts(make.composite(bengali, b"BT /F1 10 Tf <00010002> Tj ET", right)) == [[KA + TA]]
 
 
 def bijoy_page():
@@ -281,9 +203,9 @@ def test_extraction(spark, tmp_path):
     files = {
         "plain.pdf": make.one_page(b"BT /F1 12 Tf 0 700 Td (Total) Tj ET BT 50 700 Td (:) Tj ET BT 60 700 Td (12) Tj ET BT 70 700 Td (.) Tj ET BT 72 700 Td (5) Tj ET BT 0 680 Td (end) Tj ET"),
         "bijoy.pdf": bijoy_page(),
-        "bengali.pdf": composite(face(), b"BT /F1 10 Tf <00030001> Tj ET"),
+        "bengali.pdf": make.composite(face(), b"BT /F1 10 Tf <00030001> Tj ET"),
         "scan.pdf": make.one_page(b"/Im1 Do"),
-        "locked.pdf": legacy_encrypted(CONTENT, 3, 128, False, b"secret"),
+        "locked.pdf": make.legacy_encrypted(CONTENT, 3, 128, False, b"secret"),
         "not.pdf": b"just some text",
         "broken.pdf": b"%PDF-1.4\n" + b"1 0 obj << /Type /Catalog",
     }
@@ -321,7 +243,7 @@ def test_json_values():
 @settings(max_examples=60, deadline=None)
 @given(st.integers(0, 400), st.binary(min_size=1, max_size=6), st.sampled_from([0, 1, 2]))
 def test_damaged_files_never_fail(at, junk, which):
-    data = (make.one_page(CONTENT), make.packed(CONTENT), composite(face({"GSUB": make.gsub_ligatures({(1, 5, 2): 20})}), b"BT /F1 10 Tf <00030001> Tj ET"))[which]
+    data = (make.one_page(CONTENT), make.packed(CONTENT), make.composite(face({"GSUB": make.gsub_ligatures({(1, 5, 2): 20})}), b"BT /F1 10 Tf <00030001> Tj ET"))[which]
     at = at * len(data) // 400
     texts(data[:at] + junk + data[at + len(junk) :])
 
