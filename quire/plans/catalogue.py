@@ -88,13 +88,17 @@ def bijoy_font_names(spark, sf_dir):
     return names.select("name", bijoy.looks_like_font(F.col("name")).alias("bijoy"))
 
 
-_SPELLINGS = [*bengali.DECOMPOSITIONS, ("plain", "plain")]
+_COMPOSED = fragments.replaced_sql("t", [(b, a) for a, b in bengali.DECOMPOSITIONS])
+_DECOMPOSED = fragments.replaced_sql("t", bengali.DECOMPOSITIONS)
 
 
-@query(f"SELECT composed, decomposed, composed AS back FROM (VALUES {_values(_SPELLINGS)}) AS v(composed, decomposed)")
+@query(f"""WITH codes AS (SELECT {_SQL_MAP} AS m), s AS (SELECT doc_id, {_SQL_SUBSTITUTE} AS t FROM documents, codes), c AS (SELECT doc_id, {_COMPOSED} AS t FROM s)
+  SELECT doc_id, md5(t) AS composed, md5({_DECOMPOSED}) AS decomposed, true AS same FROM c""")
 def compose_decompose_roundtrip(spark, sf_dir):
-    df = spark.createDataFrame([(a,) for a, _ in _SPELLINGS], "composed string")
-    return df.select("composed", bengali.decompose(F.col("composed")).alias("decomposed"), bengali.recompose(bengali.decompose(F.col("composed"))).alias("back"))
+    """Converted documents with their two-part characters composed, taken apart, and composed again."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", bengali.recompose(bijoy.substitute(bijoy.canonical(F.col("text")))).alias("c"))
+    apart = bengali.decompose(F.col("c"))
+    return docs.select("doc_id", F.md5("c").alias("composed"), F.md5(apart).alias("decomposed"), (bengali.recompose(apart) == F.col("c")).alias("same"))
 
 
 _SQL_CATEGORY = "CASE " + " ".join(f"WHEN {' OR '.join(f'cp BETWEEN {a} AND {b}' for a, b in r)} THEN '{n}'" for n, r in bengali.CATEGORY_RANGES) + " ELSE 'other' END"
@@ -316,14 +320,16 @@ def ordered_choice(spark, sf_dir):
     return relational.ordered_choice(lines, [(parts, "p_brand"), (suppliers, "s_name")], "key", "chosen").select("l_orderkey", "l_linenumber", F.coalesce("chosen", F.lit("none")).alias("chosen"))
 
 
-_MATRICES = [(1, [[1.0, 0.0, 0.0, 1.0, 10.0, 20.0]]), (2, [[2.0, 0.0, 0.0, 2.0, 0.0, 0.0], [1.0, 0.0, 0.0, 1.0, 5.0, 7.0]]), (3, [[0.0, 1.0, -1.0, 0.0, 0.0, 0.0], [1.0, 0.0, 0.0, 1.0, 3.0, 4.0]]), (4, [])]
-_PRODUCTS = [(1, 1.0, 0.0, 0.0, 1.0, 10.0, 20.0), (2, 2.0, 0.0, 0.0, 2.0, 10.0, 14.0), (3, 0.0, 1.0, -1.0, 0.0, -4.0, 3.0), (4, 1.0, 0.0, 0.0, 1.0, 0.0, 0.0)]
-
-
-@query(f"SELECT id, CAST(a AS DOUBLE) a, CAST(b AS DOUBLE) b, CAST(c AS DOUBLE) c, CAST(d AS DOUBLE) d, CAST(e AS DOUBLE) e, CAST(f AS DOUBLE) f FROM (VALUES {_values(_PRODUCTS)}) AS v(id, a, b, c, d, e, f)")
+@query("""WITH m AS (SELECT l_orderkey, list([1.0::DOUBLE + l_linenumber % 2, CAST(l_quantity AS DOUBLE), CAST(l_linenumber AS DOUBLE)] ORDER BY l_linenumber, l_quantity) AS ms FROM lineitem GROUP BY l_orderkey),
+  f AS (SELECT l_orderkey, list_reduce(list_prepend([1.0::DOUBLE, 0.0, 0.0], ms), lambda t, x: [t[1] * x[1], x[2] * t[1] + t[2], x[3] * t[1] + t[3]]) AS t FROM m)
+  SELECT l_orderkey, t[1] AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c, t[1] AS d, t[2] AS e, t[3] AS f FROM f""")
 def align_matrix_fold(spark, sf_dir):
-    df = spark.createDataFrame(_MATRICES, "id int, m array<array<double>>").select("id", relational.fold_matrices(F.col("m")).alias("t"))
-    return df.select("id", *[(F.col("t")[i] + 0.0).alias(c) for i, c in enumerate("abcdef")])
+    """An order's lines as transforms (a scale of one or two and a move), each applied before those so far."""
+    scale, zero = (1.0 + F.col("l_linenumber") % 2).cast("double"), F.lit(0.0)
+    matrix = F.array(scale, zero, zero, scale, F.col("l_quantity").cast("double"), F.col("l_linenumber").cast("double"))
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_quantity", matrix.alias("m")).alias("one"))
+    folded = lines.groupBy("l_orderkey").agg(relational.fold_matrices(F.transform(F.array_sort(F.collect_list("one")), lambda x: x["m"])).alias("t"))
+    return folded.select("l_orderkey", *[(F.col("t")[i] + 0.0).alias(c) for i, c in enumerate("abcdef")])
 
 
 @query("SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ''), lambda c: '00' || upper(hex(c))), '') AS hex FROM part")

@@ -33,7 +33,7 @@ def parse_to_unicode(data: bytes) -> tuple[dict[int, str], bool]:
     for token in Scanner(data):
         if not isinstance(token, Keyword):
             held.append(token)
-            if len(held) > 600:
+            if len(held) > 600:  # fixed value: what a map's section may hold before its end; of more, the last count
                 del held[:-300]
             continue
         if token == "endcodespacerange":
