@@ -13,8 +13,8 @@ room (a third of all rows, say, or a group when others have filled the shards),
 the group is cut into even pieces of at most ``LARGE_SHARE``, as sizes could not
 be near equal otherwise. All other groups are dealt by hash to blocks of about
 ``BLOCK_GROUPS`` groups, and each block packs its own into shares of what the
-shards still lack in bytes, with tokens and rows in proportion: even within each
-block, hence even in sum. No task ever sees more than a block.
+shards still lack, of tokens and rows no further from the share of bytes than
+``APART``: even within each block, hence even in sum. No task ever sees more than a block.
 
 Law: ``bytes`` - the shards' sizes (UTF-8 bytes of the text plus 8) are near
 equal. Tokens are estimated: letters by up to eight, digits by up to three, signs
@@ -41,6 +41,10 @@ BLOCK_GROUPS = 40_000
 LARGE_SHARE = 0.05
 #: How far beyond a shard's capacity a whole group may go, in shares of it.
 SLACK = 0.002
+#: What bytes, tokens and rows weigh in the dot product: bytes are the law.
+WEIGHTS = (64.0, 1.0, 1.0)
+#: How far a shard's share of the remaining tokens and rows may lie from its share of the remaining bytes.
+APART = 0.1
 _TOKEN = r"[\p{L}\p{M}]{1,8}|\p{N}{1,3}|[^\s\p{L}\p{M}\p{N}]"
 
 
@@ -48,17 +52,18 @@ def pack(vectors: np.ndarray, capacity: np.ndarray, turn: int = 0, fits: list[in
     """Shard of each row of ``vectors``, taken in the order given, and the residual capacity.
 
     ``capacity`` is (shards, measures) and may go below zero. Measures are
-    scaled by the mean capacity first. Equal products go to the shard with
+    scaled by the mean capacity and weighed first. Equal products go to the shard with
     most room, then to the first one counted from ``turn``. With ``fits``, only
     shards with room in these measures are asked; -1 where there is none.
     """
     scale = np.maximum(np.abs(capacity).mean(axis=0), 1e-9)
-    room, items = np.roll(capacity / scale, -turn, axis=0), vectors / scale
+    weights = np.sqrt(np.array(WEIGHTS[: capacity.shape[1]]))
+    room, items = np.roll(capacity / scale, -turn, axis=0) * weights, vectors / scale * weights
     out = np.empty(len(items), dtype=np.int64)
     for i, v in enumerate(items):
-        product = room @ v
+        product = np.round(room @ v, 9)  # equal but for rounding is equal
         if fits is not None:
-            product[(room[:, fits] + SLACK < v[fits]).any(axis=1)] = -np.inf
+            product[(room[:, fits] + SLACK < v[fits]).any(axis=1)] = -np.inf  # weighed alike on both sides
         k = int(np.argmax(product))
         if product[k] == -np.inf:
             out[i] = -1 - turn
@@ -66,7 +71,7 @@ def pack(vectors: np.ndarray, capacity: np.ndarray, turn: int = 0, fits: list[in
         out[i] = k
         room[k] -= v
     out = np.where(out < 0, -1, (out + turn) % len(capacity))
-    return out, np.roll(room, turn, axis=0) * scale
+    return out, np.roll(room, turn, axis=0) * scale / weights
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -104,17 +109,15 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
         parts = parts.sort_values(["size", "group", "piece"], ascending=[False, True, True], ignore_index=True)
         parts["shard"], room = pack(parts[measures].to_numpy(float), room)
         found += [(bytes(g), int(i), int(k), int(s)) for g, i, k, s in zip(parts["group"], parts["piece"], parts["pieces"], parts["shard"])]
-    # the rest is dealt in proportion to the bytes that each shard lacks, tokens and rows with them
-    lacks = np.maximum(room, 0)[:, 0]
-    rest = np.maximum(np.array([float(total[k] or 0) for k in measures]) - (capacity - room).sum(axis=0), 0)
+    # each shard's share of the rest: what it lacks, of tokens and rows near what it lacks in bytes
+    lacks = np.maximum(room, 0) / np.maximum(np.maximum(room, 0).sum(axis=0), 1e-9)
+    lacks = np.clip(lacks, lacks[:, :1] * (1 - APART), lacks[:, :1] * (1 + APART))
+    lacks = lacks / np.maximum(lacks.sum(axis=0), 1e-9)
     blocks = sized(n, BLOCK_GROUPS, 2)
-    share_of = lacks[:, None] / max(lacks.sum(), 1e-9) * rest / blocks
 
     def pack_block(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["size", "group"], ascending=[False, True])
-        # a block's own sum, in the shards' proportions
-        own = group[measures].sum().to_numpy(float) / np.maximum(share_of.sum(axis=0), 1e-9)
-        group["shard"] = pack(group[measures].to_numpy(float), share_of * own, int(group["block"].iloc[0]) * 7 % shards)[0].astype("int32")
+        group["shard"] = pack(group[measures].to_numpy(float), lacks * group[measures].sum().to_numpy(float), int(group["block"].iloc[0]) * 7 % shards)[0].astype("int32")
         return group[["group", "shard"]]
 
     small_groups = whole.where(~is_large).withColumn("block", cut(F.col("group"), blocks))
