@@ -65,6 +65,16 @@ class FontSubstitutions:
             yield out, parts, number
 
 
+@udtf(returnType="name string, units_per_em int, glyphs int, ascender int, descender int, characters int, declares_bengali boolean, covers_bengali boolean, has_outlines boolean")
+class FontFacts:
+    """What a font says of itself: one row, none for what is no font."""
+
+    def eval(self, content: bytes):
+        font = OpenType.parse(bytes(content or b""))
+        if font is not None:
+            yield font.postscript_name, font.upem, font.glyph_count, font.ascender, font.descender, len(font.cmap), font.declares_bengali, font.covers_bengali, font.has_outlines
+
+
 @udtf(returnType="line_no int, text string, width double, ends_paragraph boolean")
 class WrapLines:
     """A text broken into lines of so many characters."""
@@ -106,7 +116,7 @@ def register(spark: SparkSession) -> None:
       regexp_replace(lower(name), '[^a-z]', '') RLIKE {_literal("|".join(bijoy.FONT_HINTS))}""")
     spark.udf.register("render_pdf", _render)
     spark.udf.register("ink_overlap", measure.ink_overlap)
-    for name, f in (("pdf_runs", PdfRuns), ("pdf_tokens", PdfTokens), ("pdf_objects", PdfObjects), ("font_cmap", FontCmap), ("font_substitutions", FontSubstitutions), ("wrap_lines", WrapLines)):
+    for name, f in (("pdf_runs", PdfRuns), ("pdf_tokens", PdfTokens), ("pdf_objects", PdfObjects), ("font_cmap", FontCmap), ("font_facts", FontFacts), ("font_substitutions", FontSubstitutions), ("wrap_lines", WrapLines)):
         spark.udtf.register(name, f)
 
 

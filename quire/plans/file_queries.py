@@ -49,18 +49,18 @@ def _key(name: str):
 # --- streams, locks and structures ---------------------------------------------------
 
 _WAYS = list(samples.WAYS)
-_SQL_WAY = "CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(_WAYS)) + " END"
+_SQL_WAY = f"CASE doc_id % {len(_WAYS)} " + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(_WAYS)) + " END"
 
 
 @query(f"""WITH d AS (SELECT doc_id, {_SQL_WAY} AS way, coalesce(text, '') AS t FROM documents),
   p AS (SELECT doc_id, way, CASE WHEN way = 'png' THEN t || repeat(' ', CAST((64 - strlen(t) % 64) % 64 AS BIGINT)) ELSE t END AS t FROM d)
-  SELECT doc_id, way, strlen(t) AS bytes, md5(t) AS digest FROM p""")
+  SELECT doc_id, way, CASE WHEN way <> 'image' THEN strlen(t) END AS bytes, CASE WHEN way <> 'image' THEN md5(t) END AS digest FROM p""")
 def pdf_stream_filters(spark, sf_dir):
-    """Each document as the stream of a file, by every filter and predictor, and the stream decoded."""
-    docs = table(spark, sf_dir, "documents").withColumn("way", F.element_at(F.array(*map(F.lit, _WAYS)), (F.col("doc_id") % 8 + 1).cast("int")))
+    """Each document as the stream of a file, by every filter and predictor, and the stream decoded; an image's data is left alone."""
+    docs = table(spark, sf_dir, "documents").withColumn("way", F.element_at(F.array(*map(F.lit, _WAYS)), (F.col("doc_id") % len(_WAYS) + 1).cast("int")))
     files = _made(docs, "doc_id", ["text", "way"], lambda text, way: samples.one_stream(text.encode(), way))
     streams = pdf.objects(files).where("kind = 'stream'")
-    way = F.element_at(F.array(*map(F.lit, _WAYS)), (F.col("doc_id").cast("long") % 8 + 1).cast("int"))
+    way = F.element_at(F.array(*map(F.lit, _WAYS)), (F.col("doc_id").cast("long") % len(_WAYS) + 1).cast("int"))
     return streams.select(_key("doc_id"), way.alias("way"), F.octet_length("raw").cast("long").alias("bytes"), F.md5("raw").alias("digest"))
 
 
@@ -150,6 +150,47 @@ def pdf_glyphs_read_back(spark, sf_dir):
     return got.select(_key("s_suppkey"), "text", "encoding", "confidence", "has_bangla")
 
 
+def _drawn_font() -> bytes:
+    """Letters and signs, a reph, a conjunct, a ra below, a reph with a sign in one glyph."""
+    cmap = {0x0995: 1, 0x09A4: 2, 0x09BF: 3, 0x09B0: 4, 0x09CD: 5, 0x09BE: 6, 0x20: 7, 0x25CC: 8, 0x09C7: 9, 0x09E7: 10}
+    rules = [(4, samples.ligature([4, 5], 50)), (4, samples.ligature([1, 5, 2], 51)), (4, samples.ligature([4, 5], 52)), (4, samples.ligature([50, 6], 53)), (1, samples.single_to({1: 54}))]
+    return samples.table_font(samples.simple_tables(60) | {"cmap": samples.cmap12(cmap), "GSUB": samples.gsub(rules, [(b"rphf", [0]), (b"akhn", [1]), (b"blwf", [2]), (b"abvs", [3]), (b"pres", [4])])})
+
+
+_DRAWN_FONT = _drawn_font()
+#: Glyphs in the order they are drawn, and the text that was typed.
+_DRAWN = [([3, 1], "কি"), ([3, 51], "ক্তি"), ([1, 50], "র্ক"), ([1, 8, 6], "কা"), ([9, 1, 6], "কো"), ([1, 53], "র্কা"), ([54, 6], "কা"), ([10, 7, 3, 2], "১ তি")]
+
+
+@query("SELECT s_suppkey, CASE s_suppkey % 8 " + " ".join(f"WHEN {i} THEN '{t}'" for i, (_, t) in enumerate(_DRAWN)) + " END AS text, CAST(0.75 AS DOUBLE) AS confidence FROM supplier")
+def pdf_drawn_order(spark, sf_dir):
+    """Glyphs in drawing order back to typing order: signs before their cluster, rephs after it, circles and fused forms."""
+
+    def make(k: int) -> bytes:
+        return samples.composite(_DRAWN_FONT, f"BT /F1 10 Tf 0 700 Td <{''.join(f'{c:04X}' for c in _DRAWN[k % 8][0])}> Tj ET".encode())
+
+    got = pdf.extract_documents(_made(table(spark, sf_dir, "supplier"), "s_suppkey", ["s_suppkey"], make), replay_factory=None)
+    return got.select(_key("s_suppkey"), "text", "confidence")
+
+
+@query(f"WITH codes AS (SELECT {fragments.SQL_MAP} AS m) SELECT s_suppkey, {fragments.unicode_sql('s_name')} AS text, 'bijoy' AS encoding, CAST(0.85 AS DOUBLE) AS confidence, true AS has_bangla FROM supplier, codes")
+def pdf_bijoy_text(spark, sf_dir):
+    """Legacy codes in a font known by its name, converted."""
+    font = "<< /Type /Font /Subtype /TrueType /BaseFont /ABCDEF+SutonnyMJ >>"
+    files = _made(table(spark, sf_dir, "supplier"), "s_suppkey", ["s_name"], lambda name: samples.one_page(b"BT /F1 12 Tf 0 700 Td " + samples.escaped(name) + b" Tj ET", font=font))
+    got = pdf.extract_documents(files)
+    return got.select(_key("s_suppkey"), "text", "encoding", "confidence", "has_bangla")
+
+
+@query("SELECT s_suppkey, translate(s_name, '0123Sup', '০১২৩কখগ') AS text, CAST(1 AS DOUBLE) AS confidence FROM supplier")
+def pdf_named_glyphs(spark, sf_dir):
+    """Codes renamed by a font's differences: uniXXXX and uXXXX names, others by their code."""
+    names = " ".join(f"{code} /{name}" for code, name in [(48, "uni09E6 /uni09E7 /u09E8 /uni09E9"), (83, "uni0995"), (117, "u0996"), (112, "uni0997"), (105, "i")])
+    font = f"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding << /Type /Encoding /Differences [{names}] >> >>"
+    files = _made(table(spark, sf_dir, "supplier"), "s_suppkey", ["s_name"], lambda name: samples.one_page(b"BT /F1 12 Tf 0 700 Td " + samples.escaped(name) + b" Tj ET", font=font))
+    return pdf.extract_documents(files).select(_key("s_suppkey"), "text", "confidence")
+
+
 _SIGN = 0x09C3
 
 
@@ -243,19 +284,47 @@ def font_characters(spark, sf_dir):
 
 @F.pandas_udf(BinaryType())
 def _rule_font(key: pd.Series) -> pd.Series:
-    tables = samples.simple_tables(100) | {"cmap": samples.cmap12({65: 1})}
-    return pd.Series([samples.table_font(tables | {"GSUB": samples.gsub_ligatures({(1 + k % 9, 5, 7): 40 + k % 11, (2 + k % 9, 3): 60 + k % 13})}) for k in key])
+    def one(k: int) -> bytes:
+        rules = [(1, samples.single_by(30 + k % 5, [3, 4])), (1, samples.single_to({5: 50 + k % 7})), (2, samples.several({6: [60 + k % 3, 70]})), (3, samples.several({7: [71, 72 + k % 4]})), (4, samples.ligature([8, 9, 10], 80 + k % 9)), (7, samples.extension(4, samples.ligature([11, 12], 90)))]
+        return samples.table_font(samples.simple_tables(100) | {"cmap": samples.cmap12({65: 1}), "GSUB": samples.gsub(rules, [(b"akhn", [0, 1, 2, 3, 4, 5])])})
+
+    return pd.Series([one(int(k)) for k in key])
 
 
-@query("""SELECT s_suppkey, gid, components, 0 AS lookup FROM (SELECT s_suppkey, 40 + s_suppkey % 11 AS gid, concat_ws(' ', 1 + s_suppkey % 9, 5, 7) AS components FROM supplier
-  UNION ALL SELECT s_suppkey, 60 + s_suppkey % 13, concat_ws(' ', 2 + s_suppkey % 9, 3) FROM supplier)""")
-def font_ligatures(spark, sf_dir):
-    """Substitution rules turned round: which glyphs each glyph stands for."""
+@query("""WITH k AS (SELECT s_suppkey AS k FROM supplier) SELECT k AS s_suppkey, gid, components, lookup FROM (
+  SELECT k, 33 + k % 5 AS gid, '3' AS components, 0 AS lookup FROM k UNION ALL SELECT k, 34 + k % 5, '4', 0 FROM k UNION ALL SELECT k, 50 + k % 7, '5', 1 FROM k
+  UNION ALL SELECT k, 60 + k % 3, '6', 2 FROM k UNION ALL SELECT k, 70, '', 2 FROM k UNION ALL SELECT k, 71, '7', 3 FROM k UNION ALL SELECT k, 72 + k % 4, '7', 3 FROM k
+  UNION ALL SELECT k, 80 + k % 9, '8 9 10', 4 FROM k UNION ALL SELECT k, 90, '11 12', 5 FROM k)""")
+def font_substitutions(spark, sf_dir):
+    """Substitution rules of each kind turned round: which glyphs each glyph stands for."""
     register(spark)
     table(spark, sf_dir, "supplier").select("s_suppkey", _rule_font("s_suppkey").alias("font")).createOrReplaceTempView("_quire_rules")
     return spark.sql("SELECT s_suppkey, gid, array_join(transform(components, x -> cast(x AS string)), ' ') AS components, lookup FROM _quire_rules, LATERAL font_substitutions(font)")
 
 
+@F.pandas_udf(BinaryType())
+def _fact_font(key: pd.Series, name: pd.Series) -> pd.Series:
+    def one(k: int, text: str) -> bytes:
+        tables = samples.simple_tables(20 + k % 50, 1000 + k % 3) | samples.named(text)
+        bengali_letters = (0x0995, 0x0996, 0x0997, 0x099A, 0x09A4, 0x09A6, 0x09A8, 0x09AC, 0x09AE, 0x09B0, 0x09B8)
+        letters = bengali_letters[: 11 - k % 4]
+        tables |= {"cmap": samples.cmap12({c: 1 + i for i, c in enumerate(letters)})}
+        tables |= {"GSUB": samples.gsub([(4, samples.ligature([1, 2], 9))], [(b"akhn", [0])], b"bng2" if k % 2 else b"latn")}
+        font = samples.table_font(tables)
+        return samples.collection(font) if k % 3 == 0 else font
+
+    return pd.Series([one(int(k), t) for k, t in zip(key, name)])
+
+
+@query("""SELECT s_suppkey, replace(s_name, '#', '') AS name, 1000 + s_suppkey % 3 AS units_per_em, 20 + s_suppkey % 50 AS glyphs, 800 AS ascender, -200 AS descender,
+  11 - s_suppkey % 4 AS characters, s_suppkey % 2 = 1 AS declares_bengali, s_suppkey % 4 < 2 AS covers_bengali, false AS has_outlines FROM supplier""")
+def font_facts(spark, sf_dir):
+    """Directories, collections, names, metrics and coverage of fonts, by a table function."""
+    register(spark)
+    table(spark, sf_dir, "supplier").select("s_suppkey", _fact_font("s_suppkey", "s_name").alias("font")).createOrReplaceTempView("_quire_facts")
+    return spark.sql("SELECT s_suppkey, f.* FROM _quire_facts, LATERAL font_facts(font) AS f")
+
+
 @F.pandas_udf(IntegerType())
 def _kept_outlines(font: pd.Series, text: pd.Series) -> pd.Series:
     def one(data: bytes, name: str) -> int:
@@ -367,14 +436,19 @@ def ink_overlap_bars(spark, sf_dir):
 
 _SPACES = "[\\x{0009}-\\x{000D}\\x{0020}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]"
 _SQL_DECOMPOSED = fragments.replaced_sql("t", bengali.DECOMPOSITIONS)
+_SQL_COMPOSED = fragments.replaced_sql("t", [(b, a) for a, b in bengali.DECOMPOSITIONS])
+
+
+def _made_comparable(text: str) -> str:
+    return f"md5(regexp_replace(regexp_replace(regexp_replace({text}, '[\\x{{200C}}\\x{{200D}}]', '', 'g'), '{_SPACES}+', ' ', 'g'), '^ | $', '', 'g'))"
 
 
 @query(f"""WITH codes AS (SELECT {fragments.SQL_MAP} AS m), t AS (SELECT doc_id, {fragments.substitute_sql('text')} AS t FROM documents, codes)
-  SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace({_SQL_DECOMPOSED}, '[\\x{{200C}}\\x{{200D}}]', '', 'g'), '{_SPACES}+', ' ', 'g'), '^ | $', '', 'g')) AS digest FROM t""")
+  SELECT doc_id, {_made_comparable(_SQL_DECOMPOSED)} AS apart, {_made_comparable(_SQL_COMPOSED)} AS composed FROM t""")
 def normalised_texts(spark, sf_dir):
-    """Converted texts made comparable: taken apart, joiners dropped, white space collapsed."""
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.md5(bengali.normalise(bijoy.substitute(bijoy.canonical(F.col("text"))))).alias("digest"))
+    """Converted texts made comparable: taken apart or composed, joiners dropped, white space collapsed."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", bijoy.substitute(bijoy.canonical(F.col("text"))).alias("t"))
+    return docs.select("doc_id", F.md5(bengali.normalise(F.col("t"))).alias("apart"), F.md5(bengali.normalise_composed(F.col("t"))).alias("composed"))
 
 
 @query("SELECT CAST(cp AS BIGINT) AS cp, cp IN (2495, 2503, 2504) AS pre_base, cp = 2492 OR cp BETWEEN 2433 AND 2435 OR cp BETWEEN 2494 AND 2500 OR cp IN (2503, 2504, 2507, 2508, 2519, 2530, 2531) AS dependent, cp BETWEEN 768 AND 879 OR cp BETWEEN 2304 AND 3583 OR cp IN (8204, 8205) OR cp BETWEEN 65024 AND 65039 AS combining FROM (SELECT unnest(range(65536)) AS cp)")

@@ -243,13 +243,14 @@ PREDICTED_ROW = 64
 #: Name, entries of the stream's dictionary and encoder of each way to write a stream.
 WAYS = {
     "flate": ("/Filter /FlateDecode", zlib.compress),
-    "hex": ("/Filter /ASCIIHexDecode", lambda d: d.hex().encode() + b">"),
+    "hex": ("/Filter /AHx", lambda d: d.hex().encode() + b">"),
     "85": ("/Filter /ASCII85Decode", lambda d: base64.a85encode(d) + b"~>"),
-    "runs": ("/Filter /RunLengthDecode", run_lengths),
+    "runs": ("/Filter /RL", run_lengths),
     "lzw": ("/Filter /LZWDecode", encode_lzw),
     "png": (f"/Filter /FlateDecode /DecodeParms << /Predictor 15 /Columns {PREDICTED_ROW} >>", lambda d: zlib.compress(png_rows(d + b" " * (-len(d) % PREDICTED_ROW), PREDICTED_ROW))),
     "tiff": (f"/Filter /FlateDecode /DecodeParms << /Predictor 2 /Columns {PREDICTED_ROW} >>", lambda d: zlib.compress(tiff_rows(d, PREDICTED_ROW))),
-    "chain": ("/Filter [/ASCII85Decode /FlateDecode] /DecodeParms [null null]", lambda d: base64.a85encode(zlib.compress(d)) + b"~>"),
+    "chain": ("/Filter [/A85 /Fl] /DecodeParms [null null]", lambda d: base64.a85encode(zlib.compress(d)) + b"~>"),
+    "image": ("/Filter /DCTDecode", lambda d: d),
 }
 
 
@@ -342,6 +343,70 @@ def composite(font_bytes: bytes, content: bytes, cmap: bytes | None = None, base
     return one_page(content, font=f"<< /Type /Font /Subtype /Type0 /BaseFont /{base} /Encoding /Identity-H /DescendantFonts [6 0 R] {unicode_ref} >>", extra=extra)
 
 
+def _coverage(glyphs: list[int]) -> bytes:
+    return struct.pack(f">HH{len(glyphs)}H", 1, len(glyphs), *glyphs)
+
+
+def gsub(lookups: list[tuple[int, bytes]], features: list[tuple[bytes, list[int]]], script: bytes = b"bng2") -> bytes:
+    """A GSUB of lookups (kind, subtable) and features (tag, lookup numbers) of one script."""
+    tables = [struct.pack(">HHHH", kind, 0, 1, 8) + sub for kind, sub in lookups]
+    at, offsets = 2 + 2 * len(tables), []
+    for t in tables:
+        offsets.append(at)
+        at += len(t)
+    lookup_list = struct.pack(f">H{len(offsets)}H", len(offsets), *offsets) + b"".join(tables)
+    held = [struct.pack(f">HH{len(numbers)}H", 0, len(numbers), *numbers) for _, numbers in features]
+    at, records = 2 + 6 * len(features), b""
+    for (tag, _), table in zip(features, held):
+        records += tag + struct.pack(">H", at)
+        at += len(table)
+    feature_list = struct.pack(">H", len(features)) + records + b"".join(held)
+    scripts = struct.pack(">H", 1) + script + struct.pack(">H", 8) + struct.pack(">HH", 4, 0) + struct.pack(f">HHH{len(features)}H", 0, 0xFFFF, len(features), *range(len(features)))
+    a = 10 + len(scripts)
+    return struct.pack(">HHHHH", 1, 0, 10, a, a + len(feature_list)) + scripts + feature_list + lookup_list
+
+
+def single_by(delta: int, glyphs: list[int]) -> bytes:
+    return struct.pack(">HHh", 1, 6, delta) + _coverage(glyphs)
+
+
+def single_to(pairs: dict[int, int]) -> bytes:
+    glyphs = sorted(pairs)
+    return struct.pack(f">HHH{len(glyphs)}H", 2, 6 + 2 * len(glyphs), len(glyphs), *(pairs[g] for g in glyphs)) + _coverage(glyphs)
+
+
+def several(kind_of: dict[int, list[int]]) -> bytes:
+    """A multiple or an alternate substitution: glyph -> glyphs."""
+    glyphs = sorted(kind_of)
+    sets = [struct.pack(f">H{len(kind_of[g])}H", len(kind_of[g]), *kind_of[g]) for g in glyphs]
+    at, offsets = 6 + 2 * len(glyphs), []
+    for s in sets:
+        offsets.append(at)
+        at += len(s)
+    return struct.pack(f">HHH{len(glyphs)}H", 1, at, len(glyphs), *offsets) + b"".join(sets) + _coverage(glyphs)
+
+
+def ligature(parts: list[int], to: int) -> bytes:
+    one = struct.pack(f">HH{len(parts) - 1}H", to, len(parts), *parts[1:])
+    sets = struct.pack(">HH", 1, 4) + one
+    return struct.pack(">HHHH", 1, 8 + len(sets), 1, 8) + sets + _coverage([parts[0]])
+
+
+def extension(kind: int, sub: bytes) -> bytes:
+    return struct.pack(">HHI", 1, kind, 8) + sub
+
+
+def collection(font: bytes) -> bytes:
+    """A font collection whose first and only face is ``font``, its table offsets moved on."""
+    head = b"ttcf" + struct.pack(">IIII", 0x00010000, 1, 20, 0)
+    n = struct.unpack(">H", font[4:6])[0]
+    out = bytearray(font)
+    for r in range(12, 12 + 16 * n, 16):
+        at = struct.unpack(">I", out[r + 8 : r + 12])[0]
+        out[r + 8 : r + 12] = struct.pack(">I", at + len(head))
+    return head + bytes(out)
+
+
 def picture(width: int, height: int, ink: int) -> bytes:
     """A grey map whose first ``ink`` columns are black."""
     return b"P5 %d %d 255\n" % (width, height) + (bytes(ink) + b"\xff" * (width - ink)) * height
