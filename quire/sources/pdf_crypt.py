@@ -9,6 +9,7 @@ is locked. Revision 5 hashes once, revision 6 in rounds.
 from __future__ import annotations
 
 import hashlib
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -99,21 +100,34 @@ def cbc_decrypt(key: bytes, iv: bytes, data: bytes) -> bytes:
     return (aes_decrypt_blocks(key, data) ^ before).tobytes() if data else b""
 
 
+@lru_cache(maxsize=1)
+def _columns() -> list[list[int]]:
+    """What a byte in each row adds to a column after substitution and mixing, as a 32-bit word; last, the S-box."""
+    box, times = _tables()[0].astype(int).tolist(), _tables()[2]
+    by = {1: box, **{m: [int(times[m][v]) for v in box] for m in (2, 3)}}
+    tables = [[by[f[0]][x] << 24 | by[f[1]][x] << 16 | by[f[2]][x] << 8 | by[f[3]][x] for x in range(256)] for f in ((2, 1, 1, 3), (3, 2, 1, 1), (1, 3, 2, 1), (1, 1, 3, 2))]
+    return [*tables, box]
+
+
 def cbc_encrypt(key: bytes, iv: bytes, data: bytes) -> bytes:
-    box, times = _tables()[0].tolist(), _tables()[2]
-    two, three = times[2].tolist(), times[3].tolist()
-    keys, shift, out, last = _round_keys(key).tolist(), _SHIFT.tolist(), bytearray(), iv
-    for at in range(0, len(data), 16):
-        s = [a ^ b ^ k for a, b, k in zip(data[at : at + 16], last, keys[0])]
-        for k in keys[1:-1]:
-            t = [box[s[i]] for i in shift]
-            s = []
-            for c in (0, 4, 8, 12):
-                p, q, r, u = t[c : c + 4]
-                s += [two[p] ^ three[q] ^ r ^ u ^ k[c], p ^ two[q] ^ three[r] ^ u ^ k[c + 1], p ^ q ^ two[r] ^ three[u] ^ k[c + 2], three[p] ^ q ^ r ^ two[u] ^ k[c + 3]]
-        last = bytes(box[s[i]] ^ k for i, k in zip(shift, keys[-1]))
-        out += last
-    return bytes(out)
+    """Each block depends on the one before, so this goes column by column of one block."""
+    p, q, r, s, box = _columns()
+    keys = struct.unpack(f">{4 * len(_round_keys(key))}I", _round_keys(key).tobytes())
+    a, b, c, d = struct.unpack(">4I", iv)
+    words, out = struct.unpack(f">{len(data) // 4}I", data), []
+    for i in range(0, len(words), 4):
+        a, b, c, d = (x ^ y ^ k for x, y, k in zip((a, b, c, d), words[i : i + 4], keys))
+        for k in range(4, len(keys) - 4, 4):
+            a, b, c, d = (
+                p[a >> 24] ^ q[b >> 16 & 255] ^ r[c >> 8 & 255] ^ s[d & 255] ^ keys[k],
+                p[b >> 24] ^ q[c >> 16 & 255] ^ r[d >> 8 & 255] ^ s[a & 255] ^ keys[k + 1],
+                p[c >> 24] ^ q[d >> 16 & 255] ^ r[a >> 8 & 255] ^ s[b & 255] ^ keys[k + 2],
+                p[d >> 24] ^ q[a >> 16 & 255] ^ r[b >> 8 & 255] ^ s[c & 255] ^ keys[k + 3],
+            )
+        last = ((a, b, c, d), (b, c, d, a), (c, d, a, b), (d, a, b, c))
+        a, b, c, d = ((box[w >> 24] << 24 | box[x >> 16 & 255] << 16 | box[y >> 8 & 255] << 8 | box[z & 255]) ^ k for (w, x, y, z), k in zip(last, keys[-4:]))
+        out += (a, b, c, d)
+    return struct.pack(f">{len(out)}I", *out)
 
 
 def aes_unwrap(key: bytes, data: bytes) -> bytes:
