@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import trimmed
 from quire.llm.splitting import BYTE_WORDS, WordCache, plain
 
 SHORT = 256
@@ -152,4 +153,4 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *keep)
     types = dict(rows.dtypes)
-    return rows.mapInArrow(run, ", ".join([f"doc_id {types['doc_id']}, n_tokens long, ids binary, decoded string", *(f"`{k}` {types[k]}" for k in keep)]))
+    return rows.mapInArrow(lambda batches: trimmed(run(batches)), ", ".join([f"doc_id {types['doc_id']}, n_tokens long, ids binary, decoded string", *(f"`{k}` {types[k]}" for k in keep)]))

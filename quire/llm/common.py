@@ -8,14 +8,20 @@ re-read.
 
 from __future__ import annotations
 
-import os
-import tempfile
+import ctypes
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.storage import shared_root
+
 #: Rows that a task should hold at most when a window or a Python group needs them together.
 GROUP_ROWS = 50_000
 #: Sums of pieces up to this many (about 100 bytes each) are broadcast, more are joined by shuffle.
@@ -26,34 +32,42 @@ BROADCAST_ROWS = 500_000
 BROADCAST_LABELS, LABEL_WORDS = 1_000_000, 1 << 20
 
 
-def shared_root(spark: SparkSession) -> str:
-    """URI of the folder that all executors share.
-
-    A folder of our own is made only where the session names none and runs on
-    one machine (tests); a cluster must name one, as executors could not see it.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            root = held.get()
-        else:
-            if not spark.sparkContext.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            root = "file://" + tempfile.mkdtemp(prefix="quire-")
-            spark.sparkContext.setCheckpointDir(root)
-    return root if ":" in root.split("/")[0] else f"file://{os.path.abspath(root)}"
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_root(spark).rstrip('/')}/quire/{name}-{uuid.uuid4().hex}"
 
 
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are staged inside are removed at the end; what is kept must have been written by then (``kept``)."""
+    paths: list[str] = []
+    token = _SCRATCH.set(paths)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        for path in paths:
+            remove(spark, path)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """As ``stage``, for a result that outlives ``scratch``."""
+    token = _SCRATCH.set(None)
+    try:
+        return stage(df, name)
+    finally:
+        _SCRATCH.reset(token)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: computed once, lineage cut."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    if (paths := _SCRATCH.get()) is not None:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -77,12 +91,36 @@ def labelled(docs: DataFrame, known: DataFrame, key: Column, known_key: str, cou
     return may.join(known, key == F.col(known_key))
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop(*staged: DataFrame) -> None:
     """Remove staged tables that nothing reads any more (those given must be ``stage``'s own results)."""
     for df in staged:
         for file in df.inputFiles()[:1]:
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            remove(df.sparkSession, file.rpartition("/")[0])
+
+
+@lru_cache(maxsize=1)
+def _trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """Return freed memory to the system, at the end of a task: its worker lives on, and counts as its executor's memory."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def trimmed(batches: Iterator) -> Iterator:
+    """The batches, with ``give_back`` after the last."""
+    yield from batches
+    give_back()
 
 
 def open_fs(uri: str):

@@ -38,7 +38,7 @@ from quire.llm.splitting import WordCache
 BUCKETS, SMOOTHING, EXACT_ROWS, BINS = 10_000, 1.0, 10_000, 4096
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _U = np.uint64
-_HASHES = WordCache(lambda words: [xxhash.xxh3_64_intdigest(w) for w in words], 300_000)
+_HASHES = WordCache(lambda words: [xxhash.xxh3_64_intdigest(w) for w in words], 200_000)
 
 
 def buckets(text: str | None) -> np.ndarray:

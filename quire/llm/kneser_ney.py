@@ -25,7 +25,7 @@ import numpy as np
 
 #: How many characters the smoothing of the lowest order reckons with.
 CODES = 1 << 16
-HISTORY, DISCOUNTS, SHARED_DISCOUNT = 8, (0.0, 0.9, 1.4, 1.8), 0.75
+HISTORY, DISCOUNTS, SHARED_DISCOUNT = 7, (0.0, 0.9, 1.4, 1.8), 0.75
 CODE_BITS = 21
 _CODE = (1 << CODE_BITS) - 1
 
@@ -93,20 +93,29 @@ class Models:
     """Both classes' models from a table of n-gram counts (one row for each distinct n-gram)."""
 
     def __init__(self, rows: dict[str, np.ndarray]):
-        context, tri = (np.asarray(rows[k], np.int64) for k in ("context", "tri"))
-        self.contexts, at = np.unique(context, return_inverse=True)
-        key = (at << CODE_BITS) | (tri & _CODE)  # a context's number and a character: no two n-grams share it
-        order = np.argsort(key)
-        self.keys = key[order]
-        self.number = np.arange(len(self.contexts), dtype=np.int32)
-        self.classes = []
-        for k in ("toxic", "ordinary"):
-            n = np.asarray(rows[k], np.float64)
-            total, mass = (np.bincount(at, x, len(self.contexts)).astype(np.float32) for x in (n, discount(n)))
-            self.classes.append((n[order].astype(np.float32), total, mass))
-        self.tris, tri = np.unique(tri, return_counts=True)
+        """``rows`` is used up; rows in order of (context, tri) are not sorted again."""
+        context, tri = (np.asarray(rows.pop(k), np.int64) for k in ("context", "tri"))
+        counts = [np.asarray(rows.pop(k), np.float32) for k in ("toxic", "ordinary")]
+        if len(context) and not ((context[1:] > context[:-1]) | (context[1:] == context[:-1]) & (tri[1:] > tri[:-1])).all():
+            order = np.lexsort((tri, context))
+            context, tri, counts = context[order], tri[order], [n[order] for n in counts]
+        first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(context) else np.zeros(0, np.int64)
+        self.contexts = context[first]
+        del context
+        size = np.diff(np.r_[first, len(tri)])
+        self.number = np.arange(len(first), dtype=np.int32)
+        # a context's number and a character: no two n-grams share it, and within a context the last three characters rise with the last
+        self.keys = np.repeat(self.number, size).astype(np.int64)
+        self.keys <<= CODE_BITS
+        self.keys |= tri & _CODE
+        sums = lambda x: np.add.reduceat(x, first, dtype=np.float64).astype(np.float32) if len(first) else np.zeros(0, np.float32)
+        self.classes = [(n, sums(n), sums(discount(n))) for n in counts]
+        tri = np.sort(tri)
+        first = np.flatnonzero(np.r_[True, tri[1:] != tri[:-1]]) if len(tri) else np.zeros(0, np.int64)
+        self.tris, self.tri = tri[first], np.diff(np.r_[first, len(tri)]).astype(np.float32)
+        del tri
         self.pairs, at = np.unique(self.tris >> CODE_BITS, return_inverse=True)
-        self.tri, self.pair, self.follow = tri.astype(np.float32), np.bincount(at, tri).astype(np.float32), np.bincount(at).astype(np.float32)
+        self.pair, self.follow = np.bincount(at, self.tri).astype(np.float32), np.bincount(at).astype(np.float32)
         self.codes, ends = np.unique(self.tris & _CODE, return_counts=True)
         self.ends = ends.astype(np.float32)
 

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import drop, small, stage
+from quire.llm.common import drop, give_back, small, stage, trimmed
 from quire.llm.splitting import WordCache
 
 SHINGLE, THRESHOLD, BANDS, ROWS, ROUNDS = 5, 0.8, 32, 6, 2
@@ -54,7 +54,7 @@ BLOCK, _COLUMNS = 512, 4096
 _WORD = re.compile(r"\w+")
 _U = np.uint64
 _FACTORS = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-_HASHES = WordCache(lambda words: [xxhash.xxh3_64_intdigest(w) for w in words], 300_000)
+_HASHES = WordCache(lambda words: [xxhash.xxh3_64_intdigest(w) for w in words], 200_000)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -193,7 +193,7 @@ def _near_in_size(a: Column, b: Column) -> Column:
 def _verified(pairs: DataFrame, units: DataFrame) -> DataFrame:
     a = units.select(F.col("key").alias("a"), F.col("units").alias("ua"))
     b = units.select(F.col("key").alias("b"), F.col("units").alias("ub"))
-    return stage(pairs.join(a, "a").join(b, "b").select("a", "b", "ua", "ub").mapInArrow(_linked, "a binary, b binary"), "near-links")
+    return stage(pairs.join(a, "a").join(b, "b").select("a", "b", "ua", "ub").mapInArrow(lambda batches: trimmed(_linked(batches)), "a binary, b binary"), "near-links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -266,6 +266,8 @@ def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
     every = size[: len(left), None] + size[None, len(left) :] - common
     x, y = left["comp"].to_numpy(), right["comp"].to_numpy()
     i, j = np.nonzero((common >= THRESHOLD * every - 1e-9) & (x[:, None] != y[None, :]))
+    del held, common, every
+    give_back()
     out = pd.DataFrame({"a": left["key"].to_numpy()[i], "b": right["key"].to_numpy()[j], "x": x[i], "y": y[j]})
     return out.drop_duplicates(["x", "y"])[["a", "b"]]
 
@@ -312,7 +314,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("copy"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    signed = stage(rows.mapInArrow(_sign, f"doc_id {kind}, copy long, key binary, total long, bands array<long>"), "near-signed")
+    signed = stage(rows.mapInArrow(lambda batches: trimmed(_sign(batches)), f"doc_id {kind}, copy long, key binary, total long, bands array<long>"), "near-signed")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")
     nodes = signed.where("key is not null").groupBy("key").agg(F.min(order).alias("one"), F.first("total").alias("total"), F.first("bands").alias("bands"))
     members = nodes.select("key", "one", "total", F.explode("bands").alias("bucket"))
@@ -322,7 +324,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # a node's text is that of one row: (doc_id, copy), as many rows may share an id or have none
     wanted = stage(members.select("key", F.col("one.doc_id").alias("_id"), F.col("one.copy").alias("_copy")).distinct(), "near-wanted")
     texts = rows.join(small(wanted), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("copy") == F.col("_copy"))).select("text", "key")
-    units = stage(texts.mapInArrow(_unit_rows, "key binary, units binary").dropDuplicates(["key"]), "near-units")
+    units = stage(texts.mapInArrow(lambda batches: trimmed(_unit_rows(batches)), "key binary, units binary").dropDuplicates(["key"]), "near-units")
     held = stage(wanted.select("key", F.col("key").alias("comp")), "near-nodes")
     members = members.select("bucket", "key", "total")
 

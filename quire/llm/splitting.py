@@ -49,7 +49,7 @@ class WordCache:
 
     in_use: WordCache | None = None
 
-    def __init__(self, make, most: int = 300_000):
+    def __init__(self, make, most: int = 200_000):
         self.make, self.most, self.table, self.old = make, most, {}, {}
 
     def fill(self, words):

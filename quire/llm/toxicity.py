@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import kneser_ney
-from quire.llm.common import labelled, stage
+from quire.llm.common import give_back, labelled, stage, trimmed
 from quire.llm.splitting import WordCache
 
 THRESHOLD = 0.3
@@ -47,7 +47,7 @@ CALIBRATION_ROWS = 20_000
 #: Models of up to this many distinct n-grams are broadcast (about 30 bytes each); larger ones are joined by shuffle.
 BROADCAST_GRAMS = 1 << 22
 _HELD_WORDS = 200_000
-_HELD_GRAMS = 500_000
+_HELD_GRAMS = 250_000
 _WORD = re.compile(r"\w+")
 FEATURES = ["_qt_all", "_qt_best", "_qt_top"]
 
@@ -178,7 +178,7 @@ class Toxicity:
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         if "cache" not in self.__dict__:
-            self.cache = WordCache(lambda words: self.models.ratios(words).tolist(), 150_000)
+            self.cache = WordCache(lambda words: self.models.ratios(words).tolist(), 120_000)
         out = np.zeros((len(texts), len(FEATURES)))
         split = list(map(words_of, texts))
         get = self.cache.fill(chain.from_iterable(split))
@@ -222,7 +222,7 @@ def _with_features(df: DataFrame, text_col: str, model: Toxicity) -> DataFrame:
 
     from pyspark.sql import types as T
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(f, T.DoubleType()) for f in FEATURES)]))
+    return df.mapInArrow(lambda batches: trimmed(run(batches)), T.StructType([*df.schema.fields, *(T.StructField(f, T.DoubleType()) for f in FEATURES)]))
 
 
 def _with_joined_features(df: DataFrame, text_col: str, models: JoinedModels) -> DataFrame:
@@ -255,9 +255,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     grams = words.mapInArrow(_count_grams, "context long, tri long, toxic long, ordinary long")
     grams = stage(grams.groupBy("context", "tri").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "toxicity-grams")
     if grams.count() <= BROADCAST_GRAMS:
-        table = grams.toArrow()
-        models = kneser_ney.Models({k: table.column(k).to_numpy() for k in table.column_names})
+        table = grams.select("context", "tri", F.col("toxic").cast("float"), F.col("ordinary").cast("float")).orderBy("context", "tri").toArrow()
+        columns = {k: table.column(k).to_numpy() for k in table.column_names}
         del table
+        give_back()
+        models = kneser_ney.Models(columns)
+        give_back()
     else:
         models = JoinedModels.of(grams)
     model = Toxicity(models, [])
