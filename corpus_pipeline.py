@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.bpe import encode_decode
-from quire.llm.common import stage, table
+from quire.llm.common import kept, scratch, table
 from quire.llm.exact_dedup import exact_dedup
 from quire.llm.mixing import mix
 from quire.llm.near_dedup import near_dedup
@@ -73,5 +73,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``, each written and reread."""
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark):  # what a stage's operator wrote on its way goes once its result is there
+            docs = kept(step(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
