@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import drop, give_back, small, stage, trimmed
+from quire.llm.common import BROADCAST_ROWS, drop, give_back, small, stage, trimmed
 from quire.llm.splitting import WordCache
 
 SHINGLE, THRESHOLD, BANDS, ROWS, ROUNDS = 5, 0.8, 32, 6, 2
@@ -204,10 +204,11 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = stage(edges.union(edges.select("b", "a")).distinct().toDF("u", "v"), "near-edges")
     labels = stage(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")), "near-labels")
+    hint = F.broadcast if labels.count() <= BROADCAST_ROWS else lambda df: df  # as many labels in every round
     while True:
-        heard = both.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("heard"))
-        better = labels.join(heard, "u").select("u", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
-        up = labels.select(F.col("u").alias("label"), F.col("label").alias("above"))
+        heard = both.join(hint(labels.select(F.col("u").alias("v"), "label")), "v").groupBy("u").agg(F.min("label").alias("heard"))
+        better = heard.join(hint(labels.select("u", "label")), "u").select("u", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
+        up = hint(labels.select(F.col("u").alias("label"), F.col("label").alias("above")))
         jumped = better.join(up, "label", "left").select("u", "old", F.least("label", F.coalesce("above", "label")).alias("label"))
         held = stage(jumped, "near-labels")
         drop(labels)
@@ -221,11 +222,12 @@ def _joined(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``nodes`` (key, comp) after its components are joined along ``links`` (a, b)."""
     if links.isEmpty():
         return nodes
-    a, b = nodes.toDF("a", "ca"), nodes.toDF("b", "cb")
+    hint = F.broadcast if nodes.count() <= BROADCAST_ROWS else lambda df: df
+    a, b = hint(nodes.toDF("a", "ca")), hint(nodes.toDF("b", "cb"))
     edges = links.join(a, "a").join(b, "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     found = components(edges)
     comp = found.select(F.col("u").alias("comp"), F.col("label").alias("_new"))
-    joined = stage(nodes.join(comp, "comp", "left").select("key", F.coalesce("_new", "comp").alias("comp")), "near-nodes")
+    joined = stage(nodes.join(hint(comp), "comp", "left").select("key", F.coalesce("_new", "comp").alias("comp")), "near-nodes")
     drop(found, links, nodes)
     return joined
 
@@ -330,8 +332,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     drop(shared, wanted)
     for turn in range(ROUNDS):
-        held = _joined(held, _verified(_leader_pairs(members.join(held, "key"), turn), units))
-    held = _joined(held, _rest_links(members.join(held, "key"), units))
+        held = _joined(held, _verified(_leader_pairs(members.join(small(held), "key"), turn), units))
+    held = _joined(held, _rest_links(members.join(small(held), "key"), units))
     drop(staged_members, units)
 
     # the least (doc_id, copy) of a class tells the row that stays even where a doc_id occurs with several texts
