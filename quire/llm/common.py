@@ -32,17 +32,20 @@ BROADCAST_ROWS = 500_000
 BROADCAST_LABELS, LABEL_WORDS = 1_000_000, 1 << 20
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_root(spark).rstrip('/')}/quire/{name}-{uuid.uuid4().hex}"
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
-_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder."""
+    path = f"{shared_root(spark).rstrip('/')}/quire/{name}-{uuid.uuid4().hex}"
+    if (paths := _SCRATCH.get()) is not None:
+        paths.append(path)
+    return path
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables that are staged inside are removed at the end; what is kept must have been written by then (``kept``)."""
+    """What is written to the shared folder inside is removed at the end; what stays must have been written by ``kept``."""
     paths: list[str] = []
     token = _SCRATCH.set(paths)
     try:
@@ -66,8 +69,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: computed once, lineage cut."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    if (paths := _SCRATCH.get()) is not None:
-        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -16,7 +16,7 @@ Counts live in a table with a row for each distinct n-gram that was met, however
 many there are. An n-gram is named by ``context``, a 64-bit mix of its history
 (any two of N histories get the same one with a probability of about N^2 /
 2^65), and ``tri``, its last three characters, 21 bits each. ``Models`` holds
-the table in memory; ``toxicity.JoinedModels`` is for larger ones.
+the table in memory; ``toxicity.SlicedModels`` is for larger ones.
 """
 
 from __future__ import annotations
@@ -89,50 +89,91 @@ def _find(keys: np.ndarray, asked: np.ndarray, *values: np.ndarray) -> list[np.n
     return [np.where(hit, v[at], 0)[places] for v in values]
 
 
-class Models:
-    """Both classes' models from a table of n-gram counts (one row for each distinct n-gram)."""
+def _starts(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+
+
+class Endings:
+    """The lowest order: how many different three-character endings each character has, of ``kinds`` in all."""
+
+    def __init__(self, codes: np.ndarray, ends: np.ndarray, kinds: int):
+        self.codes, self.ends, self.kinds = codes, ends.astype(np.float32), kinds
+
+    def low(self, tri: np.ndarray) -> np.ndarray:
+        return (_find(self.codes, tri & _CODE, self.ends)[0].astype(np.float64) + 0.1) / (self.kinds + 0.1 * CODES)
+
+
+class Shared:
+    """The continuation model of the last two characters, or the part of it that some of them need.
+
+    ``tris`` in order, ``counts``: in how many contexts each ends.
+    """
+
+    def __init__(self, tris: np.ndarray, counts: np.ndarray):
+        self.tris, self.counts = tris, counts.astype(np.float32)
+        first = _starts(tris >> CODE_BITS)
+        self.pairs = (tris >> CODE_BITS)[first]
+        self.follow = np.diff(np.r_[first, len(tris)]).astype(np.float32)
+        self.total = np.add.reduceat(self.counts, first).astype(np.float32) if len(first) else np.zeros(0, np.float32)
+
+    def fill(self, q: np.ndarray, tri: np.ndarray) -> None:
+        """Put the smoothed value of each character in place of its lowest order, where its last two are known here."""
+        (n3,) = _find(self.tris, tri, self.counts)
+        n2, follow = _find(self.pairs, tri >> CODE_BITS, self.total, self.follow)
+        known = n2 > 0
+        q[known] = (np.maximum(n3 - SHARED_DISCOUNT, 0) + SHARED_DISCOUNT * follow * q)[known] / n2[known]
+
+
+class Contexts:
+    """Both classes' counts after each context, or after some of them; ``rows`` is used up."""
 
     def __init__(self, rows: dict[str, np.ndarray]):
-        """``rows`` is used up; rows in order of (context, tri) are not sorted again."""
         context, tri = (np.asarray(rows.pop(k), np.int64) for k in ("context", "tri"))
         counts = [np.asarray(rows.pop(k), np.float32) for k in ("toxic", "ordinary")]
         if len(context) and not ((context[1:] > context[:-1]) | (context[1:] == context[:-1]) & (tri[1:] > tri[:-1])).all():
             order = np.lexsort((tri, context))
             context, tri, counts = context[order], tri[order], [n[order] for n in counts]
-        first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(context) else np.zeros(0, np.int64)
+        first = _starts(context)
         self.contexts = context[first]
         del context
-        size = np.diff(np.r_[first, len(tri)])
         self.number = np.arange(len(first), dtype=np.int32)
         # a context's number and a character: no two n-grams share it, and within a context the last three characters rise with the last
-        self.keys = np.repeat(self.number, size).astype(np.int64)
+        self.keys = np.repeat(self.number, np.diff(np.r_[first, len(tri)])).astype(np.int64)
         self.keys <<= CODE_BITS
         self.keys |= tri & _CODE
         sums = lambda x: np.add.reduceat(x, first, dtype=np.float64).astype(np.float32) if len(first) else np.zeros(0, np.float32)
         self.classes = [(n, sums(n), sums(discount(n))) for n in counts]
-        tri = np.sort(tri)
-        first = np.flatnonzero(np.r_[True, tri[1:] != tri[:-1]]) if len(tri) else np.zeros(0, np.int64)
-        self.tris, self.tri = tri[first], np.diff(np.r_[first, len(tri)]).astype(np.float32)
-        del tri
-        self.pairs, at = np.unique(self.tris >> CODE_BITS, return_inverse=True)
-        self.pair, self.follow = np.bincount(at, self.tri).astype(np.float32), np.bincount(at).astype(np.float32)
-        self.codes, ends = np.unique(self.tris & _CODE, return_counts=True)
-        self.ends = ends.astype(np.float32)
+
+    def values(self, context: np.ndarray, tri: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """log p_toxic - log p_ordinary of each character; 0 after a context that is not held here."""
+        number, *sums = _find(self.contexts, context, self.number, *(x for _, *both in self.classes for x in both))
+        counts = _find(self.keys, (number.astype(np.int64) << CODE_BITS) | (tri & _CODE), *(c[0] for c in self.classes))
+        logs = []
+        for seen, n, mass in zip(counts, sums[::2], sums[1::2]):
+            p = (np.where(n > 0, seen - discount(seen), 0) + mass * q) / np.maximum(n, 1)
+            logs.append(np.log(np.maximum(np.where(n > 0, p, q), 1e-12)))
+        return logs[0] - logs[1]
+
+
+class Models:
+    """Both classes' models from a table of n-gram counts (one row for each distinct n-gram)."""
+
+    def __init__(self, rows: dict[str, np.ndarray]):
+        """``rows`` is used up; rows in order of (context, tri) are not sorted again."""
+        tris = np.sort(np.asarray(rows["tri"], np.int64))
+        first = _starts(tris)
+        counts, tris = np.diff(np.r_[first, len(tris)]), tris[first]
+        self.shared = Shared(tris, counts)
+        self.endings = Endings(*np.unique(tris & _CODE, return_counts=True), len(tris))
+        del tris, counts, first
+        self.known = Contexts(rows)
 
     def ratios(self, words: list[str]) -> np.ndarray:
         """log p_toxic(word) - log p_ordinary(word)."""
         if not words:
             return np.zeros(0, np.float32)
         word, s = grams(words)
-        (n3,) = _find(self.tris, s["tri"], self.tri)
-        n2, follow = _find(self.pairs, s["tri"] >> CODE_BITS, self.pair, self.follow)
-        code = s["tri"] & _CODE
-        low = (_find(self.codes, code, self.ends)[0] + 0.1) / (len(self.tris) + 0.1 * CODES)
-        shared = np.where(n2 > 0, (np.maximum(n3 - SHARED_DISCOUNT, 0) + SHARED_DISCOUNT * follow * low) / np.maximum(n2, 1), low)
-        number, *sums = _find(self.contexts, s["context"], self.number, *(x for _, *both in self.classes for x in both))
-        counts = _find(self.keys, (number.astype(np.int64) << CODE_BITS) | code, *(c[0] for c in self.classes))
-        logs = []
-        for seen, n, mass in zip(counts, sums[::2], sums[1::2]):
-            p = (seen - discount(seen) + mass * shared) / np.maximum(n, 1)
-            logs.append(np.log(np.maximum(np.where(n > 0, p, shared), 1e-12)))
-        return np.bincount(word, logs[0] - logs[1], len(words)).astype(np.float32)
+        q = self.endings.low(s["tri"])
+        self.shared.fill(q, s["tri"])
+        return np.bincount(word, self.known.values(s["context"], s["tri"], q), len(words)).astype(np.float32)

@@ -5,7 +5,10 @@ Learning, over all labelled training rows but those of the fit: words are counte
 likewise, and the table of distinct n-grams that results is written out: it
 follows the corpus. Up to ``BROADCAST_GRAMS`` n-grams it is broadcast and words
 are scored once per worker and looked up after that; a larger one stays a table,
-and the distinct words of the texts are scored by joins. Both give the same.
+and the distinct words of the texts are scored in passes over slices of it: the
+texts are written in chunks, each chunk's distinct words meet their scores, and
+the task that scores a chunk reads its dictionary from the shared folder. Both
+give the same.
 
 Scoring: the difference of a text's two log-likelihoods, normalised by length,
 over the whole text, over its most telling word and over the three most telling
@@ -30,21 +33,25 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.parquet as pq
+import xxhash
+from pyarrow.fs import FileSelector
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.llm import kneser_ney
-from quire.llm.common import give_back, labelled, stage, trimmed
+from quire.llm.common import drop, give_back, labelled, open_fs, shared_path, sized, stage, trimmed
 from quire.llm.splitting import WordCache
 
 THRESHOLD = 0.3
 CALIBRATION_ROWS = 20_000
-#: Models of up to this many distinct n-grams are broadcast (about 30 bytes each); larger ones are joined by shuffle.
+#: Models of up to this many distinct n-grams are broadcast (about 30 bytes each); larger ones are gone through in slices.
 BROADCAST_GRAMS = 1 << 22
 _HELD_WORDS = 200_000
 _HELD_GRAMS = 250_000
@@ -98,79 +105,136 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(rows[k]) for k in rows], list(rows))
 
 
-def _word_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 4000):
-            words = batch.column(0).slice(at, 4000)
-            word, s = kneser_ney.grams(words.to_pylist())
-            yield pa.RecordBatch.from_arrays([words.take(pa.array(word)), pa.array(s["context"]), pa.array(s["tri"])], ["word", "context", "tri"])
+def hashes(words: list[str]) -> np.ndarray:
+    """64 bits that stand for a word where words are joined."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
+
+
+def _chunk_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, text) -> (chunk, word, h): each chunk's distinct words, as far as a task's memory allows."""
 
+    def out():
+        words = list(held)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(words), chunk, np.int32)), pa.array(words, pa.string()), pa.array(hashes(words))], ["chunk", "word", "h"])
 
-def _row_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, chunk = set(), None
     for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
-            rows = [(row, w, n) for row, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for w, n in Counter(words_of(text)).items()]
-            row, word, times = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(word, pa.string()), pa.array(times, pa.int64())], ["_qt_row", "word", "times"])
-
-
-@dataclass
-class JoinedModels:
-    """The models of ``kneser_ney.Models`` as tables, for any number of n-grams."""
-
-    grams: DataFrame
-    contexts: DataFrame
-    tris: DataFrame
-    pairs: DataFrame
-    codes: DataFrame
-    kinds: int
-
-    @classmethod
-    def of(cls, grams: DataFrame) -> JoinedModels:
-        def lost(k: str):
-            one, two, more = (F.lit(d) for d in kneser_ney.DISCOUNTS[1:])
-            return F.sum(F.when(F.col(k) == 1, one).when(F.col(k) == 2, two).when(F.col(k) > 2, more).otherwise(0.0))
-
-        contexts = grams.groupBy("context").agg(*[f(k).alias(f"{name}_{k}") for k in ("toxic", "ordinary") for name, f in (("n", F.sum), ("mass", lost))])
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            for c, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                if held and (c != chunk or len(held) > _HELD_WORDS):
+                    yield out()
+                    held = set()
+                chunk = c
+                held.update(words_of(text))
+    if held:
+        yield out()
+
+
+class Dictionary:
+    """The ratios of a chunk's words, from the shared folder."""
+
+    def __init__(self, folder: str, chunk: int):
+        fs, path = open_fs(f"{folder}/chunk={chunk}")
+        files = [i.path for i in fs.get_file_info(FileSelector(path, allow_not_found=True)) if i.path.endswith(".parquet")]
+        tables = [pq.read_table(fs.open_input_file(f), columns=["h", "ratio"]) for f in files]
+        columns = [np.concatenate([np.zeros(0, t), *(x.column(c).to_numpy() for x in tables)]) for c, t in (("h", np.int64), ("ratio", np.float32))]
+        self.keys, first = np.unique(columns[0], return_index=True)
+        self.values = columns[1][first]
+
+    def ratios(self, words: list[str]) -> np.ndarray:
+        return self.values[np.searchsorted(self.keys, hashes(words))] if words else np.zeros(0, np.float32)
+
+
+class SlicedModels:
+    """The models of ``kneser_ney.Models`` for any number of n-grams (a staged table, used up): slices that fit in memory, gone through one after the other.
+
+    Words are scored in passes: first the shared model of each character, by
+    slices of the last two characters; then what the classes make of it, by
+    slices of contexts. A pass reads and writes the distinct words, and nothing
+    but them; a slice is broadcast and holds about ``BROADCAST_GRAMS`` n-grams.
+    """
+
+    def __init__(self, grams: DataFrame, count: int):
         tris = stage(grams.groupBy("tri").agg(F.count(F.lit(1)).alias("n3")), "toxicity-tris")
-        pairs = tris.groupBy(_pair()).agg(F.sum("n3").alias("n2"), F.count(F.lit(1)).alias("follow"))
-        codes = tris.groupBy(_code()).agg(F.count(F.lit(1)).alias("ends"))
-        return cls(grams, stage(contexts, "toxicity-contexts"), tris, stage(pairs, "toxicity-pairs"), stage(codes, "toxicity-codes"), tris.count())
+        kinds = tris.count()
+        self.contexts, self.context_slices = self._sliced(grams, F.col("context"), count)
+        self.tris, self.tri_slices = self._sliced(tris, F.shiftright("tri", kneser_ney.CODE_BITS), kinds)
+        drop(grams)
+        code = F.col("tri").bitwiseAND(F.lit((1 << kneser_ney.CODE_BITS) - 1))
+        codes = tris.groupBy(code.alias("code")).agg(F.count(F.lit(1)).alias("ends")).orderBy("code").toArrow()  # at most as many as Unicode has
+        self.endings = kneser_ney.Endings(codes.column("code").to_numpy(), codes.column("ends").to_numpy(), kinds)
+        drop(tris)
+
+    @staticmethod
+    def _sliced(rows: DataFrame, key: Column, count: int) -> tuple[DataFrame, int]:
+        """``rows`` written by slice, and how many slices there are."""
+        n = sized(count, max(1, BROADCAST_GRAMS))
+        path = shared_path(rows.sparkSession, "toxicity-slices")
+        rows.withColumn("slice", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).repartition("slice").write.partitionBy("slice").parquet(path)
+        return rows.sparkSession.read.parquet(path), n
 
     def ratios(self, words: DataFrame) -> DataFrame:
-        """``word, ratio`` of the distinct ``words``."""
-        parts = words.select("word").mapInArrow(_word_grams, "word string, context long, tri long")
-        asked = stage(parts.select("context", "tri").distinct(), "toxicity-asked")
-        d = kneser_ney.SHARED_DISCOUNT
-        tris = asked.select("tri").distinct().withColumns({"pair": _pair(), "code": _code()})
-        tris = tris.join(self.tris, "tri", "left").join(self.pairs, "pair", "left").join(F.broadcast(self.codes), "code", "left")  # codes: at most as many as Unicode has
-        low = (F.coalesce("ends", F.lit(0)) + 0.1) / (self.kinds + 0.1 * kneser_ney.CODES)
-        more = (F.greatest(F.coalesce("n3", F.lit(0)) - d, F.lit(0.0)) + F.col("follow") * d * low) / F.col("n2")
-        tris = tris.select("tri", F.when(F.col("n2") > 0, more).otherwise(low).alias("shared"))
-        each = asked.join(tris, "tri").join(self.contexts, "context", "left").join(self.grams, ["context", "tri"], "left")
-        logs = []
-        for k in ("toxic", "ordinary"):
-            seen = F.coalesce(k, F.lit(0))
-            kept = seen - F.element_at(F.array(*map(F.lit, kneser_ney.DISCOUNTS)), (F.least(seen, F.lit(3)) + 1).cast("int"))
-            p = F.when(F.col(f"n_{k}") > 0, (kept + F.col(f"mass_{k}") * F.col("shared")) / F.col(f"n_{k}")).otherwise(F.col("shared"))
-            logs.append(F.ln(F.greatest(p, F.lit(1e-12))))
-        each = each.select("context", "tri", (logs[0] - logs[1]).alias("value"))
-        return parts.join(each, ["context", "tri"]).groupBy("word").agg(F.sum("value").alias("ratio"))
-
-
-def _pair():
-    return F.shiftright("tri", kneser_ney.CODE_BITS).alias("pair")
-
-
-def _code():
-    return F.col("tri").bitwiseAND(F.lit((1 << kneser_ney.CODE_BITS) - 1)).alias("code")
+        """The distinct ``words`` (word, h) with their ``value``, log p_toxic - log p_ordinary; a staged table."""
+        spark = words.sparkSession
+        held = words.select("word", "h", F.lit(None).cast("binary").alias("q"), F.lit(0.0).alias("value"))
+        last = None
+        steps = [(True, k) for k in range(self.tri_slices)] + [(False, k) for k in range(self.context_slices)]
+        for shared, k in steps:
+            if shared:
+                rows = self.tris.where(F.col("slice") == k).select("tri", F.col("n3").cast("float")).orderBy("tri").toArrow()
+                part = kneser_ney.Shared(rows.column("tri").to_numpy(), rows.column("n3").to_numpy())
+            else:
+                part = _contexts(self.contexts.where(F.col("slice") == k))
+            done = stage(held.mapInArrow(_pass(spark.sparkContext.broadcast((self.endings, part)), shared), "word string, h long, q binary, value double"), "toxicity-pass")
+            if last is not None:
+                drop(last)
+            held = last = done
+        return held
+
+
+def _contexts(grams: DataFrame) -> kneser_ney.Contexts:
+    columns = _collected(grams)
+    return kneser_ney.Contexts(columns)
+
+
+def _collected(grams: DataFrame) -> dict[str, np.ndarray]:
+    """The columns of up to ``BROADCAST_GRAMS`` n-grams, in order."""
+    table = grams.select("context", "tri", F.col("toxic").cast("float"), F.col("ordinary").cast("float")).orderBy("context", "tri").toArrow()
+    columns = {k: table.column(k).to_numpy() for k in table.column_names}
+    del table
+    give_back()
+    return columns
+
+
+def _pass(held: Broadcast, shared: bool):
+    """Over (word, h, q, value): fill what a slice knows of each character's shared value, or add what it knows of the classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        endings, part = held.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4000):
+                rows = batch.slice(at, 4000)
+                words, packed = rows.column(0).to_pylist(), rows.column(2).to_pylist()
+                word, s = kneser_ney.grams(words)
+                q = endings.low(s["tri"]) if packed[0] is None else np.frombuffer(b"".join(packed), np.float32).astype(np.float64)
+                value = rows.column(3).to_numpy()
+                if shared:
+                    part.fill(q, s["tri"])
+                    ends = np.cumsum(np.bincount(word, minlength=len(words))) * 4
+                    raw = q.astype(np.float32).tobytes()
+                    packed = [raw[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+                else:
+                    value = value + np.bincount(word, part.values(s["context"], s["tri"], q), len(words))
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(packed, pa.binary()), pa.array(value)], ["word", "h", "q", "value"])
+
+    return run
 
 
 class Toxicity:
     """Fitted models and the weights that turn features into a score."""
 
-    def __init__(self, models: kneser_ney.Models | JoinedModels, weights: list[float]):
+    def __init__(self, models: kneser_ney.Models | SlicedModels, weights: list[float]):
         self.models, self.weights = models, weights
 
     def __getstate__(self):
@@ -208,7 +272,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05, steps: int
 
 
 def _with_features(df: DataFrame, text_col: str, model: Toxicity) -> DataFrame:
-    if isinstance(model.models, JoinedModels):
+    if isinstance(model.models, SlicedModels):
         return _with_joined_features(df, text_col, model.models)
     at = df.columns.index(text_col)
     held = df.sparkSession.sparkContext.broadcast(model)
@@ -220,25 +284,37 @@ def _with_features(df: DataFrame, text_col: str, model: Toxicity) -> DataFrame:
                 x = held.value.features(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x[:, j]) for j in range(len(FEATURES)))], [*part.schema.names, *FEATURES])
 
-    from pyspark.sql import types as T
-
     return df.mapInArrow(lambda batches: trimmed(run(batches)), T.StructType([*df.schema.fields, *(T.StructField(f, T.DoubleType()) for f in FEATURES)]))
 
 
-def _with_joined_features(df: DataFrame, text_col: str, models: JoinedModels) -> DataFrame:
-    rows = stage(df.withColumn("_qt_row", F.monotonically_increasing_id()), "toxicity-rows")
-    words = rows.select("_qt_row", text_col).mapInArrow(_row_words, "_qt_row long, word string, times long")
-    ratios = stage(models.ratios(stage(words.select("word").distinct(), "toxicity-words")), "toxicity-ratios")
-    n = F.char_length("word") + 1
-    top = F.slice(F.sort_array(F.flatten(F.collect_list(F.array_repeat("ratio", F.least("times", F.lit(3)).cast("int")))), False), 1, 3)
-    found = words.join(ratios, "word").groupBy("_qt_row").agg(
-        (F.sum(F.col("ratio") * F.col("times")) / F.sum(n * F.col("times"))).alias(FEATURES[0]),
-        F.max(F.col("ratio") / n).alias(FEATURES[1]),
-        top.alias("_qt_three"),
-    )
-    mean = F.aggregate("_qt_three", F.lit(0.0), lambda total, x: total + x) / F.size("_qt_three") / 10
-    found = found.select("_qt_row", *FEATURES[:2], mean.alias(FEATURES[2]))
-    return rows.join(found, "_qt_row", "left").select(*df.columns, *[F.coalesce(f, F.lit(0.0)).alias(f) for f in FEATURES])
+def _with_joined_features(df: DataFrame, text_col: str, models: SlicedModels) -> DataFrame:
+    """The rows are written in chunks (one of each task); a chunk's distinct words meet their ratios, and each chunk gets a dictionary."""
+    spark = df.sparkSession
+    rows = stage(df.withColumn("_qt_chunk", F.spark_partition_id()), "toxicity-rows")
+    words = stage(rows.select("_qt_chunk", text_col).mapInArrow(_chunk_words, "chunk int, word string, h long"), "toxicity-words")
+    distinct = stage(words.select("word", "h").distinct(), "toxicity-distinct")
+    ratios = models.ratios(distinct)
+    drop(distinct)
+    folder = shared_path(spark, "toxicity-dictionaries")
+    words.select("chunk", "h").join(ratios.select("h", F.col("value").cast("float").alias("ratio")), "h").repartition("chunk").write.partitionBy("chunk").parquet(folder)
+    drop(words, ratios)
+    names, at, chunk_at = df.columns, rows.columns.index(text_col), rows.columns.index("_qt_chunk")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[int, Toxicity] | None = None
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                chunks = part.column(chunk_at).to_numpy()
+                x = np.zeros((part.num_rows, len(FEATURES)))
+                for c in np.unique(chunks).tolist():
+                    if held is None or held[0] != c:
+                        held = c, Toxicity(Dictionary(folder, c), [])
+                    mine = np.flatnonzero(chunks == c)
+                    x[mine] = held[1].features(part.column(at).take(pa.array(mine)).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), *(pa.array(x[:, j]) for j in range(len(FEATURES)))], [*names, *FEATURES])
+
+    return rows.mapInArrow(lambda batches: trimmed(run(batches)), T.StructType([*df.schema.fields, *(T.StructField(f, T.DoubleType()) for f in FEATURES)]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Toxicity:
@@ -254,15 +330,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     words = words.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
     grams = words.mapInArrow(_count_grams, "context long, tri long, toxic long, ordinary long")
     grams = stage(grams.groupBy("context", "tri").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "toxicity-grams")
-    if grams.count() <= BROADCAST_GRAMS:
-        table = grams.select("context", "tri", F.col("toxic").cast("float"), F.col("ordinary").cast("float")).orderBy("context", "tri").toArrow()
-        columns = {k: table.column(k).to_numpy() for k in table.column_names}
-        del table
-        give_back()
-        models = kneser_ney.Models(columns)
+    count = grams.count()
+    if count <= BROADCAST_GRAMS:
+        models = kneser_ney.Models(_collected(grams))
         give_back()
     else:
-        models = JoinedModels.of(grams)
+        models = SlicedModels(grams, count)
     model = Toxicity(models, [])
 
     sample = train.where(for_fit).select("text", "_qt_toxic")
