@@ -2,7 +2,7 @@
 
 The Column functions stay in the JVM except where a step depends on what has
 been written so far (a reph moves back over its cluster, step by step); that
-one is an Arrow-batched function, asked only for texts with a reph. Every step has a plain Python twin, used by
+one is an Arrow-batched function that only looks at texts with a reph. Every step has a plain Python twin, used by
 parsing tasks and as the tests' oracle.
 """
 
@@ -196,17 +196,11 @@ def reorder_pre_base(text: Column) -> Column:
 
 
 @F.pandas_udf(StringType())
-def _move_rephs(text: pd.Series) -> pd.Series:
+def move_rephs(text: pd.Series) -> pd.Series:
+    """Each reph that follows a cluster moves before it; texts without one come back as they are."""
     return text.map(move_rephs_text, na_action="ignore")
 
 
-def move_rephs(text: Column | str) -> Column:
-    """Each reph that follows a cluster moves before it; only texts that hold one are sent to Python."""
-    text = F.col(text) if isinstance(text, str) else text
-    moved = _move_rephs(F.when(F.contains(text, F.lit(_REPH)), text))
-    return F.coalesce(moved, text)
-
-
 def recompose_vowels(text: Column) -> Column:
     for a, b in _PAIRS:
         text = F.replace(text, F.lit(a), F.lit(b))
