@@ -27,6 +27,8 @@ import numpy as np
 CODES = 1 << 16
 HISTORY, DISCOUNTS, SHARED_DISCOUNT = 7, (0.0, 0.9, 1.4, 1.8), 0.75
 CODE_BITS = 21
+#: Words that are scored at once: some hundred bytes for each of their characters.
+WORDS = 4000
 _CODE = (1 << CODE_BITS) - 1
 
 
@@ -171,6 +173,8 @@ class Models:
 
     def ratios(self, words: list[str]) -> np.ndarray:
         """log p_toxic(word) - log p_ordinary(word)."""
+        if len(words) > WORDS:
+            return np.concatenate([self.ratios(words[k : k + WORDS]) for k in range(0, len(words), WORDS)])
         if not words:
             return np.zeros(0, np.float32)
         word, s = grams(words)
