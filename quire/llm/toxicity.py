@@ -273,7 +273,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05, steps: int
 
 def _with_features(df: DataFrame, text_col: str, model: Toxicity) -> DataFrame:
     if isinstance(model.models, SlicedModels):
-        return _with_joined_features(df, text_col, model.models)
+        return _with_dictionaries(df, text_col, model.models)
     at = df.columns.index(text_col)
     held = df.sparkSession.sparkContext.broadcast(model)
 
@@ -287,7 +287,7 @@ def _with_features(df: DataFrame, text_col: str, model: Toxicity) -> DataFrame:
     return df.mapInArrow(lambda batches: trimmed(run(batches)), T.StructType([*df.schema.fields, *(T.StructField(f, T.DoubleType()) for f in FEATURES)]))
 
 
-def _with_joined_features(df: DataFrame, text_col: str, models: SlicedModels) -> DataFrame:
+def _with_dictionaries(df: DataFrame, text_col: str, models: SlicedModels) -> DataFrame:
     """The rows are written in chunks (one of each task); a chunk's distinct words meet their ratios, and each chunk gets a dictionary."""
     spark = df.sparkSession
     rows = stage(df.withColumn("_qt_chunk", F.spark_partition_id()), "toxicity-rows")
