@@ -22,7 +22,7 @@ the blocks that it covers empty, so shares are shares of bytes.
 
 Defined results: other columns pass through ``mix``. A null source counts as ''; a null text has one byte, as every
 document gets one for its end. Sources without a positive weight follow after
-all others, by size. Rows equal in id are ordered by text. An empty table gives
+all others, by size. Rows equal in id are ordered by a hash of their text (``copy``, if at hand). An empty table gives
 an empty result.
 """
 
@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import numbered, piece_sums, sized, stage
+from quire.llm.common import numbered, piece_sums, sized, small, stage
 
 BLOCK_BYTES, BLOCKS, CHUNK = 1 << 16, 1 << 20, 1024
 #: A source's documents are ordered in pieces; all sources together fill one with about this many rows.
@@ -154,16 +154,16 @@ def text_bytes(text_col: str) -> Column:
     return (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long")
 
 
-def with_slots(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, block_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None) -> DataFrame:
+def with_slots(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, block_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, copy: Column | None = None) -> DataFrame:
     """``docs`` with ``_qm_source, _qm_bytes, _qm_start, _qm_block, _qm_phase, _qm_release, _qm_deadline, _qm_slot``."""
     spark = docs.sparkSession
     size = text_bytes(text_col) if size is None else size
-    rows = docs.withColumns({"_qm_source": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "_qm_bytes": size, "_qm_order": F.xxhash64(id_col, F.lit(11))})
-    rows = rows.withColumn("_qm_piece", F.pmod(F.xxhash64(id_col, text_col), F.lit(sized(docs.count(), PIECE_ROWS))))
+    rows = docs.withColumns({"_qm_source": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "_qm_bytes": size, "_qm_order": F.xxhash64(id_col, F.lit(11)), "_qm_text": F.xxhash64(text_col) if copy is None else copy})
+    rows = rows.withColumn("_qm_piece", F.pmod(F.xxhash64(id_col, "_qm_text"), F.lit(sized(docs.count(), PIECE_ROWS))))
     sums = piece_sums(rows, ["_qm_source"], "_qm_piece", F.col("_qm_bytes"))
     sizes = {r[0]: r[1] for r in sums.groupBy("_qm_source").agg(F.sum("_qn_s")).collect()}  # a row a source
     block_bytes = block_bytes or max(BLOCK_BYTES, sized(sum(sizes.values()), BLOCKS))
-    rows = numbered(rows, ["_qm_source"], ["_qm_order", id_col, text_col], "_qm_piece", "_qm_start", F.col("_qm_bytes"), sums)
+    rows = numbered(rows, ["_qm_source"], ["_qm_order", id_col, "_qm_text"], "_qm_piece", "_qm_start", F.col("_qm_bytes"), sums)
     rows = rows.withColumn("_qm_block", F.floor(F.col("_qm_start") / block_bytes))
     phases = schedule({s: -(-n // block_bytes) for s, n in sizes.items()}, target_weights(sizes, temperature) if weights is None else weights)
     plan, chunks = _plan(spark, phases)
@@ -173,7 +173,7 @@ def with_slots(docs: DataFrame, weights: dict[str, float] | None = None, tempera
     rows = rows.join(plan, on & (F.col("_qm_block") >= F.col("_qp_from")) & (F.col("_qm_block") < F.col("_qp_to")))
     at = "[cast(_qm_block - _qp_from as int)]"
     found = {f"_qm_{k}": F.expr(f"_qp_base + _qp_{k}{at}") for k in ("release", "deadline", "slot")}
-    return rows.withColumns(found).drop("_qm_order", "_qm_piece", *plan.columns[1:])
+    return rows.withColumns(found).drop("_qm_order", "_qm_piece", "_qm_text", *plan.columns[1:])
 
 
 def _plan(spark: SparkSession, phases: list[Phase]) -> tuple[DataFrame, int]:
@@ -205,5 +205,25 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
 def mixture(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, block_bytes: int | None = None) -> DataFrame:
     """One row per document: ``doc_id, source, bytes, start, block, phase, release, deadline, slot``."""
     narrow = stage(docs.select("doc_id", "source", F.xxhash64("text").alias("text"), text_bytes("text").alias("n")), "mix-rows")
-    rows = with_slots(narrow, weights, temperature, block_bytes, size=F.col("n"))
+    rows = with_slots(narrow, weights, temperature, block_bytes, size=F.col("n"), copy=F.col("text"))
     return rows.select("doc_id", F.col("_qm_source").alias("source"), F.col("_qm_bytes").alias("bytes"), F.col("_qm_start").alias("start"), F.col("_qm_block").alias("block"), F.col("_qm_phase").alias("phase"), F.col("_qm_release").alias("release"), F.col("_qm_deadline").alias("deadline"), F.col("_qm_slot").alias("slot"))
+
+
+def places(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, block_bytes: int | None = None) -> DataFrame:
+    """``docs`` with ``_qm_slot, _qm_start``, their order in the mixture, without moving texts.
+
+    The schedule is worked out on ids, hashes and sizes and joined to the
+    documents: by broadcast where their count allows, else by a shuffle. Only
+    rows equal in id and text, which a join could not tell apart, make it
+    order the documents themselves.
+    """
+    keys = [F.col("doc_id").alias("_qm_id"), F.xxhash64("text").alias("_qm_copy")]
+    narrow = docs.select(*keys, F.col("source").alias("_qm_of"), text_bytes("text").alias("_qm_n"))
+    narrow = stage(narrow, "mix-rows")
+    if not narrow.groupBy("_qm_id", "_qm_copy").count().where("count > 1").isEmpty():
+        order = ["_qm_slot", "_qm_start"]
+        return mix(docs, weights, temperature, block_bytes, keep=order)
+    found = with_slots(narrow, weights, temperature, block_bytes, id_col="_qm_id", text_col="_qm_copy", source_col="_qm_of", size=F.col("_qm_n"), copy=F.col("_qm_copy"))
+    found = stage(found.select("_qm_id", "_qm_copy", "_qm_slot", "_qm_start"), "mix-places")
+    same = F.col("doc_id").eqNullSafe(F.col("_qm_id")) & (F.xxhash64("text") == F.col("_qm_copy"))
+    return docs.join(small(found), same).select(*docs.columns, "_qm_slot", "_qm_start")

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from quire.llm.mixing import BLOCK_BYTES, mix, mixture, one_period, rounded, schedule, target_weights
+from quire.llm.mixing import BLOCK_BYTES, mix, mixture, one_period, places, rounded, schedule, target_weights
 from quire.llm.queries import op3_mixing
 
 
@@ -93,6 +93,21 @@ def test_many_sources():
     assert sorted(taken) == list(range(sum(blocks.values()))) and sum(len(p.first) for p in phases) <= sum(blocks.values())
 
 
+@pytest.mark.parametrize("twice", [False, True])
+def test_places_are_those_of_the_mixture(spark, monkeypatch, twice):
+    monkeypatch.setattr("quire.llm.mixing.PIECE_ROWS", 40)
+    docs = documents(spark) if twice else documents(spark).dropDuplicates(["doc_id", "text"])
+    want = sorted((str(r["doc_id"]), r["text"] or "", r["_qm_slot"], r["_qm_start"]) for r in mix(docs, block_bytes=1000, keep=["_qm_slot", "_qm_start"]).collect())
+    for most in (0, 500_000):
+        monkeypatch.setattr("quire.llm.common.BROADCAST_ROWS", most)
+        got = places(docs, block_bytes=1000)
+        rows = sorted((str(r["doc_id"]), r["text"] or "", r["_qm_slot"], r["_qm_start"]) for r in got.collect())
+        assert got.columns == [*docs.columns, "_qm_slot", "_qm_start"] and len(rows) == len(want)
+        if not twice:  # the same blocks in the same slots; within a source the order is by hash either way
+            assert rows == want
+    assert places(docs.limit(0)).count() == 0
+
+
 def test_the_query(spark, tmp_path):
     docs = documents(spark)
     docs.write.parquet(f"{tmp_path}/documents.parquet")

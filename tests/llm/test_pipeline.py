@@ -50,7 +50,8 @@ def test_by_brute_force(spark, tmp_path):
         assert got[i]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
 
 
-def test_the_mixture_survives_rereading(spark):
+def test_the_mixture_survives_rereading(spark, monkeypatch):
+    monkeypatch.setattr("quire.llm.mixing.PIECE_ROWS", 60)
     rows = [(i, "w " * (i % 90 + 1) * (400 if i < 200 else 40), "en", f"s{i % 3 if i % 2 else 0}", 5) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     mixed = corpus_pipeline.mixing_stage(spark, docs, "")
