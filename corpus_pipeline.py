@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quire.llm.bpe import encode_decode
 from quire.llm.common import kept, scratch, table
 from quire.llm.exact_dedup import exact_dedup
-from quire.llm.mixing import mix
+from quire.llm.mixing import mix, places
 from quire.llm.near_dedup import near_dedup
 from quire.llm.toxicity import THRESHOLD, fit, score_documents
 
@@ -53,7 +53,7 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     import public_tokenizers
 
     order = ["_qm_slot", "_qm_start"]
-    out = encode_decode(mix(docs, temperature=TEMPERATURE, keep=order), public_tokenizers.path("byte_bpe_50k.json"), keep=order)
+    out = encode_decode(places(docs, temperature=TEMPERATURE), public_tokenizers.path("byte_bpe_50k.json"), keep=order)
     return out.select("doc_id", F.col("_qm_slot").alias("slot"), F.col("_qm_start").alias("start"), "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
