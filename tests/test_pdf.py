@@ -57,6 +57,13 @@ def test_lzw_widths():
     assert pdf_filters.lzw(make.encode_lzw(raw)) == raw
 
 
+@pytest.mark.parametrize("near", [255, 767, 1791, 3837])
+def test_lzw_that_ends_where_the_width_grows(near):
+    raw = random.Random(1).randbytes(3900)
+    for n in range(near - 40, near + 10):
+        assert pdf_filters.lzw(make.encode_lzw(raw[:n])) == raw[:n], n
+
+
 @pytest.mark.parametrize("kind", range(5))
 def test_png_predictors(kind):
     rnd, row, bpp = random.Random(kind), 12, 3
