@@ -15,7 +15,7 @@ from graphlib import TopologicalSorter
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from quire.functions.bengali import PRE_BASE, VIRAMA
 
@@ -219,6 +219,12 @@ def to_unicode(ansi: Column | str) -> Column:
     return compose_nuktas(recompose_vowels(move_rephs(reorder_pre_base(substitute(canonical(ansi))))))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def to_unicode_each(texts: pd.Series) -> pd.Series:
+    """Arrays of Bijoy codes to Unicode Bengali, text by text; null texts stay."""
+    return texts.map(lambda row: [None if t is None else to_unicode_text(t) for t in row], na_action="ignore")
+
+
 def _as_udf(f):
     return F.pandas_udf(lambda text: text.map(f, na_action="ignore"), StringType())
 

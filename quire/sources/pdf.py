@@ -187,9 +187,8 @@ def extract_documents(files: DataFrame, password: str = "", ocr=None, replay_fac
     """
     carry = ["has_images", "actual_text_used", "is_encrypted", "is_locked", "error"]
     sent = files.withColumn("content", F.when(has_header(), F.col("content")))  # other files' bytes stay in the JVM
-    # pages meet by document, so the windows over a page's runs and both groupings need no further shuffle
-    parsed = pages(sent, password, replay_factory, keep_others=True).repartition("doc_id")
-    assembled = assembly.assemble_pages(text_runs(parsed), carry)
+    # a page's runs are put together where they were read: only its text moves to its document
+    assembled = assembly.assemble_pages(pages(sent, password, replay_factory, keep_others=True), carry)
     if ocr is not None:
         assembled = assembly.with_ocr(assembled, ocr)
     page = F.when(F.col("page_no").isNotNull(), F.struct(F.col("page_no").alias("number"), "text", "encoding", "has_images"))

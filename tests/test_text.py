@@ -239,3 +239,15 @@ def test_oracles_agree_on_the_smallest_tables(spark):
         order = [rel.columns.index(c) for c in columns]
         want = sorted(json.dumps([r[i] for i in order], default=str) for r in rel.fetchall())
         assert got == want, name
+
+
+def test_runs_of_a_page_stay_in_its_row(spark):
+    """No row for each run is made, sorted or gathered: 1 GB of documents has some 300 million of them."""
+    from quire.plans import catalogue
+
+    plan = catalogue.line_assembly(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Generate|Window|Sort|Aggregate", plan), plan
+    page = spark.sql("SELECT 1 AS doc_id, 1 AS page_no, array(named_struct('text', 'a', 'y', 0.0D, 'font_size', 9.0D, 'object_index', 0, 'is_bijoy', false, 'is_inferred', false, 'is_unmapped', true)) AS runs")
+    page = page.unionByName(page.selectExpr("2 AS doc_id", "page_no", "slice(runs, 1, 0) AS runs"))
+    got = {r["doc_id"]: (r["text"], r["unmapped"], r["encoding"]) for r in assembly.assemble_pages(page).collect()}
+    assert got == {1: ("a", 1, "unicode"), 2: ("", 0, "none")}
