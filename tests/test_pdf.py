@@ -2,6 +2,7 @@ import base64
 import json
 import random
 import struct
+import time
 import zlib
 
 import pytest
@@ -115,6 +116,25 @@ def test_later_definitions_win_and_trees_may_be_broken():
     assert PdfFile(make.obj(1, "<< /A 1 0 R /B 9 0 R >>") + b"%PDF-").object(9) is None
 
 
+def test_encryption_is_the_same_without_the_library(monkeypatch):
+    rnd = random.Random(5)
+    for size in (16, 32):
+        for blocks in (0, 1, 2, 300):
+            key, iv, data = rnd.randbytes(size), rnd.randbytes(16), rnd.randbytes(16 * blocks)
+            assert pdf_crypt.cbc_encrypt(key, iv, data) == pdf_crypt.cbc_by_tables(key, iv, data)
+    hashed = pdf_crypt.hash_2b(b"secret", b"saltsalt", bytes(48), 6)
+    monkeypatch.setattr(pdf_crypt, "_openssl", lambda: None)
+    assert pdf_crypt.hash_2b(b"secret", b"saltsalt", bytes(48), 6) == hashed
+
+
+@pytest.mark.skipif(pdf_crypt._openssl() is None, reason="hashlib is linked to no library with AES")
+def test_a_hash_of_revision_6_takes_milliseconds():
+    started = time.process_time()
+    for n in range(20):
+        pdf_crypt.hash_2b(b"secret", n.to_bytes(8, "big"), bytes(48), 6)
+    assert time.process_time() - started < 2  # the tables take some 0.5 s for each
+
+
 @pytest.mark.parametrize("how", [(2, 40), (3, 128), (4, 128, True)])
 def test_legacy_encryption(how):
     want = [["Hello", " world", "Ne xty"]]
