@@ -16,6 +16,7 @@ from contextvars import ContextVar
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -124,6 +125,20 @@ def trimmed(batches: Iterator) -> Iterator:
     give_back()
 
 
+def give_back_heaps(spark: SparkSession) -> None:
+    """Executors' JVMs collect their garbage and return free heap to the system.
+
+    A JVM keeps what heap it once touched, so an executor's memory would be the
+    sum of its largest stage and its largest workers, whenever each was. One
+    task a core reaches the executors that are idle; no result depends on it.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    try:
+        spark.range(0, cores, 1, cores).select(F.expr("reflect('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+    except AnalysisException:  # where a session allows no reflection
+        return
+
+
 def open_fs(uri: str):
     """(pyarrow file system, path in it) for a URI; works in the driver and in tasks."""
     from pyarrow import fs

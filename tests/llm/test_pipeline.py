@@ -69,3 +69,16 @@ def test_stages_keep_the_columns(spark, tmp_path):
     for _, step in corpus_pipeline.STAGES[:-1]:
         assert step(spark, docs, str(tmp_path)).columns == docs.columns
         assert step(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_stages_begin_with_heaps_given_back(spark, tmp_path):
+    """On one machine the executor's heap is the driver's: its full collections are counted."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    old = [b for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName()]
+    full = lambda: sum(b.getCollectionCount() for b in old)
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(1, "a b c", "en", "s", 5), (2, "A b c", "en", None, 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, step in corpus_pipeline.STAGES:
+        before = full()
+        step(spark, docs, str(tmp_path))
+        assert full() > before, name
